@@ -199,7 +199,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
         .limit(max_labelled)
     )
     labelled = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "inner")
-    rows = text_stats(labelled, keep=["_id", "_q"]).filter(~base_failed()).select("_id", "_q", *RATIOS).dropDuplicates(["_id"]).orderBy("_id").toPandas()
+    rows = text_stats(labelled, keep=["_id", "_q"]).select("_id", "_q", base_failed().alias("_failed"), *RATIOS).dropDuplicates(["_id"]).orderBy("_id").toPandas()
+    # filtered here: in the plan, the condition would go below the join and need the statistics of every document
+    rows = rows[~rows["_failed"]]
     if not len(rows):
         return []
     grow = (rows["_id"].to_numpy(np.int64) * 2654435761 % 1009) % 3 != 0
