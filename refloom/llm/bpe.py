@@ -32,7 +32,7 @@ from .common import read_table
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words and pairs that a task remembers.
-MEMORY = 800_000
+MEMORY = 500_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -44,16 +44,20 @@ def byte_letters() -> list[str]:
 
 
 class _Words(dict):
-    """word -> ids as little-endian bytes; forgets all when full."""
+    """word -> ids as little-endian bytes; of two generations the older one is forgotten when the younger is full."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
+            self.older = dict(self)
             self.clear()
-        self[word] = out = self.make(word)
+        out = self.older.get(word)
+        if out is None:
+            out = self.make(word)
+        self[word] = out
         return out
 
 
