@@ -2,7 +2,7 @@
 
 Texts are lower-cased and reduced to words. Wherever a common word (an anchor) occurs, the chain of the next ``CHAIN``
 words that are not common words forms, with the anchor, a spot signature; the fingerprint is the set of their 64-bit
-hashes, and its digest the set's size and SHA-256. Likeness is the Jaccard index of two sets. A text with fewer than
+hashes, and its digest the set's size and two 64-bit hashes of it. Likeness is the Jaccard index of two sets. A text with fewer than
 ``MIN_SPOTS`` spots (tables, lists, very short texts) takes each three words in a row instead, one with fewer words its
 words, one without words its own characters; where one of two texts is so, both are compared that way. So equal texts
 have equal fingerprints.
@@ -63,9 +63,14 @@ def chains(words: Column) -> Column:
 
 def triples(text: Column, words: Column) -> Column:
     """The set that stands in where chains are few: each three words in a row, or the words, or the characters."""
-    found = F.transform(F.regexp_extract_all(words, F.lit(TRIPLES), F.lit(1)), lambda s: F.xxhash64(s))
-    rest = F.when(F.char_length(text) > 0, F.array(F.xxhash64(F.when(F.trim(words) == "", text).otherwise(words)))).otherwise(F.array().cast("array<bigint>"))
-    return let(found, lambda t: F.when(F.size(t) > 0, _set(t)).otherwise(rest))
+
+
+    def of(w: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(w, F.lit(TRIPLES), F.lit(1)), lambda s: F.xxhash64(s))
+        rest = F.when(F.char_length(text) > 0, F.array(F.xxhash64(F.when(F.trim(w) == "", text).otherwise(w)))).otherwise(F.array().cast("array<bigint>"))
+        return let(found, lambda t: F.when(F.size(t) > 0, _set(t)).otherwise(rest))
+
+    return let(words, of)
 
 
 def _few(sig: Column) -> Column:
@@ -78,7 +83,7 @@ def spots(text: Column) -> Column:
 
 
 def digest(sig: Column) -> Column:
-    return F.concat(F.size(sig).cast("string"), F.lit(":"), F.sha2(F.array_join(sig.cast("array<string>"), ","), 256))
+    return F.concat(F.size(sig).cast("string"), F.lit(":"), F.lower(F.hex(F.xxhash64(sig))), F.lit(":"), F.lower(F.hex(F.xxhash64(F.lit("spots"), sig))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -93,7 +98,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text that follows in descending doc_id, the first one's after the last.
+    """doc_id, text, next_text and their chains: the text that follows in descending doc_id, the first's after the last.
 
     Rows are dealt into ranges of doc_id, and each range also gets the head of the range that follows, so one exchange
     of the texts does. There are at most MAX_RANGES ranges, which bounds the table of their heads that is broadcast.
@@ -114,24 +119,24 @@ def with_next(docs: DataFrame) -> DataFrame:
         .agg(F.max("text").alias("text"))
         .select(F.lit(None).cast("long").alias("doc_id"), "text", "_b", F.lit(1).alias("_last"))
     )
-    both = rows.withColumn("_last", F.lit(0)).unionByName(heads)
+    both = rows.withColumn("_last", F.lit(0)).unionByName(heads).repartition(ranges, "_b")
+    # each text's chains are found once, behind the exchange, and serve its own row and the one before
+    both = both.withColumn("chains", chains(_words(F.col("text"))))
     w = Window.partitionBy("_b").orderBy(F.col("_last"), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return both.withColumn("next_text", F.lead("text").over(w)).filter("_last = 0").select("doc_id", "text", "next_text")
+    out = both.select("*", F.lead("text").over(w).alias("next_text"), F.lead("chains").over(w).alias("next_chains"))
+    return out.filter("_last = 0").select("doc_id", "text", "next_text", "chains", "next_chains")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.left(F.col("text"), n - third), F.left(F.col("next_text"), third))
-    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("_edited"))
+    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", "chains", "next_chains", edited.alias("_edited"))
     names = {"a": "text", "e": "_edited", "b": "next_text"}
-    words = F.struct(*[_words(F.col(c)).alias(k) for k, c in names.items()])
-
-    def report(w: Column) -> Column:
-        return let(F.struct(*[chains(w[k]).alias(k) for k in names]), lambda s: measured(w, s))
+    sets = F.struct(F.col("chains").alias("a"), chains(_words(F.col("_edited"))).alias("e"), F.col("next_chains").alias("b"))
 
-    def measured(w: Column, s: Column) -> Column:
-        other = lambda k: triples(F.col(names[k]), w[k])
+    def report(s: Column) -> Column:
+        other = lambda k: triples(F.col(names[k]), _words(F.col(names[k])))
         own = lambda k: F.when(_few(s[k]), other(k)).otherwise(s[k])
         near = lambda k: F.when(_few(s["a"]) | _few(s[k]), jaccard(other("a"), other(k))).otherwise(jaccard(s["a"], s[k]))
         return F.struct(
@@ -141,7 +146,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             near("b").alias("near_next"),
         )
 
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), let(words, report).alias("_r")).select("doc_id", "n_chars", "edited_sha256", "_r.*")
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), let(sets, report).alias("_r")).select("doc_id", "n_chars", "edited_sha256", "_r.*")
 
 
 def spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
