@@ -38,8 +38,18 @@ ANCHORS = {
 }
 
 
+def _any_of(words: set[str]) -> str:
+    """A pattern for any of the words that shares their common beginnings, so few branches are tried."""
+    if words == {""}:
+        return ""
+    tails: dict[str, set[str]] = {}
+    for w in words - {""}:
+        tails.setdefault(w[0], set()).add(w[1:])
+    return "(?:" + "|".join(c + _any_of(t) for c, t in sorted(tails.items())) + ")" + "?" * ("" in words)
+
+
 def _patterns() -> tuple[str, str]:
-    stop = "(?:" + "|".join(sorted({w for ws in ANCHORS.values() for w in ws}, key=lambda w: (-len(w), w))) + ")"
+    stop = _any_of({w for ws in ANCHORS.values() for w in ws})
     chain = rf"(?:{stop} )*+[^ ]+ " * CHAIN
     return rf"(?<= )(?=({stop} {chain}))", rf" {stop}(?= )"
 
