@@ -105,7 +105,7 @@ def test_suffixes(spark):
 
 
 def test_two_columns(spark):
-    w = [(1, 1, 0, "r", 310.0, 400.0, 100.0), (1, 1, 1, "l", 10.0, 200.0, 300.0), (1, 1, 2, "head", 100.0, 500.0, 10.0)]
+    w = [(1, 1, 0, "r", 380.0, 460.0, 100.0), (1, 1, 1, "l", 10.0, 200.0, 300.0), (1, 1, 2, "head", 100.0, 500.0, 10.0)]
     df = spark.createDataFrame([(*x, x[6] + 10, 600.0, 800.0) for x in w], "doc_id long, page int, word_idx int, text string, x0 double, x1 double, top double, bottom double, page_width double, page_height double")
     assert layout.page_text(df).first()["text"] == "head l r"
 
