@@ -2,7 +2,7 @@
 
 A network with a window on both sides predicts every token of a text from its neighbours, the token itself being left
 out; the sum of the conditional log-probabilities scores the document. Tokens are white-space separated words in lower
-case (A-Z): the most frequent of the whole corpus have ids of their own, the others share ids by hash. The output is in
+case: the most frequent of the whole corpus have ids of their own, the others share ids by hash. The output is in
 two steps, class and word in class, each a softmax.
 
 Counts cover all documents. Training runs where the documents are: in each round every task goes over all its documents,
@@ -33,7 +33,7 @@ SIDE, WIDTH, HIDDEN = 2, 16, 48
 SHARE, ROUNDS, FAN_IN, SEED = 16, 2, 64, 7
 CHUNK = 1 << 15
 #: Places scored at a time, so that they stay in the processor's cache.
-BLOCK = 1 << 12
+BLOCK = 1 << 13
 
 
 @dataclass
@@ -76,35 +76,55 @@ def contexts(ids: np.ndarray, starts: np.ndarray, outside: int) -> np.ndarray:
     return np.stack([padded[spread + k] for k in range(-SIDE, SIDE + 1) if k], axis=1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
 
 
 def _hidden(net: Network, ctx: np.ndarray) -> np.ndarray:
-    a = net.emb[ctx].reshape(len(ctx), -1) @ net.win.reshape(-1, HIDDEN) + net.bias
-    h = np.empty((len(ctx), HIDDEN + 1), np.float32)
-    np.tanh(a, out=h[:, :-1])
-    h[:, -1] = 1
+    h = np.ones((len(ctx), HIDDEN + 1), np.float32)
+    np.maximum(net.emb[ctx].reshape(len(ctx), -1) @ net.win.reshape(-1, HIDDEN) + net.bias, 0, out=h[:, :-1])
     return h
 
 
-def _by_class(net: Network, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, rows of that class)"""
+def _by_class(net: Network, c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order of the rows by class, (class, first, end) in that order for the classes that occur)"""
     order = np.argsort(c.astype(np.uint8 if net.cls.shape[1] <= 256 else np.int32), kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(net.cls.shape[1] + 1))
-    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        if b > a:
-            yield k, order[a:b]
-
-
-def log_probs(net: Network, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of each target given its neighbours."""
-    h = _hidden(net, ctx)
-    c, w = target // CLASS, target % CLASS
-    out = _log_softmax(h @ net.cls)[np.arange(len(target)), c]
-    for k, at in _by_class(net, c):
-        out[at] += _log_softmax(h[at] @ net.wrd[k])[np.arange(len(at)), w[at]]
+    bounds = np.searchsorted(c[order], np.arange(net.cls.shape[1] + 1)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(x) along rows; overwrites x."""
+    top = x.max(axis=1, keepdims=True)
+    x -= top
+    np.exp(x, out=x)
+    return np.log(x @ np.ones(x.shape[1], np.float32)) + top[:, 0]
+
+
+def projected(net: Network) -> np.ndarray:
+    """For each window place, what each id adds to the hidden layer."""
+    return np.stack([net.emb @ w for w in net.win])
+
+
+def log_probs(net: Network, ctx: np.ndarray, target: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
+    """Log-probability of each target given its neighbours. tables: projected(net), to compute it once."""
+    tables = projected(net) if tables is None else tables
+    order, runs = _by_class(net, target // CLASS)
+    y, x = target[order], ctx[order]
+    h = np.ones((len(y), HIDDEN + 1), np.float32)
+    a = tables[0][x[:, 0]]
+    for k in range(1, 2 * SIDE):
+        a += tables[k][x[:, k]]
+    a += net.bias
+    np.maximum(a, 0, out=h[:, :-1])
+    rows, c, w = np.arange(len(y)), y // CLASS, y % CLASS
+    outer, inner = h @ net.cls, np.empty((len(y), CLASS), np.float32)
+    for k, first, end in runs:
+        np.matmul(h[first:end], net.wrd[k], out=inner[first:end])
+    out = np.empty(len(y), np.float32)
+    picked = outer[rows, c] + inner[rows, w]
+    out[order] = picked - _log_sum(outer) - _log_sum(inner)
     return out
 
 
@@ -118,17 +138,19 @@ def improve(net: Network, ctx: np.ndarray, target: np.ndarray, batch: int = 1024
         e = net.emb[x].reshape(n, -1)
         h = _hidden(net, x)
         c, w = y // CLASS, y % CLASS
-        pc = np.exp(_log_softmax(h @ net.cls))
+        pc = _softmax(h @ net.cls)
         pc[np.arange(n), c] -= 1
         g_cls, dh = h.T @ pc, pc @ net.cls.T
         g_wrd = np.zeros_like(net.wrd)
-        for k, at in _by_class(net, c):
+        by, runs = _by_class(net, c)
+        for k, first, end in runs:
+            at = by[first:end]
             hk = h[at]
-            pw = np.exp(_log_softmax(hk @ net.wrd[k]))
+            pw = _softmax(hk @ net.wrd[k])
             pw[np.arange(len(at)), w[at]] -= 1
             g_wrd[k] = hk.T @ pw
             dh[at] += pw @ net.wrd[k].T
-        da = dh[:, :-1] * (1 - h[:, :-1] ** 2)
+        da = dh[:, :-1] * (h[:, :-1] > 0)
         g_win = (e.T @ da).reshape(net.win.shape)
         de = (da @ net.win.reshape(-1, HIDDEN).T).reshape(-1, WIDTH)
         flat = x.ravel()
@@ -163,13 +185,13 @@ class Vocabulary(dict):
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
+        words = (text or "").lower().encode().split()
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents."""
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = F.lower(F.coalesce("text", F.lit("")))
     words = docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -247,9 +269,10 @@ def score(docs: DataFrame, words: list[str], net: Network) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, own = Vocabulary(words), net.load(blob)
+        tables = projected(own)
         for docs_, ids, starts in _stretches(batches, vocab):
             ctx = contexts(ids, starts, OWN + SHARED)
-            lp = np.concatenate([log_probs(own, ctx[a : a + BLOCK], ids[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)] or [np.empty(0, np.float32)])
+            lp = np.concatenate([log_probs(own, ctx[a : a + BLOCK], ids[a : a + BLOCK], tables) for a in range(0, len(ids), BLOCK)] or [np.empty(0, np.float32)])
             total = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
             ends = np.append(starts[1:], len(ids))
             n, s = ends - starts, total[ends] - total[starts]
