@@ -36,6 +36,19 @@ PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 #: takes them, which is faster.
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 NARROW = rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\t-\r \x85\xa0{_L}{_N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"
+#: Code points (hex, ranges with a hyphen) that are letters or numbers in the regular expression engine's
+#: Unicode tables, which are newer, and neither in the tokenizer's. A test goes over all code points.
+NEWER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF
+10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F
+12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2
+18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF
+1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E
+2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+_NEWER = "".join("-".join(f"\\U{int(end, 16):08X}" for end in ends.split("-")) for ends in NEWER.split())
+#: The pattern for texts with one of them.
+EXACT = PATTERN.replace(rf"[^{SPACE}\p{{L}}\p{{N}}]+", rf"(?:[^{SPACE}\p{{L}}\p{{N}}]|[{_NEWER}])+").replace(r"\p{L}+", rf"(?:(?![{_NEWER}])\p{{L}})+").replace(r"\p{N}+", rf"(?:(?![{_NEWER}])\p{{N}})+")
 #: Words and pairs that a task remembers.
 MEMORY = 500_000
 VOCABULARY = "byte_bpe_50k.json"
@@ -96,6 +109,7 @@ class PrefixBPE:
         self.edges: dict[tuple[int, int], list] = {}
         self.words = _Words(self.encode_word)
         self.find_wide, self.find_narrow = regex.compile(PATTERN, regex.V1).findall, re.compile(NARROW).findall
+        self.find_exact, self.newer = regex.compile(EXACT, regex.V1).findall, re.compile(f"[{_NEWER}]").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
 
     def edge(self, token: int, side: int) -> list[tuple[int, float, float]]:
@@ -159,7 +173,7 @@ class PrefixBPE:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return self.find_wide(text)
+                return self.find_exact(text) if self.newer(text) else self.find_wide(text)
         return self.find_narrow(text)
 
     def encode(self, text: str | None) -> bytes:
