@@ -87,6 +87,18 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty).count() == 0
 
 
+def test_words_over_all_code_points():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    e = bpe.encoder()
+    for i in range(0, len(every), 256):
+        text = "".join(f"a{c}1{c}!{c} {c}  " for c in every[i : i + 256])
+        assert list(map(len, e.find(text))) == [b - a for _, (a, b) in t.pre_tokenize_str(text)]
+
+
 def test_html_held_out(spark):
     model = htmlcrf.default_model()
     pages = htmlcrf.signed(htmlcrf.labelled_pages(150, 77))
@@ -205,16 +217,16 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     given = ["http://A.com/en/x?q", "https://x.example.com/en/7", "com/en/", None, "a://b://net/de/8", "http://example.net/de/8#f", "ftp://notcom/en/", "http://x.com:80/en/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(given)] + [(0, given[0], "h")], "page_id long, url string, host string")
-    for bound in (urls.MAX_FILTER_WORDS, 0):
-        urls.MAX_FILTER_WORDS, kept = bound, urls.MAX_FILTER_WORDS
+    bounds = urls.MAX_FILTER_WORDS, urls.MAX_LENGTHS
+    for words, lengths in (bounds, (0, bounds[1]), (bounds[0], 1)):
+        monkeypatch.setattr(urls, "MAX_FILTER_WORDS", words)
+        monkeypatch.setattr(urls, "MAX_LENGTHS", lengths)
         got = sorted((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in urls.judge_urls(df, urls.listed(spark, urls.RULES)).collect())
-        urls.MAX_FILTER_WORDS = kept if bound else urls.MAX_FILTER_WORDS
         assert [g[2:] for g in got if g[0] in (0, 1, 5)] == [("com/en/", "block")] * 2 + [("example.com/en/7", "allow"), ("example.net/de/8", "block")]
         assert all(g[2:] == (None, "allow") for g in got if g[0] in (2, 3, 4, 6, 7)) and len(got) == 9
-    urls.MAX_FILTER_WORDS = 1 << 16
 
 
 def test_scores(docs, empty):
