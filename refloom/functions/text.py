@@ -226,3 +226,23 @@ def put_year(text: Column, year: Column, suffix: Column) -> Column:
     bare = F.concat(F.lit(r"(?is)^(.*?)\b"), year, F.lit(r"[a-z]?\b(.*)$"))
     to = F.concat(F.lit("$1"), done, F.lit("$2"))
     return F.when(F.regexp_like(text, paren), F.regexp_replace(text, paren, to)).when(F.regexp_like(text, bare), F.regexp_replace(text, bare, to)).otherwise(text)
+
+
+def heading_key(c: Column) -> Column:
+    """TXT23: a heading without blanks, full stops and colons, lower case."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[ .:：]", "")
+
+
+def boundary_key(c: Column) -> Column:
+    """TXT24: a text for comparing boundaries: compatibility forms, lower case, single blanks."""
+    return squeeze(F.lower(nfkc(F.coalesce(c, F.lit("")))))
+
+
+def broken_lines(c: Column, every: int = 6) -> Column:
+    """GEN1: a line break instead of the blank behind each so many words."""
+    return F.array_join(F.transform(F.split(c, " "), lambda w, i: F.when(i == 0, w).when(i % every == 0, F.concat(F.lit("\n"), w)).otherwise(F.concat(F.lit(" "), w))), "")
+
+
+def without_blank_lines(c: Column) -> Column:
+    """GEN1: runs of line breaks as one."""
+    return F.regexp_replace(c, r"\n\s*\n", "\n")

@@ -391,3 +391,125 @@ def mutate_punct(s, d):
     half, full = "(),.", "（），。"
     t = F.when(F.col("pos") % 2 == 0, F.translate("raw", half, full)).otherwise(F.translate("raw", full, half))
     return synth.refs(s, d).select("doc_id", "pos", t.alias("text"))
+
+
+QUERIES["filter_valid_author"] = _kept(rules.is_author)
+
+
+@query
+def filter_connector(s, d):
+    return synth.body(s, d).withColumn("rest", F.regexp_replace("text", r"^\S+", "")).filter(rules.starts_with_connector(F.col("rest"))).select("doc_id", "para_idx", "rest")
+
+
+@query
+def filter_open_items(s, d):
+    short = F.left(F.col("raw"), F.char_length("raw") - 1)
+    t = F.when(F.col("pos") % 3 == 0, short).when(F.col("pos") % 3 == 1, F.concat(short, F.lit(" and"))).otherwise(F.col("raw"))
+    return synth.refs(s, d).select("doc_id", "pos", t.alias("text")).filter(rules.ends_open(F.col("text")))
+
+
+@query
+def filter_initials(s, d):
+    t = synth.refs(s, d).select(F.regexp_extract("raw", ", ([^ ]+) ", 1).alias("token"))
+    return t.filter(rules.is_initials(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def filter_cited_segments(s, d):
+    groups = F.regexp_extract_all("text", F.lit(r"\(([^()]+)\)"), F.lit(1))
+    parts = synth.body(s, d).select("doc_id", "para_idx", F.explode(groups).alias("g")).select("doc_id", "para_idx", F.explode(F.split("g", ";")).alias("segment"))
+    return parts.filter(rules.is_cited_segment(F.col("segment")))
+
+
+@query
+def error_codes(s, d):
+    told = ["No reference section in file", "conversion timeout after 60 s", "cannot convert", "preview failed", "broken archive"]
+    message = F.element_at(F.array(*map(F.lit, told)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return synth.table(s, d, "orders").select("o_orderkey", rules.error_code(message).alias("code"))
+
+
+@query
+def reference_key_title(s, d):
+    r = match.references(synth.refs(s, d))
+    title = F.regexp_extract("raw", r"^[^.]*\.[^.]*\. (.*)$", 1)
+    return r.select("doc_id", "pos", cites.title_key(F.col("r.surname"), F.col("r.year").cast("string"), F.col("r.year_suffix"), title).alias("key"))
+
+
+@query
+def body_extraction(s, d):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "text"))), lambda x: x["text"])
+    t = synth.paragraphs(s, d).groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))
+    part = lambda mode, **k: segment.body_text(F.col("text"), mode, **k)
+    return t.select("doc_id", F.sha2(part("before_heading"), 256).alias("before"), F.sha2(part("full_text"), 256).alias("whole"), part("first_n_chars", chars=40).alias("first"), F.char_length(part("until_marker", marker="Appendix")).cast("long").alias("n_marked"))
+
+
+@query
+def lead_strip(s, d):
+    at = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("o_orderkey") % len(words) + 1).cast("int"))
+    english, han = F.concat(at(text.ENGLISH_LEADS), synth.name_at(F.col("o_custkey"))), F.concat(at(text.CHINESE_LEADS), F.lit("李明"))
+    return synth.table(s, d, "orders").select("o_orderkey", text.strip_english_lead(english).alias("english"), text.strip_han_lead(han).alias("han"))
+
+
+@query
+def similar_names(s, d):
+    x = synth.name_at(F.col("o_custkey") * 7)
+    y = F.when(F.col("o_orderkey") % 3 == 0, synth.name_at(F.col("o_orderkey"))).otherwise(F.concat(x, F.lit("e")))
+    pairs = synth.table(s, d, "orders").select(x.alias("a"), y.alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select("a", "b", "n", text.similar(F.col("a"), F.col("b")).alias("similar"))
+
+
+@query
+def apply_year(s, d):
+    r = synth.refs(s, d).withColumn("year", F.regexp_extract("raw", r"[(（]((?:19|20)\d{2})", 1)).filter("year <> ''")
+    return r.select("doc_id", "pos", text.put_year(F.col("raw"), F.col("year"), F.lit("B")).alias("text"))
+
+
+@query
+def context_window(s, d):
+    b = synth.body(s, d).withColumn("at", F.position(F.lit("("), F.col("text"))).filter("at > 0")
+    return b.select("doc_id", "para_idx", text.around(F.col("text"), F.col("at") - 1, F.col("at") + 5, 10).alias("context"))
+
+
+@query
+def heading_keys(s, d):
+    return synth.paragraphs(s, d).select(text.heading_key(F.col("text")).alias("key")).filter("char_length(key) <= 20").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["boundary_text"] = _hashed(text.boundary_key)
+
+
+@query
+def metric_averages(s, d):
+    return metrics.averages(key_set_metrics(s, d))
+
+
+@query
+def key_coverage(s, d):
+    return metrics.key_coverage(match.references(synth.refs(s, d)).select("doc_id", "key"))
+
+
+@query
+def key_consistency(s, d):
+    return metrics.key_rules(match_four_way(s, d))
+
+
+@query
+def reference_spans(s, d):
+    changed = F.concat(F.left(F.col("raw"), F.char_length("raw") - 3), F.lit("zzz"))
+    sought = synth.refs(s, d).select("doc_id", "pos", F.when((F.col("pos") % 7 == 0) & (F.char_length("raw") >= 40), changed).otherwise(F.col("raw")).alias("text"))
+    return metrics.locate_spans(sought, block(s, d).withColumnRenamed("ref_text", "text"))
+
+
+@query
+def report_markdown(s, d):
+    return files.markdown_lines(match_counts_per_doc(s, d).select("doc_id", "matched", "missing", "extra", "ambiguous"), "Matches")
+
+
+@query
+def mutate_linebreaks(s, d):
+    return synth.refs(s, d).select("doc_id", "pos", text.broken_lines(F.col("raw")).alias("text"))
+
+
+@query
+def mutate_no_blank(s, d):
+    return synth.refs(s, d).select("doc_id", "pos", text.without_blank_lines(F.replace("raw", F.lit(". "), F.lit(".\n\n"))).alias("text"))

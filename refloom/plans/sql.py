@@ -218,3 +218,35 @@ UNION ALL SELECT doc_id, pos * 2 + 1, 'Second part of it.' FROM w WHERE k = 2"""
     "mutate_spaces": W + REFS + " SELECT doc_id, pos, substr(x, 1, strpos(x, '  ') - 1) || chr(9) || substr(x, strpos(x, '  ') + 2) AS text FROM (SELECT doc_id, pos, replace(raw, ' ', '  ') AS x FROM refs)",
     "mutate_punct": W + REFS + " SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN translate(raw, '(),.', '（），。') ELSE translate(raw, '（），。', '(),.') END AS text FROM refs",
 }
+
+_WIDE_FROM, _WIDE_TO = "".join(chr(0xFEE0 + i) for i in range(0x21, 0x7F)) + "　", "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " "
+_BOUNDARY = squeeze(f"lower(translate(text, '{_WIDE_FROM}', '{_WIDE_TO}'))")
+_ASCII_NAME = "regexp_replace(lower(surname), '[^a-z0-9]', '', 'g')"
+_CODES = "['REFERENCE_SECTION_NOT_FOUND', 'CONVERSION_TIMEOUT', 'CONVERSION_ERROR', 'PREVIEW_ERROR', 'PARSE_ERROR']"
+SQL |= {
+    "filter_valid_author": W + LINES + r" SELECT doc_id, line_idx, text FROM lines WHERE length(regexp_replace(trim(text), '[^ ]', '', 'g')) <= 4 AND regexp_matches(text, '\p{Lu}')",
+    "filter_connector": W + BODY + r" SELECT doc_id, para_idx, substr(text, strpos(text, ' ')) AS rest FROM body WHERE text SIMILAR TO '[^ ]+ (and|And|&)\b.*'",
+    "filter_open_items": W + REFS + " SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN left(raw, -1) ELSE left(raw, -1) || ' and' END AS text FROM refs WHERE pos % 3 < 2",
+    "filter_initials": W + REFS + r" SELECT token, count(*) AS n FROM (SELECT regexp_extract(raw, ', ([^ ]+) ', 1) AS token FROM refs) WHERE regexp_matches(token, '^([A-Za-z]\.)+$') GROUP BY token",
+    "filter_cited_segments": W + BODY + rf""" SELECT doc_id, para_idx, segment FROM (SELECT doc_id, para_idx, unnest(string_split(g, ';')) AS segment FROM (SELECT doc_id, para_idx, unnest(regexp_extract_all(text, '\(([^()]+)\)', 1)) AS g FROM body))
+  WHERE regexp_matches(trim(segment), '(?i)^.+?,\s*{TOK}(?:,\s*pp?\.?\s*\d+)?$')""",
+    "error_codes": f"SELECT o_orderkey, {_CODES}[(o_orderkey % 5 + 1)::INT] AS code FROM orders",
+    "reference_key_title": W + REFS + "," + RKEYS + rf""" SELECT doc_id, pos, CASE WHEN name = '' OR yr = '' THEN '' ELSE name || '_' || yr || suf || CASE WHEN title <> '' THEN '_' || title ELSE '' END END AS key FROM (
+  SELECT *, {_ASCII_NAME} AS name, left(regexp_replace(lower(regexp_extract(raw, '^[^.]*\.[^.]*\. (.*)$', 1)), '[^a-z0-9]', '', 'g'), 12) AS title FROM rkeys)""",
+    "body_extraction": W + PARAS + r""" SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN before ELSE whole END) AS before, sha256(whole) AS whole, left(whole, 40) AS first, length(CASE WHEN doc_id % 2 = 0 THEN left(whole, strpos(whole, 'Appendix') - 1) ELSE whole END) AS n_marked
+  FROM (SELECT doc_id, string_agg(text, chr(10) ORDER BY para_idx) AS whole, string_agg(text, chr(10) ORDER BY para_idx) FILTER (para_idx < start) AS before FROM paras JOIN starts USING (doc_id) GROUP BY doc_id)""",
+    "lead_strip": f"SELECT o_orderkey, {nm('o_custkey')} AS english, '李明' AS han FROM orders",
+    "apply_year": W + REFS + r" SELECT doc_id, pos, CASE WHEN raw LIKE '%（%' THEN regexp_replace(raw, '((?:19|20)\d{2})', '(\1b)') ELSE regexp_replace(raw, '\(((?:19|20)\d{2})[a-z]?\)', '(\1b)') END AS text FROM refs WHERE regexp_matches(raw, '[(（](?:19|20)\d{2}')",
+    "context_window": W + BODY + " SELECT doc_id, para_idx, '...' || substr(text, greatest(p - 11, 0) + 1, least(p + 15, length(text)) - greatest(p - 11, 0)) || '...' AS context FROM (SELECT *, strpos(text, '(') AS p FROM body) WHERE p > 0",
+    "heading_keys": W + PARAS + " SELECT key, count(*) AS n FROM (SELECT replace(replace(replace(replace(lower(text), ' ', ''), '.', ''), ':', ''), '：', '') AS key FROM paras) WHERE length(key) <= 20 GROUP BY key",
+    "boundary_text": f"SELECT doc_id, sha256({_BOUNDARY}) AS h FROM ({DOCS})",
+    "metric_averages": f"SELECT count(*) AS cases, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(jaccard), 6) AS jaccard FROM ({SQL['key_set_metrics']})",
+    "key_coverage": W + REFS + "," + RKEYS + " SELECT doc_id, sum(n)::BIGINT AS items, sum(n)::BIGINT AS keyed, count(*) FILTER (n > 1) AS duplicate_keys, 1.0::DOUBLE AS coverage FROM (SELECT doc_id, key, count(*) AS n FROM rkeys GROUP BY doc_id, key) GROUP BY doc_id",
+    "key_consistency": W + FOUR + " SELECT doc_id, count(DISTINCT key) AS keys, count(*) - count(DISTINCT key) AS overlapping FROM four GROUP BY doc_id",
+    "reference_spans": W + REFS + """ SELECT doc_id, pos, start::INT AS start, (start + length(raw))::INT AS end, CASE WHEN pos % 7 = 0 AND length(raw) >= 40 THEN 'head' ELSE 'exact' END AS found
+  FROM (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM refs)""",
+    "report_markdown": f"""SELECT 4::BIGINT AS ord, '| ' || doc_id || ' | ' || matched || ' | ' || missing || ' | ' || extra || ' | ' || ambiguous || ' |' AS value FROM ({SQL['match_counts_per_doc']})
+  UNION ALL VALUES (0, '# Matches'), (1, ''), (2, '| doc_id | matched | missing | extra | ambiguous |'), (3, '| --- | --- | --- | --- | --- |')""",
+    "mutate_linebreaks": W + REFS + " SELECT doc_id, pos, array_to_string(list_transform(string_split(raw, ' '), lambda w, i: CASE WHEN i = 1 THEN w WHEN (i - 1) % 6 = 0 THEN chr(10) || w ELSE ' ' || w END), '') AS text FROM refs",
+    "mutate_no_blank": W + REFS + " SELECT doc_id, pos, replace(raw, '. ', '.' || chr(10)) AS text FROM refs",
+}

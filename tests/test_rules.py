@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refloom.functions import cites, items, rules, text
-from refloom.operators import biblio, layout, match, segment, spans
+from refloom.operators import biblio, layout, match, metrics, segment, spans
 from refloom.sources import files
 
 
@@ -127,3 +127,36 @@ def test_year_in_place(spark):
     df = spark.createDataFrame([("X ( 2020 ) and (2020)", "2020", "a"), ("X. 2020. T", "2020", "b"), ("none", "2020", "")], "t string, y string, s string")
     assert [r[0] for r in df.select(text.put_year(F.col("t"), F.col("y"), F.col("s"))).collect()] == ["X (2020a) and (2020)", "X. (2020b). T", "none"]
     assert [tuple(r[0]) for r in df.select(cites.title_and_source(F.lit(". T. S, 1."))).limit(1).collect()] == [("T", "S, 1.")]
+
+
+def test_places_of_texts(spark):
+    items = spark.createDataFrame([(1, 0, "Li, M. (2020). A."), (1, 1, "absent"), (1, 2, "Li, M. (2020). A."), (1, 3, "Xu, Q. (2019). A long title that stays, but other"), (2, 0, "x"), (1, 4, "")], "doc_id long, pos long, text string")
+    block = spark.createDataFrame([(1, "Li, M. (2020). A.\nLi, M. (2020). A.\nXu, Q. (2019). A long title that stays."), (3, "x")], "doc_id long, text string")
+    got = [(r["pos"], r["start"], r["end"], r["found"]) for r in metrics.locate_spans(items, block).orderBy("pos").collect()]
+    assert got == [(0, 0, 17, "exact"), (1, 17, 17, "none"), (2, 18, 35, "exact"), (3, 36, 75, "head"), (4, 75, 75, "none")]
+
+
+def test_means_coverage_and_rules(spark):
+    scores = spark.createDataFrame([(1, 1.0, 0.5, 0.6)], "doc_id long, precision double, recall double, f1 double")
+    assert metrics.averages(scores).first().asDict() == {"cases": 1, "precision": 1.0, "recall": 0.5, "f1": 0.6}
+    assert metrics.averages(scores.limit(0)).first()["f1"] is None
+    keys = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, None), (2, None)], "doc_id long, key string")
+    assert sorted(map(tuple, metrics.key_coverage(keys).collect())) == [(1, 4, 2, 1, 0.5), (2, 1, 0, 0, 0.0)]
+    status = spark.createDataFrame([(1, "a", "matched"), (1, "a", "missing"), (1, "b", "extra")], "doc_id long, key string, status string")
+    assert [tuple(r) for r in metrics.key_rules(status).collect()] == [(1, 2, 1)]
+
+
+def test_similar_names(spark):
+    pairs = [("Müller", "Muller", True), ("Li", "li", True), ("Li", "Lee", False), ("", "x", False), ("Schlick", "Schlik", True), ("Baier", "Young", False)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    assert [r[0] for r in df.orderBy("i").select(text.similar(F.col("a"), F.col("b"))).collect()] == [p[2] for p in pairs]
+
+
+def test_strokes_and_markdown(spark, tmp_path):
+    files.write_strokes(spark.createDataFrame([("李", 7), ("丁", 2)], "ch string, n int"), str(tmp_path / "s"))
+    (tmp_path / "t.json").write_text('{"李": "7", "王": "x", "丁": 2, "木": "4.5"}', encoding="utf-8")
+    assert spark.read.text(str(tmp_path / "s")).first()[0] == '{"丁":2,"李":7}'
+    assert sorted(map(tuple, files.load_strokes(spark, str(tmp_path / "t.json")).collect())) == [("丁", 2), ("李", 7)]
+    files.write_markdown(spark.createDataFrame([(2, "a|b"), (1, None)], "n int, t string"), "T", str(tmp_path / "m"))
+    lines = [x for f in sorted((tmp_path / "m").glob("part-*")) for x in f.read_text().split("\n")[:-1]]
+    assert lines == ["# T", "", "| n | t |", "| --- | --- |", "| 1 |  |", "| 2 | a\\|b |"]
