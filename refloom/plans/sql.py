@@ -250,3 +250,41 @@ SQL |= {
     "mutate_linebreaks": W + REFS + " SELECT doc_id, pos, array_to_string(list_transform(string_split(raw, ' '), lambda w, i: CASE WHEN i = 1 THEN w WHEN (i - 1) % 6 = 0 THEN chr(10) || w ELSE ' ' || w END), '') AS text FROM refs",
     "mutate_no_blank": W + REFS + " SELECT doc_id, pos, replace(raw, '. ', '.' || chr(10)) AS text FROM refs",
 }
+
+_NUMBERED = """,
+numbered AS (SELECT k.*, doc_id || ':' || para_idx || ':' || (row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY k.o, strpos(b.text, k.raw)) - 1) AS cite_id FROM ckeys k JOIN body b USING (doc_id, para_idx)),
+ac AS (SELECT doc_id, cite_id, raw, surname AS author1, yr || suf AS year, CASE WHEN regexp_matches(surname, '[A-Za-z]') THEN 'en' ELSE 'zh' END AS lang FROM numbered WHERE yr <> ''),
+ex AS (SELECT cite_id, arg_min(r.raw, item_idx) AS ref_raw FROM ac c JOIN core r ON r.doc_id = c.doc_id AND r.lang = c.lang AND lower(r.author1) = lower(c.author1) AND r.year = c.year GROUP BY cite_id),
+cx AS (SELECT cite_id, min(item_idx)::INT AS ref_idx, arg_min(r.raw, item_idx) AS ref_raw FROM ac c JOIN core r ON r.doc_id = c.doc_id AND r.lang = c.lang AND r.year = c.year AND contains(lower(c.raw), lower(r.author1)) AND contains(r.raw, c.author1) GROUP BY cite_id)"""
+_BIB = r""",
+items AS (
+  SELECT doc_id, pos, raw, lower(regexp_extract(raw, '^([A-Za-z]+),', 1)) AS first, CASE WHEN raw LIKE '%, & %' THEN [lower(regexp_extract(raw, ', & ([A-Za-z]+),', 1)), 'b'] ELSE ['a'] END AS more,
+    regexp_extract(raw, '\((\d{4})', 1) AS year, regexp_extract(raw, '\(\d{4}([a-z])\)', 1) AS suffix, regexp_replace(lower(split_part(regexp_extract(raw, '\)\. (.*)$', 1), '.', 1)), '[^a-z0-9]', '', 'g') AS title
+  FROM refs WHERE regexp_matches(raw, '^[A-Za-z].*\((19|20)\d{2}[a-z]?\)')
+), turns AS (
+  SELECT *, suffix = '' AND count(*) OVER (PARTITION BY doc_id, year, first, more) > 1 AND row_number() OVER turn <= 26 AS auto, chr((96 + row_number() OVER turn)::INT) AS letter
+  FROM items WINDOW turn AS (PARTITION BY doc_id, year, first, more, suffix ORDER BY title, pos)
+), bib AS (
+  SELECT doc_id, pos, CASE WHEN auto THEN replace(raw, '(' || year || ')', '(' || year || letter || ')') ELSE raw END AS text, first, more, year, CASE WHEN auto THEN letter ELSE suffix END AS suffix, title, auto, NULL AS reason FROM turns
+  UNION ALL SELECT doc_id, pos, raw, NULL, NULL, NULL, '', NULL, false, CASE WHEN raw LIKE '%（%' THEN 'author_missing' ELSE 'year_missing' END FROM refs WHERE NOT regexp_matches(raw, '^[A-Za-z].*\((19|20)\d{2}[a-z]?\)')
+)"""
+SQL |= {
+    "context_recovery": W + A + _NUMBERED + " SELECT cite_id, ref_idx, ref_raw FROM cx",
+    "match_cascade": W + A + RAWT + _NUMBERED + f""", staged AS (
+  SELECT c.doc_id, c.cite_id, CASE WHEN ex.cite_id IS NOT NULL THEN 'Exact' WHEN {IN_RAW} THEN 'Found in Raw Text (Parser Missed)' WHEN cx.cite_id IS NOT NULL THEN 'Context Recovery' ELSE 'Missing' END AS match_type, ex.ref_raw AS e, cx.ref_raw AS x
+  FROM ac c LEFT JOIN ex USING (cite_id) LEFT JOIN cx USING (cite_id))
+SELECT doc_id, cite_id, match_type, CASE match_type WHEN 'Exact' THEN e WHEN 'Context Recovery' THEN x WHEN 'Found in Raw Text (Parser Missed)' THEN '(Located in Reference Section text)' END AS ref_raw FROM staged""",
+    "bibliography_sort": W + REFS + _BIB + """ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY reason IS NOT NULL, first, more, year, suffix <> '', suffix, title, pos) - 1 AS ord, pos, text,
+  CASE WHEN reason IS NULL THEN first || '_' || year || suffix || '_' || left(title, 12) ELSE '' END AS key, reason FROM bib""",
+    "auto_suffix": W + REFS + _BIB + " SELECT doc_id, pos, suffix, text FROM bib WHERE auto",
+    "normalize_report": W + REFS + _BIB + """ SELECT doc_id, count(*) AS total_items, count(*) FILTER (reason IS NULL) AS parsed_items, count(*) FILTER (reason IS NULL) AS authors_year_parsed_items, count(*) FILTER (auto) AS auto_suffix_applied_items,
+  count(*) FILTER (reason = 'year_missing') AS year_missing, count(*) FILTER (reason = 'author_missing') AS author_missing FROM bib GROUP BY doc_id""",
+    "authors_list": W + REFS + r""" SELECT doc_id, pos, CASE WHEN names LIKE '%, & %' THEN regexp_replace(names, '^(.*), & (.*), B\.$', '\1|\2|B') ELSE regexp_replace(names, ', A\.$', '|A') END AS authors
+  FROM (SELECT doc_id, pos, split_part(raw, ' (', 1) AS names FROM refs WHERE regexp_matches(raw, '^[A-Za-z].*\((19|20)\d{2}[a-z]?\)'))""",
+    "page_layout_columns": """WITH words AS (
+  SELECT l_orderkey AS doc_id, l_partkey AS idx, l_linenumber AS n, l_linenumber % 2 = 0 AS right_side, l_linenumber % 2 = 0 OR l_orderkey % 3 = 0 AS gutter FROM lineitem
+), pages AS (SELECT doc_id, max(n * 50 + 10) FILTER (gutter) AS low FROM words GROUP BY doc_id)
+SELECT doc_id, 1::INT AS page, (CASE WHEN two THEN 2 ELSE 1 END)::INT AS columns, string_agg(n::VARCHAR, ' ' ORDER BY region, n, right_side, idx) AS text FROM (
+  SELECT *, coalesce(low < 160, true) AS two, CASE WHEN NOT coalesce(low < 160, true) OR n * 50 < coalesce(low + 5, -1) THEN 0 WHEN right_side THEN 2 ELSE 1 END AS region FROM words JOIN pages USING (doc_id)
+) GROUP BY doc_id, two""",
+}
