@@ -124,6 +124,33 @@ def test_spot_fingerprints(docs, empty):
     assert spotsigs.fingerprints(empty).count() == 0
 
 
+def spot_sets(text):
+    """(chains, the set that stands in for few chains), in plain Python."""
+    import regex
+
+    common = {w for ws in spotsigs.ANCHORS.values() for w in ws}
+    words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split()
+    after = lambda i: [w for w in words[i + 1 :] if w not in common][:2]
+    chains = {(w, *after(i)) for i, w in enumerate(words) if w in common and len(after(i)) == 2}
+    rest = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or ({tuple(words) if words else text} if text else set())
+    return chains, rest
+
+
+def test_spot_likeness(docs):
+    def likeness(a, b):
+        (x, p), (y, q) = spot_sets(a), spot_sets(b)
+        x, y = (p, q) if min(len(x), len(y)) < spotsigs.MIN_SPOTS else (x, y)
+        return round(len(x & y) / len(x | y), 9) if x or y else 1.0
+
+    rows = sorted(((d, t or "") for d, t in texts()), key=lambda x: (x[0] if x[0] is not None else -1, x[1]), reverse=True)
+    want = Counter()
+    for i, (d, t) in enumerate(rows):
+        nxt, k = rows[(i + 1) % len(rows)][1], len(t) // 3
+        want[d, len(t), likeness(t, t[: len(t) - k] + nxt[:k]), likeness(t, nxt)] += 1
+    got = Counter((r["doc_id"], r["n_chars"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in spotsigs.fingerprints(docs).collect())
+    assert got == want
+
+
 def test_spot_pairs_are_all_pairs(docs):
     sets = {}
     for r in docs.filter("doc_id is not null").select("doc_id", spotsigs.spots(F.coalesce("text", F.lit(""))).alias("s")).collect():
