@@ -44,3 +44,8 @@ def partitions_for(df: DataFrame, *text_cols: str, task_bytes: int = TASK_BYTES)
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that a stage's own names cannot clash with theirs; ``select("_row.*")`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_row")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read_table
+from .common import let, read_table, whole_row
 
 #: Words end at blanks and at U+0009 to U+000D.
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -221,5 +221,4 @@ def quality_rules(spark: SparkSession, sf_dir: str, docs: DataFrame | None = Non
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the learned list keeps, with the columns they came with."""
     rules = fit_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return judge(docs, rules, names).filter("kept").select(*names)
+    return judge(docs.select(whole_row(docs), "text"), rules, ["_row"]).filter("kept").select("_row.*")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, read_table
+from .common import cut_lineage, read_table, whole_row
 from .components import components
 
 SHINGLE, SEED, MAX_BITS, BLOCKS, MAX_BUCKET = 3, 42, 2, 4, 64
@@ -102,7 +102,6 @@ def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: its least doc_id (rows without an id stay); the columns of docs."""
-    names = docs.columns
     firsts = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(firsts, F.col("doc_id") == F.col("_keep"), "left").filter("_keep is not null or doc_id is null")
-    return kept.select(*[F.col(c) for c in names])
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_row(docs))
+    return rows.join(firsts, F.col("_id") == F.col("_keep"), "left").filter("_keep is not null or _id is null").select("_row.*")

@@ -405,7 +405,7 @@ def dedup_passages(docs: DataFrame, carry: list[str] | None = None, with_text: b
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text also the text left, without characters that were cut
     apart. carry: columns of docs that come along, as _c0, _c1 and so on."""
     names = [f"_c{i}" for i, _ in enumerate(carry or [])]
-    every = docs.select(F.col("doc_id").cast("long").alias("_d"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_b"), *[F.col(c).alias(n) for n, c in zip(names, carry or [], strict=True)])
+    every = docs.select(F.col("doc_id").cast("long").alias("_d"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_b"), *[F.col("`" + c.replace("`", "``") + "`").alias(n) for n, c in zip(names, carry or [], strict=True)])
     parts = _prime_from(partitions_for(docs, "text"))
     known = every.filter("_d is not null").withColumn("_pid", F.pmod(F.col("_d"), F.lit(parts)).cast("int"))
     slim = known.select("_pid", "_d", "_b")

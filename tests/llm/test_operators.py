@@ -273,6 +273,20 @@ def test_scores(docs, empty):
     assert words == [] and pll.score(empty, words, fresh).count() == 0
 
 
+def test_stages_with_clashing_names(spark, docs):
+    import corpus_pipeline
+
+    names = ["n_words", "kept", "base_failed", "words", "_t", "_w", "_keep", "_id", "_d", "_b", "_c0", "_pid", "component_id", "n_removed", "a.b"]
+    wide = docs.select("doc_id", "text", "lang", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for table in (wide, wide.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, D)
+            rows = out.collect()
+            assert out.columns == table.columns, name
+            assert all(list(r)[3:] == list(range(len(names))) for r in rows) and (table is wide) == bool(rows)
+        assert (table is wide) == bool(corpus_pipeline.STAGES[-1][1](spark, table, D).count())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
