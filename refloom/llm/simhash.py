@@ -9,6 +9,10 @@ Keys that hold more than ``MAX_BUCKET`` fingerprints would make pairs quadratic.
 its 64 one-bit neighbours instead: two fingerprints differ in at most two bits exactly if they share one of these, so
 linking each to the least one that shares it gives the same components, in linear size.
 
+The pipeline's stage takes another contract: sets of five words with a Jaccard index of 0.8 or more. Two such sets share one
+of their first n / 5 + 1 shingles in any order common to all, here the rarest first, so these are the join keys; candidates
+are verified on the whole sets, and no near pair is lost.
+
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other. Repeated rows stay,
 each with its component. A null doc_id keeps its fingerprint and the component of its group (null if the group has no
 id). An empty table gives no rows. Of the input only doc_id and text are read, so further columns cannot clash.
@@ -28,20 +32,29 @@ from .common import cut_lineage, read_table, whole_row
 from .components import components
 
 SHINGLE, SEED, MAX_BITS, BLOCKS, MAX_BUCKET = 3, 42, 2, 4, 64
+#: For the stage: words in a shingle, and the part of the union that near sets may lack (a fifth: Jaccard 0.8 or more).
+STAGE_SHINGLE, LIKE_PART = 5, 5
+#: Counters of shingles by hash, which only order them, and the rows they travel in.
+SKETCH, SKETCH_ROWS = 1 << 20, 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text: bit set where over half of the shingle hashes have it."""
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash of each run of so many words; of all words where there are fewer."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # of bytes: A-Z, and exactly blank and U+0009 to U+000D
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
-    h = np.array([xxh64_intdigest(p, SEED) for p in parts], np.uint64)
+    return np.array([xxh64_intdigest(p, SEED) for p in parts], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text: bit set where over half of the shingle hashes have it."""
+    h = _hashes(text, shingle)
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(bits * 2 > len(h), bitorder="little").tobytes(), "little")
 
@@ -85,21 +98,134 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, max_
     return verified.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def by_fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, fp long, component_id for each row of docs."""
     marked = cut_lineage(with_fingerprints(docs))
     nodes = cut_lineage(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
+    return _with_components(marked, nodes, links(nodes))
+
+
+def _with_components(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # one document may, repeated with other texts, be the least id of several fingerprints: they are one node then
-    comp = components(links(nodes))
+    comp = components(edges)
     by_fp = nodes.join(comp, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
     return marked.join(by_fp, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(read_table(spark, sf_dir, "documents"))
+    out = by_fingerprint(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def with_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (a digest of the set), hs: the sorted hashes of a row's distinct STAGE_SHINGLE words."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hs = [np.unique(_hashes(t, STAGE_SHINGLE)).tobytes() for t in b["text"]]
+            fp = np.array([xxh64_intdigest(h, SEED) for h in hs], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp, "hs": hs})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long, hs binary")
+
+
+def _sketch(rows: DataFrame) -> np.ndarray:
+    """How often shingles occur, added up by the low bits of their hash."""
+    width = SKETCH // SKETCH_ROWS
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            h = np.frombuffer(b"".join(b["hs"]), np.uint64)
+            n += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        if n.any():
+            yield pd.DataFrame({"at": np.arange(SKETCH_ROWS), "n": [x.astype("<u4").tobytes() for x in n.reshape(-1, width)]})
+
+    def add(frames: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in frames["n"])
+        return pd.DataFrame({"at": [int(frames["at"].iloc[0])], "n": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
+
+    kind, out = "at int, n binary", np.zeros((SKETCH_ROWS, width), np.uint32)
+    for r in rows.select("hs").mapInPandas(count, kind).groupBy("at").applyInPandas(add, kind).collect():
+        out[r["at"]] = np.frombuffer(bytes(r["n"]), "<u4")
+    return out.ravel()
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """fp, n, key: of each set of n shingles the rarest, so many that two sets with LIKE of their union in common share one."""
+    seen = rows.sparkSession.sparkContext.broadcast(_sketch(rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in b["hs"]]
+            keys = []
+            for h in sets:
+                order = np.argsort(seen.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")  # of equal counts the least hash
+                keys.append(h[order[: len(h) // LIKE_PART + 1]].view(np.int64))
+            yield pd.DataFrame({"fp": b["fp"], "n": [len(h) for h in sets], "keys": keys})
+
+    kept = rows.filter("doc_id is not null").select("fp", "hs").mapInPandas(run, "fp long, n int, keys array<long>")
+    return kept.select("fp", "n", F.explode("keys").alias("key"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs a, b of digests whose sets have a Jaccard index of 0.8 or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["x"], b["y"], strict=True)]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets]
+            near = [LIKE_PART * k >= (LIKE_PART - 1) * (len(x) + len(y) - k) for (x, y), k in zip(sets, both, strict=True)]
+            yield b.loc[np.array(near, bool), ["a", "b"]]
+
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("hs").alias("hs"))
+    x, y = sets.select(F.col("fp").alias("a"), F.col("hs").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hs").alias("y"))
+    return cut_lineage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"))
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether the sizes allow the similarity."""
+    return F.least(x["n"], y["n"]) * LIKE_PART >= F.greatest(x["n"], y["n"]) * (LIKE_PART - 1)
+
+
+def set_links(rows: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """a, b: digests of near sets, with the components of all pairs of a Jaccard index of 0.8 or more.
+
+    In keys over max_bucket each set is compared with one of them; then all that are not in one component by that.
+    """
+    buckets = cut_lineage(_prefixes(rows).groupBy("key").agg(F.collect_set(F.struct("fp", "n")).alias("g")).filter("size(g) > 1"))
+    small, large = buckets.filter(F.size("g") <= max_bucket), buckets.filter(F.size("g") > max_bucket)
+    pair = lambda x, y: F.struct(F.greatest(x["fp"], y["fp"]).alias("a"), F.least(x["fp"], y["fp"]).alias("b"))
+    every = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (y["fp"] < x["fp"]) & _alike(x, y)), lambda y: pair(x, y))))
+    star = F.transform(F.filter("g", lambda x: (x["fp"] != F.col("low")["fp"]) & _alike(x, F.col("low"))), lambda x: pair(x, F.col("low")))
+    pairs = small.select(F.explode(every).alias("p")).union(large.withColumn("low", F.array_min("g")).select(F.explode(star).alias("p")))
+    found = _verified(pairs.select("p.a", "p.b").distinct(), rows)
+    if large.isEmpty():
+        return found
+    comp = components(found).select(F.col("node").alias("fp"), "component")
+    members = large.select("key", F.explode("g").alias("m")).select("key", "m.fp", "m.n").join(comp, "fp", "left")
+    groups = cut_lineage(members.groupBy("key", F.coalesce("component", "fp").alias("c")).agg(F.collect_list(F.struct("fp", "n")).alias("g")))
+    several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
+    groups = groups.join(several, "key", "left_semi")
+    others = groups.select("key", F.col("c").alias("c2"), F.col("g").alias("g2"))
+    across = groups.join(others, "key").filter("c < c2").select(F.explode("g").alias("x"), "g2").select("x", F.explode("g2").alias("y"))
+    more = across.filter(_alike(F.col("x"), F.col("y"))).select(pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").distinct()
+    return found.union(_verified(more, rows))
+
+
+def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """doc_id, fp long, component_id for each row of docs: linked are rows whose sets of five words have a Jaccard index of
+    0.8 or more. fp is a digest of the set."""
+    rows = cut_lineage(with_sets(docs))
+    marked = rows.select("doc_id", "fp")
+    nodes = cut_lineage(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
+    a, b = nodes.select(F.col("fp").alias("a"), F.col("node").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("node").alias("y"))
+    edges = set_links(rows, max_bucket).join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _with_components(marked, nodes, edges)
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: its least doc_id (rows without an id stay); the columns of docs."""
     firsts = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()

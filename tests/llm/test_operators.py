@@ -226,6 +226,28 @@ def test_simhash(docs, empty, bound):
         assert simhash.keep_one(docs.sparkSession, docs, D).columns == docs.columns
 
 
+@pytest.mark.parametrize("bound", [1, simhash.MAX_BUCKET])
+def test_near_copies_are_all_pairs(spark, bound):
+    r = random.Random(5)
+    given = []
+    for _ in range(12):
+        w = [f"w{r.randrange(4000)}" for _ in range(r.randrange(6, 90))]
+        given += [" ".join(w)] * 2
+        for _ in range(7):
+            at = r.randrange(len(w))
+            w = [*w[:at], "new", *w[at + r.randrange(2) :]] if r.random() < 0.7 else w[r.randrange(4) :]
+            given.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, given)]
+    up = list(range(len(given)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if k in (a, b) else k for k in up]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), bound).collect()}
+    assert [got[i] for i in range(len(given))] == up and len(given) - len(set(up)) > 40
+
+
 def test_packing(docs, empty):
     e = bpe.encoder()
     rows = packing.pack_documents(docs, packing.Limits(64, 8, 64)).collect()
