@@ -5,9 +5,10 @@ that width have the same least anchor (the smallest hash of the ``ANCHOR`` byte
 with one anchor, called pieces, can be dealt out by the anchor and no match is lost.
 
 1. Every task cuts its documents into pieces of at most ``RUN`` starts and keeps, of equal pieces, those of the least
-   document; the others are marked at once.
-2. By anchor, the same is done over all tasks. Anchors with more than one text in more than one document are left.
-3. Only their pieces are read from the documents, once for each text, and dealt out by anchor again. There the collection
+   document; the others are marked at once. Hashes find them, their bytes decide.
+2. By anchor, those in more than one document over all tasks are left.
+3. Only their pieces are read from the documents, equal ones of a document once, and dealt out by anchor again. There
+   pieces of equal bytes are marked but for the least document's. Where several documents are left, the collection
    transform and its common prefixes are built column by column (``bwt``); suffixes that share ``WIDTH`` bytes form a
    group, and those whose document is not the group's least are marked.
 4. Marks meet their documents, which lose the covered bytes.
@@ -45,6 +46,8 @@ BLOB_SQL = "kind int, part int, blob binary"
 _u = np.uint64
 _LETTERS = np.random.default_rng(20).integers(1 << 62, (1 << 63) - 1, 256, dtype=np.int64).astype(_u) * _u(2) + _u(1)
 _MUL = [_u(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
+#: For the blocks of a piece; none is used inside a block, where a product would be the same in another order.
+_BLOCK_MUL = [_u(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,7 +92,7 @@ def cut(segments: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     heads = np.flatnonzero(new)
     s, n = at[heads], np.diff(np.append(heads, len(at)))
     size = n + WIDTH - 1
-    x = _mix(h16[s] * _MUL[0] + h16[s + 16] * _MUL[1] + h16[s + 32] * _MUL[2] + h16[s + size - 16] * _MUL[4] + h16[s + size - 32] * _MUL[5] + size.astype(_u))
+    x = _mix(h16[s] * _BLOCK_MUL[0] + h16[s + 16] * _BLOCK_MUL[1] + h16[s + 32] * _BLOCK_MUL[2] + h16[s + size - 16] * _BLOCK_MUL[3] + h16[s + size - 32] * _BLOCK_MUL[4] + size.astype(_u))
     seg = np.searchsorted(offs, s, side="right") - 1
     return seg, s - offs[seg], n, v[heads], x
 
@@ -103,7 +106,7 @@ def segments_of(body: bytes) -> Iterator[tuple[int, np.ndarray]]:
 
 def dump(t: dict[str, np.ndarray], extra: bytes = b"") -> bytes:
     """Arrays to compressed bytes: small differences for ids and places; six bytes of h and five of x, which as a pair
-    tell texts apart."""
+    tell most texts apart; nothing is marked before the bytes are compared."""
     import zstandard
 
     n = len(t["doc"])
@@ -171,24 +174,47 @@ def least_of_equal(t: dict[str, np.ndarray], *keys: str) -> tuple[np.ndarray, np
     return order, head, low
 
 
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """For each i, whether the size[i] bytes from a[i] and from b[i] are equal; each has WIDTH at least."""
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), step):
+        x, y, last = a[i : i + step, None], b[i : i + step, None], size[i : i + step, None] - 1
+        k = np.minimum(np.arange(last.max(initial=0) + 1), last)
+        out[i : i + step] = (text[x + k] == text[y + k]).all(axis=1)
+    return out
+
+
 def cut_documents(parts: int):
-    def flush(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[dict[str, np.ndarray]], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t = join(held)
+        text, at = np.concatenate(texts), t.pop("at")
         t["h"] &= _u((1 << 48) - 1)
         t["x"] &= _u((1 << 40) - 1)
-        order, _, low = least_of_equal(t, "h", "x")
+        order, head, low = least_of_equal(t, "h", "x")
         later = t["doc"][order] > low
+        first, which = order[np.flatnonzero(head)][np.cumsum(head) - 1], np.flatnonzero(later)
+        a, b = first[which], order[which]
+        later[which] = t["n"][a] == t["n"][b]
+        which, a, b = (v[later[which]] for v in (which, a, b))
+        later[which] = same_bytes(text, at[a], at[b], t["n"][b].astype(np.int64) + WIDTH - 1)
         copies, own = marks_only(pick(t, order[later])), pick(t, order[~later])
         rows = [*dealt(copies, copies["doc"] % parts, MARKS), *dealt(own, (_bucket(own["h"], parts)), PIECES)]
         yield from batch(rows).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, waiting, size = [], 0, [], 0
+        texts, kept = [], 0  # the bytes of what is held
 
         def hash_waiting() -> dict[str, np.ndarray]:
-            seg, start, k, h, x = cut([w[3] for w in waiting])
+            nonlocal kept
+            segments = [w[3] for w in waiting]
+            seg, start, k, h, x = cut(segments)
+            lens = np.array([len(s) for s in segments], np.int64)
+            at = (kept + np.cumsum(lens) - lens)[seg] + start
+            texts.append(np.concatenate(segments))
+            kept += len(texts[-1])
             meta = np.array([w[:3] for w in waiting], np.int64).reshape(-1, 3)[seg]
-            return {"doc": meta[:, 0], "tag": meta[:, 1].astype(np.uint32), "start": start + meta[:, 2], "n": k.astype(np.uint8), "h": h, "x": x}
+            return {"doc": meta[:, 0], "tag": meta[:, 1].astype(np.uint32), "start": start + meta[:, 2], "n": k.astype(np.uint8), "h": h, "x": x, "at": at}
 
         for b in batches:
             for doc, body in zip(b.column("_d").to_pylist(), b.column("_b"), strict=True):
@@ -202,12 +228,12 @@ def cut_documents(parts: int):
                         n += len(held[-1]["doc"])
                         waiting, size = [], 0
             if n >= HELD:
-                yield from flush(held)
-                held, n = [], 0
+                yield from flush(held, texts)
+                held, n, texts, kept = [], 0, [], 0
         if waiting:
             held.append(hash_waiting())
         if held:
-            yield from flush(held)
+            yield from flush(held, texts)
 
     return run
 
@@ -217,7 +243,7 @@ def _bucket(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def resolve(parts: int):
-    """By anchor: mark copies of equal pieces, ask for the texts of anchors that have several."""
+    """By anchor: ask for the texts of anchors that several documents have."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
@@ -225,20 +251,14 @@ def resolve(parts: int):
         pieces = [load(b, True)[0] for k, b in zip(kinds, blobs, strict=True) if k == PIECES]
         if pieces:
             t = join(pieces)
-            order, head, low = least_of_equal(t, "h", "x")
-            later = t["doc"][order] > low
-            copies = marks_only(pick(t, order[later]))
-            rows += dealt(copies, copies["doc"] % parts, MARKS)
-            t, head = pick(t, order[~later]), head[~later]
+            t = pick(t, np.argsort(t["h"], kind="stable"))
             first = np.ones(len(t["h"]), bool)
             first[1:] = t["h"][1:] != t["h"][:-1]
             heads = np.flatnonzero(first)
             if len(heads):
                 low, high = np.minimum.reduceat(t["doc"], heads), np.maximum.reduceat(t["doc"], heads)
                 several = (low != high)[np.cumsum(first) - 1]
-                ask, lead = pick(t, several), head[several]
-                # of equal pieces in one document the first brings the text; the others, with the high bit set, follow it
-                ask["n"] = np.where(lead, ask["n"], ask["n"] | np.uint8(128))
+                ask = pick(t, several)
                 rows += dealt(ask, ask["doc"] % parts, REQUESTS)
         return batch(rows)
 
@@ -270,7 +290,13 @@ def answer(parts: int):
             bucket = _bucket(t["h"], parts)
             order = np.lexsort((t["start"], t["tag"], t["doc"], bucket))
             t, bucket = pick(t, order), bucket[order]
-            text = [b"" if n & 128 else bytes(views[keys[d, g]][s : s + n + WIDTH - 1]) for d, g, s, n in zip(t["doc"].tolist(), t["tag"].tolist(), t["start"].tolist(), t["n"].tolist(), strict=True)]
+            text = [bytes(views[keys[d, g]][s : s + n + WIDTH - 1]) for d, g, s, n in zip(t["doc"].tolist(), t["tag"].tolist(), t["start"].tolist(), t["n"].tolist(), strict=True)]
+            # of equal pieces in one document the first brings the text; the others, with the high bit set, follow it by x
+            lead: dict[tuple[int, bytes], int] = {}
+            t["x"] = np.array([lead.setdefault((d, b), i) for i, (d, b) in enumerate(zip(t["doc"].tolist(), text, strict=True))], _u)
+            for i in np.flatnonzero(t["x"] != np.arange(len(text), dtype=_u)).tolist():
+                text[i] = b""
+                t["n"][i] |= np.uint8(128)
             heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             for a, b in zip(heads, np.append(heads[1:], len(bucket)), strict=True):
                 rows.append((STRINGS, int(bucket[a]), dump(pick(t, np.arange(a, b)), b"".join(text[a:b]))))
@@ -280,7 +306,8 @@ def answer(parts: int):
 
 
 def transform(parts: int):
-    """By anchor: the collection transform of the texts; marks for strings that a smaller document has too."""
+    """By anchor: marks for equal texts, then the collection transform of the others; marks for strings that a smaller
+    document has too."""
 
     def run(table: pa.Table) -> pa.Table:
         rows, tables, texts = [], [], []
@@ -301,7 +328,19 @@ def transform(parts: int):
             t["lead"] = leads
             order = np.lexsort((~leads, t["doc"], t["x"], t["h"]))
             t = pick(t, order)
-            found = []
+            lead = np.flatnonzero(t["lead"])
+            docs, at = t["doc"][lead].tolist(), t["at"][lead]
+            raw, low = text.tobytes(), {}
+            said = [raw[a:e] for a, e in zip(at.tolist(), (at + t["n"][lead].astype(np.int64) + WIDTH - 1).tolist(), strict=True)]
+            for d, b in zip(docs, said, strict=True):
+                low[b] = min(d, low.get(b, d))
+            owner_of = np.cumsum(t["lead"]) - 1
+            later = np.array([d > low[b] for d, b in zip(docs, said, strict=True)], bool)[owner_of]
+            found = [marks_only(pick(t, later))]
+            t = pick(t, ~later)
+            heads = np.flatnonzero(np.concatenate([[True], t["h"][1:] != t["h"][:-1]]))
+            several = np.minimum.reduceat(t["doc"], heads) != np.maximum.reduceat(t["doc"], heads)
+            t = pick(t, np.repeat(several, np.diff(np.append(heads, len(t["h"])))))
             lead = np.flatnonzero(t["lead"])
             owner_of = np.cumsum(t["lead"]) - 1  # followers stand behind the piece that brought their text
             h = t["h"][lead]
@@ -309,7 +348,7 @@ def transform(parts: int):
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             load_to = np.cumsum(size)
             a = 0
-            bounds = np.append(heads[1:], len(lead))
+            bounds = np.append(heads[1:], len(lead)) if len(lead) else []
             flags, base = [], []
             for b in bounds:
                 if b < len(lead) and load_to[b - 1] - (load_to[a - 1] if a else 0) < COLLECTION:

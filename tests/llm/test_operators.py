@@ -72,6 +72,45 @@ def test_suffix_dedup(docs, empty):
     assert left.columns == docs.columns and left.count() == sum(n > gone or n == 0 for _, n, gone, _, _ in got)
 
 
+def test_suffix_dedup_compares_bytes(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        b = [chr(r.randrange(33, 127)) for _ in range(300)]
+        rows.append((i + 1, "".join(b)))
+        k = r.randrange(100, 180)
+        b[k], b[k + 17] = b[k + 17], b[k]
+        rows.append((1000 + i, "".join(b)))
+    split = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lambda df: sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix.dedup_passages(df).collect())
+    assert out(split) == out(split.coalesce(1)) == removed(rows)
+    a, b = np.frombuffer(("a" * 60 + "b" * 60).encode(), np.uint8), np.array([0, 1, 20])
+    assert suffix.same_bytes(a, b, np.array([5, 2, 60]), np.array([50, 59, 50])).tolist() == [True, False, False]
+
+
+def test_suffix_dedup_with_equal_hashes():
+    step = suffix.cut_documents(8)
+    rows = [(i, (t or "").encode()) for i, t in texts() if i is not None and i < 60]
+    import pyarrow as pa
+
+    def marks():
+        batch = pa.RecordBatch.from_pylist([{"_d": i, "_b": b} for i, b in rows])
+        return {(d, s, n) for out in step(iter([batch])) for k, b in zip(out.column("kind").to_pylist(), out.column("blob").to_pylist(), strict=True) if k == suffix.MARKS for d, s, n in zip(*[suffix.load(b, False)[0][c].tolist() for c in ("doc", "start", "n")], strict=True)}
+
+    before, cut = marks(), suffix.cut
+    every = {}
+    for i, b in rows:
+        for k in range(len(b) - 49):
+            every.setdefault(b[k : k + 50], i)
+    suffix.cut = lambda segments: (*cut(segments)[:4], np.zeros(len(cut(segments)[0]), np.uint64))  # every x equal
+    try:
+        blind = marks()
+    finally:
+        suffix.cut = cut
+    body = dict(rows)
+    assert before and all(every[body[d][s + j : s + j + 50]] < d for d, s, n in blind for j in range(n))
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
