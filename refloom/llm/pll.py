@@ -6,7 +6,7 @@ case: the most frequent of the whole corpus have ids of their own, the others sh
 two steps, class and word in class, each a softmax.
 
 Counts cover all documents. Training runs where the documents are: in each round every task goes over all its documents,
-takes a fixed share of the places by their position (another share each round), improves the network on them in minibatches
+takes every second place by their position (the others in the other round, so that each place is a target once), improves the network on them in minibatches
 with numpy and returns its weights; these are averaged, weighted by places, in a tree of groups of ``FAN_IN``, so what is
 gathered grows with the tasks and the driver gets one network. Scoring then goes over all tokens of all documents.
 
@@ -30,7 +30,9 @@ from .common import cut_lineage, read_table
 
 OWN, SHARED, CLASS = 768, 256, 32
 SIDE, WIDTH, HIDDEN = 2, 16, 48
-SHARE, ROUNDS, FAN_IN, SEED = 16, 2, 64, 7
+#: Every SHARE-th place is a target in a round; as many rounds make all places targets.
+SHARE = ROUNDS = 2
+FAN_IN, SEED = 64, 7
 CHUNK = 1 << 15
 #: Places scored at a time, so that they stay in the processor's cache.
 BLOCK = 1 << 13
