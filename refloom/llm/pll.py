@@ -3,7 +3,8 @@
 A network with a window on both sides predicts every token of a text from its neighbours, the token itself being left
 out; the sum of the conditional log-probabilities scores the document. Tokens are white-space separated words in lower
 case: the most frequent of the whole corpus have ids of their own, the others share ids by hash. The output is in
-two steps, class and word in class, each a softmax.
+two steps, class and word in class, each a softmax. A word that shares its id has a third factor, its count in the corpus
+over that of all words of the id, so that each word has a probability of its own and they add up to one.
 
 Counts cover all documents. Training runs where the documents are: in each round every task goes over all its documents,
 takes every second place by their position (the others in the other round, so that each place is a target once), improves the network on them in minibatches
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, read_table
@@ -187,22 +188,46 @@ class Vocabulary(dict):
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().encode().split()
+        """text is in lower case already, by the engine that counts the words."""
+        words = (text or "").encode().split()
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
+def lower_text() -> Column:
+    return F.lower(F.coalesce("text", F.lit("")))
+
+
+def _each_word() -> Column:
+    return F.explode(F.split(lower_text(), r"[\x20\x09-\x0D]+")).alias("word")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents."""
-    lower = F.lower(F.coalesce("text", F.lit("")))
-    words = docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(_each_word()).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _text_key() -> list[Column]:
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(SEED), "text").alias("k2")]
+
+
+def shared_words(docs: DataFrame, words: list[str], counts: DataFrame) -> DataFrame:
+    """k1, k2, extra: for each text with words that share an id, the sum of log(count of the word / count of its id)."""
+    shares = ~F.col("word").isin(words) if words else F.lit(True)
+    rest = counts.filter(shares).withColumn("id", F.crc32(F.col("word").cast("binary")) % SHARED)
+    total = rest.groupBy("id").agg(F.sum("n").alias("of"))
+    factor = rest.join(F.broadcast(total), "id").select("word", F.log(F.col("n") / F.col("of")).alias("f"))
+    found = docs.select(_each_word(), *_text_key()).filter("word <> ''").filter(shares)
+    # equal texts have equal sums: each brings its words, and the sum is shared by the rows
+    rows = docs.groupBy(*_text_key()).agg(F.count(F.lit(1)).alias("rows"))
+    sums = found.join(factor, "word").groupBy("k1", "k2").agg(F.sum("f").alias("f"))
+    return sums.join(rows, ["k1", "k2"]).select("k1", "k2", (F.col("f") / F.col("rows")).alias("extra"))
 
 
 def _stretches(batches: Iterator[pd.DataFrame], vocab: Vocabulary) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc ids, token ids, starts) of some documents at a time; a long document stays whole."""
     docs, parts, size = [], [], 0
     for b in batches:
-        for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
+        for d, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
             docs.append(d)
             parts.append(vocab.ids(t))
             size += len(parts[-1])
@@ -248,7 +273,7 @@ def train_round(docs: DataFrame, words: list[str], net: Network, turn: int, shar
         return pd.DataFrame({"task": [int(frames["task"].iloc[0]) // FAN_IN], "n": [n], "weights": [w]})
 
     kind = "task long, n long, weights binary"
-    level = cut_lineage(docs.select("doc_id", "text").mapInPandas(run, kind))
+    level = cut_lineage(docs.select("doc_id", lower_text().alias("text")).mapInPandas(run, kind))
     while (count := level.count()) > 1:
         level = level.groupBy(F.floor(F.col("task") / FAN_IN).alias("_g")).applyInPandas(mean, kind)
         level = cut_lineage(level) if count > FAN_IN else level
@@ -256,16 +281,16 @@ def train_round(docs: DataFrame, words: list[str], net: Network, turn: int, shar
     return net.load(bytes(rows[0]["weights"])) if rows else net
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Network]:
-    """The OWN most frequent words and a network, from all documents."""
-    words = [r["word"] for r in word_counts(docs).orderBy(F.col("n").desc(), "word").limit(OWN).collect()]
+def train(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[list[str], Network]:
+    """The OWN most frequent words and a network, from all documents. counts: word_counts(docs), to compute it once."""
+    words = [r["word"] for r in (counts or word_counts(docs)).orderBy(F.col("n").desc(), "word").limit(OWN).collect()]
     net = Network.fresh()
     for turn in range(rounds):
         net = train_round(docs, words, net, turn)
     return words, net
 
 
-def score(docs: DataFrame, words: list[str], net: Network) -> DataFrame:
+def score(docs: DataFrame, words: list[str], net: Network, counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over all tokens), mean_log_prob."""
     blob = net.dump()
 
@@ -278,12 +303,17 @@ def score(docs: DataFrame, words: list[str], net: Network) -> DataFrame:
             total = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
             ends = np.append(starts[1:], len(ids))
             n, s = ends - starts, total[ends] - total[starts]
-            mean = pd.array([x / k if k else None for x, k in zip(s, n, strict=True)], dtype="Float64")
-            yield pd.DataFrame({"doc_id": pd.array(docs_, dtype="Int64"), "n_tokens": n, "log_likelihood": s, "mean_log_prob": mean})
+            yield pd.DataFrame({"row": docs_, "n_tokens": n, "s": s})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *_text_key())
+    given = docs.select(key.alias("doc_id"), lower_text().alias("text"))
+    scored = given.mapInPandas(run, "row struct<doc_id: long, k1: long, k2: long>, n_tokens long, s double").select("row.*", "n_tokens", "s")
+    extra = shared_words(docs, words, counts or word_counts(docs))
+    out = scored.join(extra, ["k1", "k2"], "left").withColumn("log_likelihood", F.col("s") + F.coalesce("extra", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return score(docs, *train(docs))
+    counts = cut_lineage(word_counts(docs))
+    return score(docs, *train(docs, counts=counts), counts)

@@ -334,6 +334,20 @@ def test_scores(docs, empty):
     assert words == [] and pll.score(empty, words, fresh).count() == 0
 
 
+def test_scores_of_words_that_share_an_id(spark):
+    import math
+    import zlib
+
+    words = [f"w{i}" for i in range(pll.OWN)]
+    one, two = next((a, b) for a in (f"x{i}" for i in range(999)) for b in (f"y{i}" for i in range(99)) if (zlib.crc32(a.encode()) - zlib.crc32(b.encode())) % pll.SHARED == 0)
+    given = [(1, one), (2, two), (3, f"{two} {two}"), (4, two.upper()), (4, two.upper()), (None, one), (5, "w3"), (6, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_tokens"]): r["log_likelihood"] for r in pll.score(docs, words, pll.Network.fresh()).collect()}
+    same = got[1, 1] - math.log(2 / 7)
+    assert abs(same - got[2, 1] + math.log(5 / 7)) < 1e-5 and abs(got[4, 1] - got[2, 1]) < 1e-9 and got[None, 1] == got[1, 1] and got[6, 0] == 0
+    assert abs(math.exp(got[1, 1]) + math.exp(got[2, 1]) - math.exp(same)) < 1e-5
+
+
 def test_scores_train_on_every_place(spark, monkeypatch):
     words = [f"w{i}" for i in range(700)]
     docs = spark.createDataFrame([(0, " ".join(words[:333])), (1, " ".join(words[333:]))], "doc_id long, text string").coalesce(1)
