@@ -36,6 +36,8 @@ SHINGLE, SEED, MAX_BITS, BLOCKS, MAX_BUCKET = 3, 42, 2, 4, 64
 STAGE_SHINGLE, LIKE_PART = 5, 5
 #: Counters of shingles by hash, which only order them, and the rows they travel in.
 SKETCH, SKETCH_ROWS = 1 << 20, 16
+#: Words of 32 bits in the filter of digests that are in a candidate pair.
+BITMAP = 1 << 18
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -169,6 +171,23 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     return kept.select("fp", "n", F.explode("keys").alias("key"))
 
 
+def _perhaps_in(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """fp, hs of the rows whose fp is in asked, and some others: what need not be dealt out goes before that."""
+    word, bit = F.pmod(F.col("fp"), F.lit(BITMAP)).cast("int"), F.call_function("shiftright", F.col("fp"), F.lit(40)).bitwiseAND(F.lit(31))
+    bits = np.zeros(BITMAP, np.uint32)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+    for r in asked.groupBy(word.alias("w")).agg(F.bit_or(one).alias("m")).toLocalIterator():
+        bits[r["w"]] = r["m"]
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = b["fp"].to_numpy(np.int64)
+            yield b[(held.value[fp % BITMAP] >> ((fp >> 40) & 31).astype(np.uint32)) & 1 == 1]
+
+    return rows.select("fp", "hs").mapInPandas(run, "fp long, hs binary")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs a, b of digests whose sets have a Jaccard index of 0.8 or more."""
 
@@ -179,8 +198,9 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             near = [LIKE_PART * k >= (LIKE_PART - 1) * (len(x) + len(y) - k) for (x, y), k in zip(sets, both, strict=True)]
             yield b.loc[np.array(near, bool), ["a", "b"]]
 
+    pairs = cut_lineage(pairs)
     asked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = rows.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("hs").alias("hs"))
+    sets = cut_lineage(_perhaps_in(rows, asked).join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("hs").alias("hs")))
     x, y = sets.select(F.col("fp").alias("a"), F.col("hs").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hs").alias("y"))
     return cut_lineage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"))
 
