@@ -8,7 +8,8 @@ character gives the text back. In role names a line break is escaped as well.
 Defined cases: null texts and roles count as empty; a null conv_id forms a conversation of its own; rows of a
 conversation are ordered by turn (nulls first), then role, then text, so ties and repeated rows have one order and all
 stay; conversations with an order of roles that the machine does not allow are formatted too, with ``valid`` false.
-An empty table gives no rows. Other columns of the input are not read.
+Texts and roles of any length are formatted whole and in linear time. An empty table gives no rows. Columns of the input
+other than conv_id, turn, role and text are not read, so names cannot clash.
 
 A conversation is one output string, so its turns meet in one row; nothing larger than one conversation is gathered.
 """
@@ -35,6 +36,9 @@ class Template:
 
 
 CHATML = Template()
+#: A turn up to the line break that ends its header, the first behind an even number of backslashes. No group is repeated
+#: but a possessive one, so the pattern takes neither stack nor more than linear time, whatever the role's length.
+HEADER = r"(?s)^.*?(?<!\\)(?:\\\\)*+\n"
 
 
 def escape(text: Column) -> Column:
@@ -87,11 +91,12 @@ def format_turns(rows: DataFrame, t: Template = CHATML) -> DataFrame:
 def read_back(formatted: Column, t: Template = CHATML) -> Column:
     """Array of (role, text) from a formatted string."""
     blocks = F.filter(F.split(formatted, re.escape(t.end)), lambda b: b != "")
-    header = r"(?s)^((?:[^\\\n]|\\.)*)\n(.*)$"
 
     def one(b: Column) -> Column:
         inner = b.substr(F.lit(len(t.begin) + 1), F.char_length(b))
-        return let(inner, lambda s: F.struct(unescape(F.regexp_extract(s, header, 1)).alias("role"), unescape(F.regexp_extract(s, header, 2)).alias("text")))
+        cut = lambda s: F.struct(s.alias("s"), F.char_length(F.regexp_extract(s, HEADER, 0)).alias("n"))
+        parts = lambda c: F.struct(unescape(F.left(c["s"], c["n"] - 1)).alias("role"), unescape(c["s"].substr(c["n"] + 1, F.char_length(c["s"]))).alias("text"))
+        return let(let(inner, cut), parts)
 
     return F.transform(blocks, one)
 
