@@ -9,12 +9,14 @@ lengths that are powers of two, which need no padding.
 Sequence ids are unique over the whole job: the partition number, then a counter. A task that runs again makes the same
 sequences, as its rows come from the same file split in the same order.
 
-Defined cases: a null or empty text has only the closing id. Repeated rows are packed each. A null doc_id is kept. An
-empty table gives no rows. Only doc_id and text are read.
+Defined cases: a null or empty text has only the closing id. Repeated rows are packed each. A null doc_id is kept. A text
+of any length is cut into as many pieces as it needs, each id in one. An empty table gives no rows. Only doc_id and text are
+read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import SPACE, encoder
 from .common import read_table
 
 END_ID = 1
 #: The vocabulary's pattern of words.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space so long that the library's pattern, which goes back on them step by step, would exhaust its stack.
+LONG_BLANK = re.compile(rf"[{SPACE}]{{512,}}")
 #: Examples that wait in a task's pool at most before packing begins; all are packed in the end.
 POOL = 2048
 
@@ -173,7 +177,22 @@ def token_ids(path: str | None = None):
     e = encoder(path)
     own = set(e.added.values())
     enc = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={b: i for i, b in e.bytes_of.items() if i not in own}, special_tokens=e.added)
-    return lambda text: enc.encode_to_numpy(text or "", allowed_special="all").astype("<u4")
+
+
+    def ids(text: str | None) -> np.ndarray:
+        text = text or ""
+        plain = lambda x: enc.encode_to_numpy(x, allowed_special="all").astype("<u4")
+        if LONG_BLANK.search(text) is None:
+            return plain(text)
+        # the pattern takes a run's characters but the last as one word (all at the end of the text)
+        parts, at = [], 0
+        for m in LONG_BLANK.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            parts += [plain(text[at : m.start()]), np.frombuffer(e.encode_word(text[m.start() : end]), "<u4")]
+            at = end
+        return np.concatenate([*parts, plain(text[at:])])
+
+    return ids
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
