@@ -163,22 +163,32 @@ def test_spot_fingerprints(docs, empty):
     assert spotsigs.fingerprints(empty).count() == 0
 
 
-def spot_sets(text):
-    """(chains, the set that stands in for few chains), in plain Python."""
+def spot_set(text):
+    """The signatures as tuples, in plain Python."""
     import regex
+    import xxhash
 
     common = {w for ws in spotsigs.ANCHORS.values() for w in ws}
     words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split()
-    after = lambda i: [w for w in words[i + 1 :] if w not in common][:2]
-    chains = {(w, *after(i)) for i, w in enumerate(words) if w in common and len(after(i)) == 2}
-    rest = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} or ({tuple(words) if words else text} if text else set())
-    return chains, rest
+    content = [w for w in words if w not in common]
+    if not content:
+        return {tuple(words) if words else text} if text else set()
+    out = {("", *content[:2])}
+    k = 0
+    for w in words:
+        if w in common:
+            out |= {(w, *content[k : k + 2])} if len(content) >= k + 2 else set()
+        else:
+            k += 1
+            drawn = xxhash.xxh64_intdigest(w.encode(), 42)
+            if (drawn - (drawn >> 63 << 64)) % spotsigs.DRAWN == 0 and len(content) >= k + 2:
+                out.add((w, *content[k : k + 2]))
+    return out
 
 
 def test_spot_likeness(docs):
     def likeness(a, b):
-        (x, p), (y, q) = spot_sets(a), spot_sets(b)
-        x, y = (p, q) if min(len(x), len(y)) < spotsigs.MIN_SPOTS else (x, y)
+        x, y = spot_set(a), spot_set(b)
         return round(len(x & y) / len(x | y), 9) if x or y else 1.0
 
     rows = sorted(((d, t or "") for d, t in texts()), key=lambda x: (x[0] if x[0] is not None else -1, x[1]), reverse=True)
@@ -190,9 +200,32 @@ def test_spot_likeness(docs):
     assert got == want
 
 
+def test_spots_of_any_ids_and_long_texts(spark):
+    run = "the " * 1_000_000
+    given = [(-(1 << 63), "the cat sat on the mat"), ((1 << 63) - 1, "a dog ran"), (0, run + "cat dog"), (5, "cat dog " + run), (None, "x"), (None, "y of z"), (7, " ".join(f"w{i}" for i in range(200_000)))]
+    got = {(r["doc_id"], r["n_chars"]): r for r in spotsigs.fingerprints(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    rows = sorted(given, key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    for i, (d, t) in enumerate(rows):
+        nxt, k = rows[(i + 1) % len(rows)][1], len(t) // 3
+        assert got[d, len(t)]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()
+    assert got[0, len(run) + 7]["fingerprint"].startswith("2:") and got[7, len(given[-1][1])]["near_edited"] > 0.5
+
+
+def test_spot_ranges_follow_the_ids(spark):
+    """Ids far apart, null ids and repeated ids spread over the ranges; the ranges keep the order."""
+    given = [(i * i, f"{i} of a") for i in range(800)] + [(1 << 62, "far")] + [(None, f"n{i}") for i in range(800)] + [(3, f"{i:04} b") for i in range(800)]
+    keys = spark.createDataFrame(given, "doc_id long, text string").select("*", spotsigs.sort_key(F.col("doc_id"), F.col("text")).alias("key"))
+    bounds = spotsigs._bounds(keys.select("key"), len(given), 40)
+    rows = [(r["doc_id"], r["text"], r["b"]) for r in keys.withColumn("b", spotsigs._range_of(F.col("key"), bounds)).collect()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    places = [r[2] for r in rows]
+    assert places == sorted(places) and max(Counter(places).values()) < 300
+    assert len({r[2] for r in rows if r[0] is None}) > 5 and len({r[2] for r in rows if r[0] == 3}) > 5
+
+
 def test_spot_pairs_are_all_pairs(docs):
     sets = {}
-    for r in docs.filter("doc_id is not null").select("doc_id", spotsigs.spots(F.coalesce("text", F.lit(""))).alias("s")).collect():
+    for r in docs.filter("doc_id is not null").select("doc_id", spotsigs.chains(F.coalesce("text", F.lit(""))).alias("s")).collect():
         s = frozenset(r["s"])
         sets[s] = min(r["doc_id"], sets.get(s, r["doc_id"]))
     want = {(max(i, j), min(i, j)) for a, i in sets.items() for b, j in sets.items() if i != j and len(a & b) >= 0.5 * len(a | b) > 0}
@@ -233,6 +266,15 @@ def test_chat(spark):
     assert got[1]["valid"] and not got[2]["valid"] and got[2]["loss_chars"] == 22 and got[None]["n_turns"] == 1
 
 
+def test_chat_with_long_roles(spark):
+    given = [(1, 0, "r\\" * 50_000 + "\n" + "q" * 50_000, "hi"), (1, 1, "assistant", "yo"), (2, 0, "\\" * 100_001 + "\n", "z" * 1_000_000)]
+    df = spark.createDataFrame([(*x, 1) for x in given], "conv_id long, turn long, role string, text string, _turns int")
+    got = {r["conv_id"]: r["turns_sha256"] for r in chat.digests(chat.format_turns(df)).collect()}
+    said = lambda k: "".join(f"{r}\n{t}\n" for c, _, r, t in given if c == k)
+    assert got == {k: hashlib.sha256(said(k).encode()).hexdigest() for k in (1, 2)}
+    assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
@@ -288,23 +330,55 @@ def test_near_copies_are_all_pairs(spark, bound):
 
 
 def test_packing(docs, empty):
+    import zlib
+
     e = bpe.encoder()
     rows = packing.pack_documents(docs, packing.Limits(64, 8, 64)).collect()
-    seqs, by_doc = {}, Counter()
+    seqs, by_doc = {}, {}
     for r in rows:
         seqs.setdefault(r["sequence_id"], []).append(r)
-        by_doc[r["doc_id"]] += r["length"]
+        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"], r["ids_crc32"]))
     want = Counter()
     for d, t in texts():
-        want[d] += len(e.encode(t)) // 4 + 1
-    assert by_doc == want
+        want[d, np.append(np.frombuffer(e.encode(t), "<u4"), packing.END_ID).astype("<u4").tobytes()] += 1
+    for (d, ids), n in want.items():  # each id of each row lies in exactly one piece
+        size = len(ids) // 4
+        pieces = Counter(p for p in by_doc[d, size] if zlib.crc32(ids[4 * p[0] : 4 * (p[0] + p[1])]) == p[2])
+        cover = Counter(i for (a, k, _), c in pieces.items() for i in list(range(a, a + k)) * c)
+        assert set(cover) == set(range(size)) and min(cover.values()) >= n
+    assert sum(size * n for (_, ids), n in want.items() for size in [len(ids) // 4]) == sum(r["length"] for r in rows)
+    padding = 0
     for s in seqs.values():
         s.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in s] == np.cumsum([0] + [r["length"] for r in s[:-1]]).tolist()
-        assert sum(r["length"] for r in s) <= 64 and len(s) <= 8 and sum(r["loss_tokens"] for r in s) <= 64
+        n = sum(r["length"] for r in s)
+        assert n <= 64 and len(s) <= 8 and sum(r["loss_tokens"] for r in s) <= 64
+        padding += 0 if n & (n - 1) == 0 else 64 - n
+    assert padding < 0.02 * sum(r["length"] for r in rows)
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_long_blanks(spark):
+    e, ids = bpe.encoder(), packing.token_ids()
+    for t in (" " * 2_000_000, "a" + "\n" * 1_000_000 + "b", "x " + " " * 600 + "\u2003y", "\x1c" * 2000 + "q", "<|endoftext|>" + " " * 700 + "<|endoftext|>" + "\t" * 800 + " z"):
+        assert ids(t).tobytes() == e.encode(t)
+    out = packing.pack_documents(spark.createDataFrame([(1, " " * 2_000_000), (2, "a" * 1_000_000)], "doc_id long, text string")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert all(r["n"] == r["m"] > 1000 for r in out) and len(out) == 2
+
+
+def test_packing_under_a_loss_limit(spark):
+    """Prompts bear no loss, so the three limits bind at different examples."""
+    r = random.Random(9)
+    given = [(i, np.arange(n, dtype="<u4"), r.randrange(n + 1)) for i, n in enumerate(r.randrange(1, 300) for _ in range(400))]
+    limits = packing.Limits(128, 6, 40)
+    seqs = list(packing.pack(iter(given), limits))
+    assert Counter(p.doc for s in seqs for p in s for _ in range(len(p.ids))) == {i: len(x) for i, x, _ in given}
+    assert Counter(p.doc for s in seqs for p in s for _ in range(p.loss)) == {i: k for i, _, k in given if k}
+    totals = [(sum(len(p.ids) for p in s), len(s), sum(p.loss for p in s)) for s in seqs]
+    assert all(a <= 128 and b <= 6 and c <= 40 for a, b, c in totals)
+    assert sum(c == 40 for _, _, c in totals) > 20 and sum(a == 128 for a, _, _ in totals) > 20 and sum(b == 6 for _, b, _ in totals) > 0
+
+
 def test_urls(spark, monkeypatch):
     given = ["http://A.com/en/x?q", "https://x.example.com/en/7", "com/en/", None, "a://b://net/de/8", "http://example.net/de/8#f", "ftp://notcom/en/", "http://x.com:80/en/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(given)] + [(0, given[0], "h")], "page_id long, url string, host string")
