@@ -2,7 +2,9 @@
 
 Round j inserts for each string the symbol before its suffix of length j - 1, at the place that the last-to-first mapping
 of the transform so far names. The transform and the array of longest common prefixes lie in two external files, which a
-round reads and writes from front to back; between rounds memory holds only a position and a symbol for each string.
+round reads and writes from front to back; between rounds memory holds only a position and a symbol for each string. Within
+a round the files and two arrays of places are in memory, about 30 bytes a symbol: the caller bounds a collection to a few
+MB. The files are a task's scratch in its own folder; a task that runs again makes them anew.
 """
 
 from __future__ import annotations

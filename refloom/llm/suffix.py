@@ -4,8 +4,12 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts in a docum
 that width have the same least anchor (the smallest hash of the ``ANCHOR`` byte strings in them), so the runs of starts
 with one anchor, called pieces, can be dealt out by the anchor and no match is lost.
 
+0. Anchors in very many different contexts, such as a line of 30 bytes that many documents have, would bring all of
+   these to one task. A sample of the documents names them, and their strings are dealt out by 43 bytes instead, by all 50
+   where these are as frequent. Equal strings still meet, and only they need to.
 1. Every task cuts its documents into pieces of at most ``RUN`` starts and keeps, of equal pieces, those of the least
-   document; the others are marked at once. Hashes find them, their bytes decide.
+   document; the others are marked at once. Hashes find them, their bytes decide. Of an anchor with many pieces, in
+   several documents already, only two go on to step 2.
 2. By anchor, those in more than one document over all tasks are left.
 3. Only their pieces are read from the documents, equal ones of a document once, and dealt out by anchor again. There
    pieces of equal bytes are marked but for the least document's. Where several documents are left, the collection
@@ -14,9 +18,9 @@ with one anchor, called pieces, can be dealt out by the anchor and no match is l
 4. Marks meet their documents, which lose the covered bytes.
 
 Between steps travel arrays in compressed rows, one for each task and target; the number of targets follows the bytes of
-the input. Nothing is gathered on the driver.
+the input. The driver gets the names of the anchors of step 0, 8 bytes for each 8,192 pieces or so at most.
 
-Defined cases: null and empty texts, and texts shorter than the width, lose nothing. Rows that repeat a doc_id lose
+Defined cases: texts of any length are read whole, in stretches. Null and empty texts, and texts shorter than the width, lose nothing. Rows that repeat a doc_id lose
 nothing to each other, as no id is smaller. Rows with a null doc_id stay whole and take nothing from others. An empty
 table gives no rows. Columns of the input are carried under own names, so they cannot clash.
 """
@@ -36,6 +40,14 @@ from .bwt import least_owner
 from .common import partitions_for, read_table
 
 WIDTH, ANCHOR, RUN = 50, 20, 31
+#: One document in so many, by hash of its id, is asked for anchors in many contexts; with so many in the sample an anchor
+#: is refined. The sample only steers how strings are dealt out, never which strings are compared.
+SAMPLE, MANY = 128, 64
+#: Offsets of a refined anchor in its strings that share one key, and the bytes that these strings have in common.
+STRETCH = 8
+SHARED = WIDTH + 1 - STRETCH
+#: A task asks for the pieces of an anchor with so many of them itself, if they are of several documents.
+OWN_ASK, ASKED = 8, 128
 #: Bytes that are hashed at a time, pieces that a task holds, and string bytes in one transform.
 SEGMENT, HELD, COLLECTION = 1 << 20, 1 << 20, 1 << 20
 PIECES, MARKS, REQUESTS, STRINGS = 0, 1, 2, 3
@@ -49,13 +61,33 @@ _MUL = [_u(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 #: For the blocks of a piece; none is used inside a block, where a product would be the same in another order.
 _BLOCK_MUL = [_u(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
+_LONG_MUL = [_u(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9)]
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _u(32))) * _MUL[3]
     return x ^ (x >> _u(29))
 
 
-def cut(segments: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+def refined(v: np.ndarray, at: np.ndarray, hot: np.ndarray, marks: np.ndarray, h16: np.ndarray) -> np.ndarray:
+    """Longer anchors for the strings that start in at and whose anchor v is in hot: the bytes that strings with about the
+    same offset of the anchor share; the whole string where these are in hot, too."""
+    some = np.flatnonzero(np.isin(v, hot))
+    if not len(some):
+        return v
+    v = v.copy()
+    for i in range(0, len(some), 1 << 15):
+        k = some[i : i + (1 << 15)]
+        s = at[k]
+        offset = (marks[s[:, None] + np.arange(WIDTH - ANCHOR + 1)] == v[k][:, None]).argmax(axis=1)
+        a = s + offset % STRETCH
+        longer = _mix(h16[a] * _LONG_MUL[0] + h16[a + 16] * _LONG_MUL[1] + h16[a + SHARED - 16] * _LONG_MUL[2] + (offset // STRETCH).astype(_u))
+        whole = _mix(h16[s] * _LONG_MUL[2] + h16[s + 16] * _LONG_MUL[0] + h16[s + 32] * _LONG_MUL[3] + h16[s + WIDTH - 16] * _LONG_MUL[1])
+        v[k] = np.where(np.isin(longer, hot), whole, longer)
+    return v
+
+
+def cut(segments: list[np.ndarray], hot: np.ndarray = np.empty(0, np.uint64)) -> tuple[np.ndarray, ...]:
     """(segment, start, n, h, x) of the pieces: n starts from start share the anchor h; x hashes all their bytes."""
     lens = np.array([len(s) for s in segments], np.int64)
     offs = np.concatenate([[0], np.cumsum(lens)])
@@ -68,7 +100,8 @@ def cut(segments: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     h4 = h2[:-2] * _MUL[1] + h2[2:]
     h8 = h4[:-4] * _MUL[2] + h4[4:]
     h16 = h8[:-8] * _MUL[4] + h8[8:]
-    least = _mix(h16[: len(buf) - ANCHOR + 1] * _MUL[5] + h4[16 : 16 + len(buf) - ANCHOR + 1])
+    marks = _mix(h16[: len(buf) - ANCHOR + 1] * _MUL[5] + h4[16 : 16 + len(buf) - ANCHOR + 1])
+    least = marks
     width, k = WIDTH - ANCHOR + 1, 1
     while k * 2 <= width:
         least = np.minimum(least[:-k], least[k:])
@@ -81,6 +114,8 @@ def cut(segments: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     edge[offs[1:][full] - WIDTH + 1] -= 1
     at = np.flatnonzero(np.cumsum(edge[: len(least)], dtype=np.int8))
     v = least[at]
+    if len(hot):
+        v = refined(v, at, hot, marks, h16)
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (v[1:] != v[:-1])
     heads = np.flatnonzero(new)
@@ -184,7 +219,7 @@ def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray,
     return out
 
 
-def cut_documents(parts: int):
+def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
     def flush(held: list[dict[str, np.ndarray]], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t = join(held)
         text, at = np.concatenate(texts), t.pop("at")
@@ -198,7 +233,24 @@ def cut_documents(parts: int):
         which, a, b = (v[later[which]] for v in (which, a, b))
         later[which] = same_bytes(text, at[a], at[b], t["n"][b].astype(np.int64) + WIDTH - 1)
         copies, own = marks_only(pick(t, order[later])), pick(t, order[~later])
-        rows = [*dealt(copies, copies["doc"] % parts, MARKS), *dealt(own, (_bucket(own["h"], parts)), PIECES)]
+        rows = list(dealt(copies, copies["doc"] % parts, MARKS))
+        # own is in the order of h: of anchors with many pieces of several documents only the outer two go to the anchor
+        heads = np.flatnonzero(np.diff(own["h"], prepend=~own["h"][:1]))
+        size = np.diff(np.append(heads, len(own["h"])))
+        many = size >= OWN_ASK
+        if many.any():
+            low, high = np.minimum.reduceat(own["doc"], heads), np.maximum.reduceat(own["doc"], heads)
+            many &= low != high
+            group = np.repeat(np.arange(len(heads)), size)
+            ask = pick(own, np.flatnonzero(many[group]))
+            rows += dealt(ask, ask["doc"] % parts, REQUESTS)
+            rest = ~many[group]
+            for d in (low, high):
+                outer = np.flatnonzero(many[group] & (own["doc"] == d[group]))
+                rest[outer[np.unique(group[outer], return_index=True)[1]]] = True
+            own["n"] = own["n"] | np.where(many[group], ASKED, 0).astype(np.uint8)
+            own = pick(own, np.flatnonzero(rest))
+        rows += dealt(own, _bucket(own["h"], parts), PIECES)
         yield from batch(rows).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +260,7 @@ def cut_documents(parts: int):
         def hash_waiting() -> dict[str, np.ndarray]:
             nonlocal kept
             segments = [w[3] for w in waiting]
-            seg, start, k, h, x = cut(segments)
+            seg, start, k, h, x = cut(segments, hot)
             lens = np.array([len(s) for s in segments], np.int64)
             at = (kept + np.cumsum(lens) - lens)[seg] + start
             texts.append(np.concatenate(segments))
@@ -247,7 +299,7 @@ def resolve(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        rows = [(MARKS, p, b) for k, p, b in zip(kinds, table.column("part").to_pylist(), blobs, strict=True) if k == MARKS]
+        rows = [(k, p, b) for k, p, b in zip(kinds, table.column("part").to_pylist(), blobs, strict=True) if k != PIECES]
         pieces = [load(b, True)[0] for k, b in zip(kinds, blobs, strict=True) if k == PIECES]
         if pieces:
             t = join(pieces)
@@ -258,7 +310,7 @@ def resolve(parts: int):
             if len(heads):
                 low, high = np.minimum.reduceat(t["doc"], heads), np.maximum.reduceat(t["doc"], heads)
                 several = (low != high)[np.cumsum(first) - 1]
-                ask = pick(t, several)
+                ask = pick(t, several & (t["n"] < ASKED))
                 rows += dealt(ask, ask["doc"] % parts, REQUESTS)
         return batch(rows)
 
@@ -440,22 +492,49 @@ def _prime_from(n: int) -> int:
     return n
 
 
+def anchors_in_many_contexts(docs: DataFrame) -> np.ndarray:
+    """Anchors, and refined ones, with many different pieces, by a sample of the documents. docs: _d, _b."""
+    some = docs.filter(F.pmod(F.xxhash64("_d"), F.lit(SAMPLE)) == 0)
+    hot = np.empty(0, _u)
+    for _ in range(2):
+
+        def pieces(batches: Iterator[pa.RecordBatch], hot: np.ndarray = hot) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                segments = [s for body in b.column("_b") for _, s in segments_of(body.as_buffer())]
+                if segments:
+                    h, x = cut(segments, hot)[3:]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(x.view(np.int64))], ["h", "x"])
+
+        found = some.mapInArrow(pieces, "h long, x long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MANY)
+        more = np.array([r["h"] for r in found.select("h").collect()], np.int64).view(_u)
+        hot = np.union1d(hot, more)
+        if not len(more):
+            break
+    return hot
+
+
+def _deal(found: DataFrame, parts: int, by: str = "part") -> DataFrame:
+    """Each part is a partition of its own."""
+    return found.repartitionById(parts, F.col(by))
+
+
 def dedup_passages(docs: DataFrame, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text also the text left, without characters that were cut
     apart. carry: columns of docs that come along, as _c0, _c1 and so on."""
     names = [f"_c{i}" for i, _ in enumerate(carry or [])]
     every = docs.select(F.col("doc_id").cast("long").alias("_d"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_b"), *[F.col("`" + c.replace("`", "``") + "`").alias(n) for n, c in zip(names, carry or [], strict=True)])
-    parts = _prime_from(partitions_for(docs, "text"))
+    parts = _prime_from(max(partitions_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     known = every.filter("_d is not null").withColumn("_pid", F.pmod(F.col("_d"), F.lit(parts)).cast("int"))
     slim = known.select("_pid", "_d", "_b")
-    found = known.select("_d", "_b").mapInArrow(cut_documents(parts), BLOB_SQL)
-    found = found.repartition(parts, "part").groupBy("part").applyInArrow(resolve(parts), BLOB_SQL)
-    held = slim.repartition(parts, "_pid")
-    found = held.groupBy("_pid").cogroup(found.repartition(parts, "part").groupBy("part")).applyInArrow(answer(parts), BLOB_SQL)
-    found = found.repartition(parts, "part").groupBy("part").applyInArrow(transform(parts), BLOB_SQL)
-    right = known.repartition(parts, "_pid") if names else held
+    hot = anchors_in_many_contexts(known.select("_d", "_b"))
+    found = known.select("_d", "_b").mapInArrow(cut_documents(parts, hot), BLOB_SQL)
+    found = _deal(found, parts).groupBy("part").applyInArrow(resolve(parts), BLOB_SQL)
+    held = _deal(slim, parts, "_pid")
+    found = held.groupBy("_pid").cogroup(_deal(found, parts).groupBy("part")).applyInArrow(answer(parts), BLOB_SQL)
+    found = _deal(found, parts).groupBy("part").applyInArrow(transform(parts), BLOB_SQL)
+    right = _deal(known, parts, "_pid") if names else held
     schema = ", ".join(["_d long", *[f"{n} {every.schema[n].dataType.simpleString()}" for n in names], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["text string"] * with_text])
-    done = right.groupBy("_pid").cogroup(found.repartition(parts, "part").groupBy("part")).applyInArrow(remove(names, with_text), schema)
+    done = right.groupBy("_pid").cogroup(_deal(found, parts).groupBy("part")).applyInArrow(remove(names, with_text), schema)
     whole = every.filter("_d is null").select("_d", *names, F.octet_length("_b").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("_b", 256).alias("kept_sha256"), *[F.col("_b").cast("string").alias("text")] * with_text)
     return done.unionByName(whole).withColumnRenamed("_d", "doc_id")
 
