@@ -102,7 +102,7 @@ def test_suffix_dedup_with_equal_hashes():
     for i, b in rows:
         for k in range(len(b) - 49):
             every.setdefault(b[k : k + 50], i)
-    suffix.cut = lambda segments: (*cut(segments)[:4], np.zeros(len(cut(segments)[0]), np.uint64))  # every x equal
+    suffix.cut = lambda segments, hot: (*cut(segments)[:4], np.zeros(len(cut(segments)[0]), np.uint64))  # every x equal
     try:
         blind = marks()
     finally:
@@ -111,6 +111,35 @@ def test_suffix_dedup_with_equal_hashes():
     assert before and all(every[body[d][s + j : s + j + 50]] < d for d, s, n in blind for j in range(n))
 
 
+def test_suffix_dedup_with_anchors_in_many_contexts(spark, monkeypatch):
+    """A line of 30 bytes and one of 49 in many texts; whatever anchors are refined, the same bytes go."""
+    r = random.Random(1)
+    word = lambda k: "".join(chr(r.randrange(97, 123)) for _ in range(k))
+    rows = []
+    for i in range(1500):
+        t = word(r.randrange(5, 80)) + "This line of thirty bytes here" + word(r.randrange(5, 60)) + "A common line that has as many as forty-nine byte" + word(r.randrange(40))
+        rows += [(10_001 + i, t)] if i % 100 == 0 else []
+        rows.append((i + 1, rows[-1][1][10:] + word(30) if i % 100 == 1 else t))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    known = df.select(F.col("doc_id").alias("_d"), F.col("text").cast("binary").alias("_b"))
+    want, found = removed(rows), []
+    monkeypatch.setattr(suffix, "SAMPLE", 1)
+    for many in (1, 50, 1_000_000):
+        monkeypatch.setattr(suffix, "MANY", many)
+        found.append(len(suffix.anchors_in_many_contexts(known)))
+        assert sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix.dedup_passages(df).collect()) == want
+    assert found[0] > found[1] > 10 and found[2] == 0
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    r = random.Random(3)
+    body = "".join(chr(r.randrange(99, 123)) for _ in range(1000))
+    rows = [(1, "ab" * 600_000), (2, "x" + "ab" * 100 + body), (3, body * 1500)]
+    got = {x["doc_id"]: x for x in suffix.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(0, 0), (200, 1), (1_500_000, 1)]
+    assert got[3]["n_bytes"] == 1_500_000 and got[1]["n_bytes"] == 1_200_000
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
