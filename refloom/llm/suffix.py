@@ -49,7 +49,7 @@ SHARED = WIDTH + 1 - STRETCH
 #: A task asks for the pieces of an anchor with so many of them itself, if they are of several documents.
 OWN_ASK, ASKED = 8, 128
 #: Bytes that are hashed at a time, pieces that a task holds, and string bytes in one transform.
-SEGMENT, HELD, COLLECTION = 1 << 20, 1 << 20, 1 << 20
+SEGMENT, HELD, COLLECTION = 1 << 20, 1 << 19, 1 << 20
 PIECES, MARKS, REQUESTS, STRINGS = 0, 1, 2, 3
 FIELDS = [("doc", np.int64), ("tag", np.uint32), ("start", np.int64), ("n", np.uint8), ("h", np.uint64), ("x", np.uint64)]
 BLOB = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
@@ -233,6 +233,7 @@ def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
         which, a, b = (v[later[which]] for v in (which, a, b))
         later[which] = same_bytes(text, at[a], at[b], t["n"][b].astype(np.int64) + WIDTH - 1)
         copies, own = marks_only(pick(t, order[later])), pick(t, order[~later])
+        del t, text, at, order, head, low, first, which, a, b
         rows = list(dealt(copies, copies["doc"] % parts, MARKS))
         # own is in the order of h: of anchors with many pieces of several documents only the outer two go to the anchor
         heads = np.flatnonzero(np.diff(own["h"], prepend=~own["h"][:1]))
@@ -279,9 +280,9 @@ def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
                         held.append(hash_waiting())
                         n += len(held[-1]["doc"])
                         waiting, size = [], 0
-            if n >= HELD:
-                yield from flush(held, texts)
-                held, n, texts, kept = [], 0, [], 0
+                        if n >= HELD:
+                            yield from flush(held, texts)
+                            held, n, texts, kept = [], 0, [], 0
         if waiting:
             held.append(hash_waiting())
         if held:
@@ -499,11 +500,20 @@ def anchors_in_many_contexts(docs: DataFrame) -> np.ndarray:
     for _ in range(2):
 
         def pieces(batches: Iterator[pa.RecordBatch], hot: np.ndarray = hot) -> Iterator[pa.RecordBatch]:
+            def of(segments: list[np.ndarray]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)) for a in cut(segments, hot)[3:]], ["h", "x"])
+
+            waiting, size = [], 0
             for b in batches:
-                segments = [s for body in b.column("_b") for _, s in segments_of(body.as_buffer())]
-                if segments:
-                    h, x = cut(segments, hot)[3:]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(x.view(np.int64))], ["h", "x"])
+                for body in b.column("_b"):
+                    for _, s in segments_of(body.as_buffer()):
+                        waiting.append(s)
+                        size += len(s)
+                        if size >= SEGMENT:
+                            yield of(waiting)
+                            waiting, size = [], 0
+            if waiting:
+                yield of(waiting)
 
         found = some.mapInArrow(pieces, "h long, x long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MANY)
         more = np.array([r["h"] for r in found.select("h").collect()], np.int64).view(_u)
