@@ -16,17 +16,20 @@ import numpy as np
 
 
 class Column:
-    """An array of bytes in a file that is replaced as a whole."""
+    """An array of bytes in a file that is replaced as a whole. Each round has a file of its own, as file systems bring a
+    file that is cut and written again to the disk at once, and one that is soon deleted not at all."""
 
     def __init__(self, folder: str, name: str, first: np.ndarray):
-        self.path = os.path.join(folder, name)
-        self.write(first)
+        self.path, self.turn = os.path.join(folder, name), 0
+        first.tofile(f"{self.path}0")
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, np.uint8)
+        return np.fromfile(f"{self.path}{self.turn}", np.uint8)
 
     def write(self, a: np.ndarray) -> None:
-        a.tofile(self.path)
+        a.tofile(f"{self.path}{self.turn + 1}")
+        os.unlink(f"{self.path}{self.turn}")
+        self.turn += 1
 
 
 def _range_min(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ SHARED = WIDTH + 1 - STRETCH
 #: A task asks for the pieces of an anchor with so many of them itself, if they are of several documents.
 OWN_ASK, ASKED = 8, 128
 #: Bytes that are hashed at a time, pieces that a task holds, and string bytes in one transform.
-SEGMENT, HELD, COLLECTION = 1 << 20, 1 << 19, 1 << 20
+SEGMENT, HELD, COLLECTION = 1 << 20, 3 << 19, 1 << 20
 PIECES, MARKS, REQUESTS, STRINGS = 0, 1, 2, 3
 FIELDS = [("doc", np.int64), ("tag", np.uint32), ("start", np.int64), ("n", np.uint8), ("h", np.uint64), ("x", np.uint64)]
 BLOB = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
@@ -223,6 +223,8 @@ def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
     def flush(held: list[dict[str, np.ndarray]], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t = join(held)
         text, at = np.concatenate(texts), t.pop("at")
+        held.clear()
+        texts.clear()
         t["h"] &= _u((1 << 48) - 1)
         t["x"] &= _u((1 << 40) - 1)
         order, head, low = least_of_equal(t, "h", "x")
@@ -282,7 +284,7 @@ def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
                         waiting, size = [], 0
                         if n >= HELD:
                             yield from flush(held, texts)
-                            held, n, texts, kept = [], 0, [], 0
+                            n = kept = 0
         if waiting:
             held.append(hash_waiting())
         if held:
