@@ -51,7 +51,6 @@ OWN_ASK, ASKED = 8, 128
 #: Bytes that are hashed at a time, pieces that a task holds, and string bytes in one transform.
 SEGMENT, HELD, COLLECTION = 1 << 20, 3 << 19, 1 << 20
 PIECES, MARKS, REQUESTS, STRINGS = 0, 1, 2, 3
-FIELDS = [("doc", np.int64), ("tag", np.uint32), ("start", np.int64), ("n", np.uint8), ("h", np.uint64), ("x", np.uint64)]
 BLOB = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 BLOB_SQL = "kind int, part int, blob binary"
 
@@ -140,8 +139,7 @@ def segments_of(body: bytes) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def dump(t: dict[str, np.ndarray], extra: bytes = b"") -> bytes:
-    """Arrays to compressed bytes: small differences for ids and places; six bytes of h and five of x, which as a pair
-    tell most texts apart; nothing is marked before the bytes are compared."""
+    """Arrays to compressed bytes: small differences for ids and places, six bytes of h, five of x, where they are there."""
     import zstandard
 
     n = len(t["doc"])
@@ -153,7 +151,7 @@ def dump(t: dict[str, np.ndarray], extra: bytes = b"") -> bytes:
     return zstandard.compress(b"".join(parts) + extra, 1)
 
 
-def load(blob: bytes, hashed: bool) -> tuple[dict[str, np.ndarray], bytes]:
+def load(blob: bytes, hashes: str = "") -> tuple[dict[str, np.ndarray], bytes]:
     import zstandard
 
     raw = zstandard.decompress(blob)
@@ -168,8 +166,7 @@ def load(blob: bytes, hashed: bool) -> tuple[dict[str, np.ndarray], bytes]:
         return out.view(kind).ravel()
 
     t = {"doc": np.cumsum(planes(8, np.int64)), "tag": planes(4, np.uint32), "start": np.cumsum(planes(8, np.int64)), "n": planes(1, np.uint8)}
-    if hashed:
-        t |= {"h": planes(6, _u), "x": planes(5, _u)}
+    t |= {k: planes({"h": 6, "x": 5}[k], _u) for k in hashes}
     return t, raw[at : at + int(more)]
 
 
@@ -226,7 +223,6 @@ def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
         held.clear()
         texts.clear()
         t["h"] &= _u((1 << 48) - 1)
-        t["x"] &= _u((1 << 40) - 1)
         order, head, low = least_of_equal(t, "h", "x")
         later = t["doc"][order] > low
         first, which = order[np.flatnonzero(head)][np.cumsum(head) - 1], np.flatnonzero(later)
@@ -235,7 +231,7 @@ def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
         which, a, b = (v[later[which]] for v in (which, a, b))
         later[which] = same_bytes(text, at[a], at[b], t["n"][b].astype(np.int64) + WIDTH - 1)
         copies, own = marks_only(pick(t, order[later])), pick(t, order[~later])
-        del t, text, at, order, head, low, first, which, a, b
+        del t, text, at, order, head, low, first, which, a, b, own["x"]
         rows = list(dealt(copies, copies["doc"] % parts, MARKS))
         # own is in the order of h: of anchors with many pieces of several documents only the outer two go to the anchor
         heads = np.flatnonzero(np.diff(own["h"], prepend=~own["h"][:1]))
@@ -303,7 +299,7 @@ def resolve(parts: int):
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         rows = [(k, p, b) for k, p, b in zip(kinds, table.column("part").to_pylist(), blobs, strict=True) if k != PIECES]
-        pieces = [load(b, True)[0] for k, b in zip(kinds, blobs, strict=True) if k == PIECES]
+        pieces = [load(b, "h")[0] for k, b in zip(kinds, blobs, strict=True) if k == PIECES]
         if pieces:
             t = join(pieces)
             t = pick(t, np.argsort(t["h"], kind="stable"))
@@ -337,7 +333,7 @@ def answer(parts: int):
             if k == MARKS:
                 rows.append((k, p, b))
             else:
-                asked.append(load(b, True)[0])
+                asked.append(load(b, "h")[0])
         if asked:
             t = join(asked)
             keys, bodies = group_bodies(docs)
@@ -370,7 +366,7 @@ def transform(parts: int):
             if k == MARKS:
                 rows.append((k, p, b))
             else:
-                t, text = load(b, True)
+                t, text = load(b, "hx")
                 tables.append(t)
                 texts.append(np.frombuffer(text, np.uint8))
         if tables:
@@ -454,7 +450,7 @@ def remove(others: list[str], with_text: bool):
     """By document: take out the covered bytes."""
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
-        loaded = [load(b, False)[0] for b in table.column("blob").to_pylist()]
+        loaded = [load(b)[0] for b in table.column("blob").to_pylist()]
         where: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         if loaded:
             t = join(loaded)

@@ -95,7 +95,7 @@ def test_suffix_dedup_with_equal_hashes():
 
     def marks():
         batch = pa.RecordBatch.from_pylist([{"_d": i, "_b": b} for i, b in rows])
-        return {(d, s, n) for out in step(iter([batch])) for k, b in zip(out.column("kind").to_pylist(), out.column("blob").to_pylist(), strict=True) if k == suffix.MARKS for d, s, n in zip(*[suffix.load(b, False)[0][c].tolist() for c in ("doc", "start", "n")], strict=True)}
+        return {(d, s, n) for out in step(iter([batch])) for k, b in zip(out.column("kind").to_pylist(), out.column("blob").to_pylist(), strict=True) if k == suffix.MARKS for d, s, n in zip(*[suffix.load(b)[0][c].tolist() for c in ("doc", "start", "n")], strict=True)}
 
     before, cut = marks(), suffix.cut
     every = {}
