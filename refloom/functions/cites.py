@@ -176,10 +176,10 @@ def split_year(text: Column) -> Column:
 def authors_list(raw: Column) -> Column:
     """PRS7: array of names, an initials token joined to the surname before it."""
     whole = F.regexp_replace(F.regexp_replace(F.trim(raw), "^,+|,+$", ""), r"(?i)\s+(?:and|&)\s+", " & ")
-    parts = F.filter(F.transform(F.split(whole, " & "), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(whole, " & "), lambda x: F.trim(x)), lambda x: x != "")
 
     def paired(part: Column) -> Column:
-        tokens = F.filter(F.transform(F.split(part, ","), F.trim), lambda x: x != "")
+        tokens = F.filter(F.transform(F.split(part, ","), lambda x: F.trim(x)), lambda x: x != "")
         start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
 
         def step(acc: Column, x: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 # ---- fixed values: character maps of the two engines (they differ on purpose) ----
 DOCUMENT_MAP = {"（": "(", "）": ")", "＆": "&", "’": "'", "‘": "'", "‐": "-", "‑": "-", "–": "-", "—": "-", "，": ",", "‚": ",", "¸": ",", "､": ",", "。": "."}
@@ -22,6 +23,7 @@ ENGLISH_LEADS = ["as ", "see ", "in ", "by ", "cf ", "and "]
 CHINESE_LEADS = ["參考", "根據", "由", "如", "見", "以", "採用", "使用", "利用", "與", "及"]
 PREVIEW = 120
 CONTEXT = 50
+SHORT_NAME, ALIKE = 4, 0.75
 # ---- end of fixed values ----
 
 
@@ -43,16 +45,15 @@ def narrow(c: Column) -> Column:
     return F.translate(c, *_wide())
 
 
-def nfkc(c: Column, exact: bool = False) -> Column:
-    """Compatibility composition. Native for full-width forms; exact takes an Arrow function over the Unicode tables."""
-    if not exact:
-        return narrow(c)
+@F.pandas_udf(StringType())
+def exact_forms(s: pd.Series) -> pd.Series:
+    """Compatibility composition over the Unicode tables; no built-in has them."""
+    return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
 
-    @F.pandas_udf("string")
-    def full(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return full(c)
+def nfkc(c: Column, exact: bool = False) -> Column:
+    """Compatibility composition; natively for full-width forms only."""
+    return exact_forms(c) if exact else narrow(c)
 
 
 @cache
@@ -79,7 +80,7 @@ def _lines(c: Column) -> Column:
     return F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")
 
 
-def norm_service(c: Column, exact: bool = False) -> Column:
+def norm_service(c: Column, exact: bool = True) -> Column:
     """TXT2: compatibility forms, own punctuation, line breaks kept."""
     text = mapped(nfkc(F.coalesce(c, F.lit("")), exact), SERVICE_MAP)
     return F.array_join(F.transform(_lines(text), lambda x: F.trim(F.regexp_replace(x, r"[ \t\f\x0B]+", " "))), "\n")
@@ -183,26 +184,27 @@ def preview(c: Column, limit: int = PREVIEW) -> Column:
     return F.when(F.char_length(x) > limit, F.concat(F.left(x, F.lit(limit)), F.lit("..."))).otherwise(x)
 
 
-def similar(a: Column, b: Column, threshold: float = 0.75) -> Column:
-    """TXT19: gestalt ratio of folded names; short ones must be equal. An Arrow function: no built-in has this ratio."""
+def _folded(s: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)).lower()
+
 
-    @F.pandas_udf("boolean")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
+@F.pandas_udf(BooleanType())
+def similar_names(a: pd.Series, b: pd.Series) -> pd.Series:
+    """TXT19: gestalt ratio of folded names; short ones must be equal. No built-in has this ratio."""
+    from difflib import SequenceMatcher
 
-        def fold(s: str) -> str:
-            return "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)).lower()
+    def one(s: str | None, t: str | None) -> bool:
+        if not s or not t:
+            return False
+        if min(len(s), len(t)) <= SHORT_NAME:
+            return s.lower() == t.lower()
+        return SequenceMatcher(None, _folded(s), _folded(t)).ratio() >= ALIKE
 
-        def one(s, t) -> bool:
-            if not s or not t:
-                return False
-            if min(len(s), len(t)) <= 4:
-                return s.lower() == t.lower()
-            return SequenceMatcher(None, fold(s), fold(t)).ratio() >= threshold
+    return pd.Series([one(s, t) for s, t in zip(a, b, strict=True)])
 
-        return pd.Series([one(s, t) for s, t in zip(x, y, strict=True)])
 
-    return run(a, b)
+def similar(a: Column, b: Column) -> Column:
+    return similar_names(a, b)
 
 
 def has_letter(c: Column) -> Column:

@@ -66,7 +66,7 @@ def split_inline(lines: DataFrame, order: str = "line_idx") -> DataFrame:
     t = F.regexp_replace(t, BEFORE_HAN, "\n$1")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), BEFORE_NAME, "\n")
     t = F.regexp_replace(t, BEFORE_GLUED, "\n")
-    parts = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return lines.select("doc_id", order, F.posexplode(parts).alias("part_idx", "text"))
 
 

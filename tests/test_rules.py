@@ -77,8 +77,9 @@ def test_rules(spark):
         (None, 0),
     ],
 )
-def test_split_items(pasted, n):
-    assert len(items.split_items(pasted)) == n
+def test_split_items(spark, pasted, n):
+    df = spark.createDataFrame([(pasted,)], "v string")
+    assert len(df.select(items.reference_items(F.col("v"))).first()[0]) == n
 
 
 def test_folds(spark):
