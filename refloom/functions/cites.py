@@ -15,6 +15,8 @@ NARRATIVE_HAN = rf"([{HAN}]{{1,10}})\s*[(（]\s*(\d{{4}})\s*[)）]"
 YEAR_IN_CITATION = r"(?i)(?:(?:19|20)\d{2}[a-z]?|n\s*\.\s*d\s*\.?|in\s+press)"
 YEAR_IN_PAREN = r"(?i)[(（]\s*((?:19|20)\d{2}[a-z]?|n\s*\.\s*d\s*\.?|in\s+press)\s*[)）]"
 ANY_YEAR = r"(?i)\(\s*(?:19\d{2}|20\d{2})\s*[a-z]?\s*\)|\b(?:19\d{2}|20\d{2})[a-z]?\b"
+DOTTED_YEAR = rf"(?:^|[.\s])({YEAR})\."
+CORE_YEARS = [rf"\(({YEAR}(?:[- ]?[a-zA-Z])?)\)", r"\(([^)]*(?:19|20)\d{2}[^)]*)\)", rf"[,，\s]\s*({YEAR})\s*[,，.]", DOTTED_YEAR]
 # ---- end of fixed values ----
 
 
@@ -126,33 +128,32 @@ def title_key(surname: Column, year: Column, suffix: Column, title: Column) -> C
 def parse_core(text: Column) -> Column:
     """PRS1: (lang, author1, author2, year, raw), null if no year is found or no author can be.
 
-    The year is sought in four forms, the first that occurs counts; the authors stand before it.
+    The year is sought in four forms, the first that occurs counts; the authors stand before it. The normalised text, the
+    form and its parts are each computed once and bound.
     """
-    t = norm_core(text)
-    forms = [
-        rf"\(({YEAR}(?:[- ]?[a-zA-Z])?)\)",
-        r"\(([^)]*(?:19|20)\d{2}[^)]*)\)",
-        rf"[,，\s]\s*({YEAR})\s*[,，.]",
-        rf"(?:^|[.\s])({YEAR})\.",
-    ]
-    which = F.coalesce(*[F.when(t.rlike(f), F.lit(i)) for i, f in enumerate(forms)])
-    year = F.coalesce(*[F.when(t.rlike(f), F.regexp_extract(t, f, 1)) for f in forms])
-    pre = F.trim(F.coalesce(*[F.when(t.rlike(f), F.regexp_extract(t, rf"^(.*?)(?:{f})", 1)) for f in forms]))
-    pre = F.when(which == 3, F.trim(F.regexp_replace(pre, r"\.$", ""))).otherwise(pre)
+
+    def form(t: Column, i: int) -> Column:
+        f = CORE_YEARS[i]
+        pre = F.trim(F.regexp_extract(t, rf"^(.*?)(?:{f})", 1))
+        bare = F.trim(F.regexp_replace(pre, r"\.$", "")) if f == DOTTED_YEAR else pre
+        return F.when(t.rlike(f), F.struct(F.regexp_extract(t, f, 1).alias("year"), bare.alias("pre"), t.alias("raw")))
 
     def built(p: Column) -> Column:
         pre, raw = p["pre"], p["raw"]
-        english = has_letter(F.when(pre != "", pre).otherwise(F.left(raw, F.lit(20))))
         lead = rf"^([{LETTER}][{LETTER}'\-\s.]*?),"
+        one = lambda a1, a2: F.struct(a1.alias("a1"), a2.alias("a2"))
         second = F.nullif(F.trim(F.regexp_extract(pre, rf"(?:&|and)\s*([{LETTER}][{LETTER}'\-\s.]*?)(?:,|$)", 1)), F.lit(""))
         alt = F.nullif(F.trim(F.regexp_extract(pre, r"(?:&|and)\s*([A-Za-z][A-Za-z'\-\s.]*)", 1)), F.lit(""))
-        short = F.when(alt.isNotNull(), F.trim(F.regexp_extract(pre, "^(.*?)(?:&|and)", 1))).otherwise(pre)
+        short = _let(alt, lambda a: one(F.when(a.isNotNull(), F.trim(F.regexp_extract(pre, "^(.*?)(?:&|and)", 1))).otherwise(pre), a))
+        latin = F.when(pre.rlike(lead), one(F.trim(F.regexp_extract(pre, lead, 1)), second)).when(F.char_length(pre) < 100, short)
         names = F.regexp_extract_all(F.regexp_replace(pre, "[與和及&]", " "), F.lit(f"[{HAN}]{{1,10}}"), F.lit(0))
-        a1 = F.when(english, F.when(pre.rlike(lead), F.trim(F.regexp_extract(pre, lead, 1))).when(F.char_length(pre) < 100, short)).otherwise(F.get(names, F.lit(0)))
-        a2 = F.when(english, F.when(pre.rlike(lead), second).otherwise(alt)).otherwise(F.when(F.size(names) >= 2, F.get(names, F.size(names) - 1)))
-        return F.when(p["year"].isNotNull() & a1.isNotNull(), F.struct(F.when(english, "en").otherwise("zh").alias("lang"), a1.alias("author1"), a2.alias("author2"), year_key(p["year"]).alias("year"), raw.alias("raw")))
+        chinese = _let(names, lambda a: one(F.get(a, F.lit(0)), F.when(F.size(a) >= 2, F.element_at(a, -1))))
+        english = has_letter(F.when(pre != "", pre).otherwise(F.left(raw, F.lit(20))))
+        whole = lambda lang, n: F.when(n["a1"].isNotNull(), F.struct(F.lit(lang).alias("lang"), n["a1"].alias("author1"), n["a2"].alias("author2"), year_key(p["year"]).alias("year"), raw.alias("raw")))
+        return F.when(english, _let(latin, lambda n: whole("en", n))).otherwise(_let(chinese, lambda n: whole("zh", n)))
 
-    return _let(F.struct(t.alias("raw"), pre.alias("pre"), year.alias("year")), built)
+    found = _let(norm_core(text), lambda t: F.coalesce(*[form(t, i) for i in range(len(CORE_YEARS))]))
+    return _let(found, lambda p: F.when(p.isNotNull(), built(p)))
 
 
 def core_key(lang: Column, author: Column, year: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cites import core_key, extract_citations, match_key, parse_citation, parse_core, parse_reference
-from ..functions.text import fold_accents, norm_core, preview, similar
+from ..functions.text import fold_accents, han_key, norm_core, preview, similar, surname_key
 
 
 def once(parsed: Column) -> Column:
@@ -48,8 +48,10 @@ def four_way(paras: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def core_references(items: DataFrame) -> DataFrame:
-    """Document engine: doc_id, pos, item_idx (dense over parsed items), lang, author1, author2, year, raw, k_author, k_year."""
-    p = items.select("doc_id", "pos", once(parse_core(F.col("raw"))).alias("p")).select("doc_id", "pos", "p.*")
+    """Document engine: doc_id, pos, page, item_idx (dense over parsed items), lang, author1, author2, year, raw, k_author,
+    k_year. items without page have page 0."""
+    page = F.col("page") if "page" in items.columns else F.lit(0)
+    p = items.select("doc_id", "pos", page.cast("int").alias("page"), once(parse_core(F.col("raw"))).alias("p")).select("doc_id", "pos", "page", "p.*")
     p = p.withColumn("item_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
     return with_core_key(p)
 
@@ -63,9 +65,13 @@ ON = ["doc_id", "lang", "k_author", "k_year"]
 
 
 def exact(cites: DataFrame, refs: DataFrame) -> DataFrame:
-    """JN2: cites with ref_raw and ref_idx of the first reference of equal key; one row a citation."""
-    first = refs.groupBy(*ON).agg(F.min(F.struct("item_idx", "raw")).alias("f")).select(*ON, F.col("f.item_idx").alias("ref_idx"), F.col("f.raw").alias("ref_raw"))
-    return cites.join(first, ON)
+    """JN2: cites with ref_raw, ref_idx and ref_page of the first reference of equal key; one row a citation."""
+    return cites.join(_first_of_key(refs), ON)
+
+
+def _first_of_key(refs: DataFrame) -> DataFrame:
+    first = refs.groupBy(*ON).agg(F.min(F.struct("item_idx", "raw", "page")).alias("f"))
+    return first.select(*ON, F.col("f.item_idx").alias("ref_idx"), F.col("f.raw").alias("ref_raw"), F.col("f.page").alias("ref_page"))
 
 
 def cited_by_key(cites: DataFrame, refs: DataFrame) -> DataFrame:
@@ -77,39 +83,59 @@ def not_exact(cites: DataFrame, refs: DataFrame) -> DataFrame:
     return cites.join(refs.select(*ON).distinct(), ON, "left_anti")
 
 
+def _said(cites: DataFrame, block: DataFrame) -> DataFrame:
+    """JN3: doc_id, _a, _y: the authors and years cited in a document that both stand somewhere in its reference text
+    (doc_id, ref_text). A document's pairs meet its text once."""
+    pair = F.struct(F.lower("author1").alias("a"), F.lower("year").alias("y"))
+    asked = cites.groupBy("doc_id").agg(F.collect_set(pair).alias("_asked"))
+    text = block.select("doc_id", F.lower(norm_core(F.col("ref_text"))).alias("_t"))
+    there = lambda p: (F.col("_t").contains(p["a"]) | F.col("_t").contains(F.replace(p["a"], F.lit("-"), F.lit(" ")))) & F.col("_t").contains(p["y"])
+    return asked.join(text, "doc_id").select("doc_id", F.explode(F.filter("_asked", there)).alias("p")).select("doc_id", F.col("p.a").alias("_a"), F.col("p.y").alias("_y"))
+
+
+def with_raw_text(cites: DataFrame, block: DataFrame) -> DataFrame:
+    """cites with in_text, whether JN3 holds: one join for the citations that are found and those that are not."""
+    said = _said(cites, block).withColumn("in_text", F.lit(True))
+    marked = cites.withColumn("_a", F.lower("author1")).withColumn("_y", F.lower("year"))
+    return marked.join(said, ["doc_id", "_a", "_y"], "left").withColumn("in_text", F.col("in_text").isNotNull()).drop("_a", "_y")
+
+
 def in_raw_text(cites: DataFrame, block: DataFrame) -> DataFrame:
-    """JN3: cites whose author and year both stand somewhere in the document's reference text (doc_id, ref_text)."""
-    t = block.select(F.col("doc_id").alias("_d"), F.lower(norm_core(F.col("ref_text"))).alias("_t"))
-    a = F.lower("author1")
-    there = (F.col("_t").contains(a) | F.col("_t").contains(F.replace(a, F.lit("-"), F.lit(" ")))) & F.col("_t").contains(F.lower("year"))
-    return cites.join(t, F.col("doc_id") == F.col("_d")).filter(there).drop("_d", "_t")
+    return with_raw_text(cites, block).filter("in_text").drop("in_text")
 
 
 def by_context(cites: DataFrame, refs: DataFrame) -> DataFrame:
     """JN4: cites recovered by year and context; cheap tests stand before the ratio. One row a citation, the first
     reference in order."""
     c = cites.select(*[F.col(x).alias(f"c_{x}") for x in ("doc_id", "cite_id", "lang", "author1", "author2", "year", "context")])
-    r = refs.select(F.col("doc_id").alias("r_doc"), "item_idx", F.col("lang").alias("r_lang"), F.col("author2").alias("r_author2"), F.col("year").alias("r_year"), F.col("raw").alias("r_raw"), "k_author")
+    second = F.when(F.col("lang") == "en", surname_key(F.col("author2"))).otherwise(han_key(F.col("author2")))
+    r = refs.select(F.col("doc_id").alias("r_doc"), "item_idx", F.col("lang").alias("r_lang"), second.alias("r_author2"), F.col("year").alias("r_year"), F.col("raw").alias("r_raw"), "page", "k_author")
     pairs = c.join(r, (F.col("c_doc_id") == F.col("r_doc")) & (F.col("c_year") == F.col("r_year")) & (F.col("c_lang") == F.col("r_lang")))
     ctx = fold_accents(F.lower(norm_core(F.col("c_context"))))
     near = ctx.contains(F.col("k_author")) | ctx.contains(F.replace(F.col("k_author"), F.lit("-"), F.lit(" ")))
     sure = F.col("r_raw").contains(F.col("c_author1")) | F.coalesce(F.col("c_author2") == F.col("r_author2"), F.lit(False))
     pairs = pairs.filter(near).withColumn("_alike", F.when(sure, F.lit(True)).otherwise(similar(F.col("c_author2"), F.col("r_author2")))).filter("_alike")
-    best = pairs.groupBy("c_cite_id").agg(F.min(F.struct("item_idx", "r_raw")).alias("b"))
-    return best.select(F.col("c_cite_id").alias("cite_id"), F.col("b.item_idx").alias("ref_idx"), F.col("b.r_raw").alias("ref_raw"))
+    best = pairs.groupBy("c_cite_id").agg(F.min(F.struct("item_idx", "r_raw", "page")).alias("b"))
+    return best.select(F.col("c_cite_id").alias("cite_id"), F.col("b.item_idx").alias("ref_idx"), F.col("b.r_raw").alias("ref_raw"), F.col("b.page").alias("ref_page"))
+
+
+EXACT, RAW_TEXT, CONTEXT_FOUND = "Exact", "Found in Raw Text (Parser Missed)", "Context Recovery"
 
 
 def cascade(cites: DataFrame, refs: DataFrame, block: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """JN5 to JN7: (matched, missing, uncited). cites has cite_id, unique. Each stage sees what the ones before left."""
-    a = exact(cites, refs).select("cite_id", F.lit("Exact").alias("match_type"), "ref_raw", "ref_idx")
-    rest = not_exact(cites, refs)
-    b = in_raw_text(rest, block).select("cite_id", F.lit("Found in Raw Text (Parser Missed)").alias("match_type"), F.lit("(Located in Reference Section text)").alias("ref_raw"), F.lit(None).cast("int").alias("ref_idx"))
-    rest = rest.join(b, "cite_id", "left_anti")
-    d = by_context(rest, refs).select("cite_id", F.lit("Context Recovery").alias("match_type"), "ref_raw", "ref_idx")
-    matched = cites.join(a.unionByName(b).unionByName(d), "cite_id")
-    missing = rest.join(d, "cite_id", "left_anti")
-    hit = cited_by_key(cites, refs).union(matched.filter("match_type = 'Context Recovery'").select("doc_id", F.col("ref_idx").alias("item_idx")))
-    return matched, missing, refs.join(hit.distinct(), ["doc_id", "item_idx"], "left_anti")
+    """JN5 to JN7: (matched, missing, uncited). cites has cite_id, unique. Each stage sees what the ones before left: the
+    first two are marks on one pass over the citations, the third is joined to what has neither."""
+    keyed = cites.join(_first_of_key(refs), ON, "left").withColumn("match_type", F.when(F.col("ref_idx").isNotNull(), EXACT))
+    hit = keyed.filter("match_type is not null")
+    rest = with_raw_text(keyed.filter("match_type is null").drop("match_type", "ref_raw", "ref_idx", "ref_page"), block)
+    said = rest.filter("in_text").drop("in_text").withColumns({"match_type": F.lit(RAW_TEXT), "ref_raw": F.lit("(Located in Reference Section text)"), "ref_idx": F.lit(None).cast("int"), "ref_page": F.lit(0)})
+    open_ = rest.filter("not in_text").drop("in_text")
+    tried = open_.join(by_context(open_, refs), "cite_id", "left")
+    found = tried.filter("ref_idx is not null").withColumn("match_type", F.lit(CONTEXT_FOUND))
+    missing = tried.filter("ref_idx is null").drop("ref_raw", "ref_idx", "ref_page")
+    matched = hit.unionByName(said).unionByName(found)
+    used = cited_by_key(cites, refs).union(found.select("doc_id", F.col("ref_idx").alias("item_idx")))
+    return matched, missing, refs.join(used.distinct(), ["doc_id", "item_idx"], "left_anti")
 
 
 def summary(docs: DataFrame, **counted: DataFrame) -> DataFrame:
@@ -123,11 +149,15 @@ def summary(docs: DataFrame, **counted: DataFrame) -> DataFrame:
 
 
 def resolve_override(auto: DataFrame, override: DataFrame) -> DataFrame:
+    return sources_of(core_references(auto), override)
+
+
+def sources_of(own: DataFrame, override: DataFrame) -> DataFrame:
     """JN9, PRS10, AGG8: doc_id, reference_source, reference_item_count, override_items_count,
     override_parse_failed_count, warning. Override items (doc_id, pos, raw) count if any of a document can be parsed."""
     o = override.filter(F.trim("raw") != "").select("doc_id", F.when(parse_core(F.col("raw")).isNotNull(), 1).otherwise(0).cast("long").alias("ok"))
     o = o.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("parsed"))
-    a = core_references(auto).groupBy("doc_id").agg(F.count(F.lit(1)).alias("auto"))
+    a = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("auto"))
     both = a.join(o, "doc_id", "full_outer").na.fill(0, ["n", "parsed", "auto"])
     use = F.col("parsed") > 0
     return both.select(
@@ -138,19 +168,3 @@ def resolve_override(auto: DataFrame, override: DataFrame) -> DataFrame:
         (F.col("n") - F.col("parsed")).alias("override_parse_failed_count"),
         F.when((F.col("n") > 0) & ~use, "fallback").when(use & (F.col("parsed") < F.col("n")), "partial").alias("warning"),
     )
-
-
-def reverse_search(paras: DataFrame, refs: DataFrame) -> DataFrame:
-    """EXT4: parts of parentheses that hold the family name and the year of a known reference of the document."""
-    group = F.explode(F.regexp_extract_all(norm_core(F.col("text")), F.lit(r"\((.+?)\)"), F.lit(1))).alias("g")
-    parts = paras.select("doc_id", "para_idx", group).select("doc_id", "para_idx", F.explode(F.split("g", F.when(F.col("g").rlike("[;；]"), "[;；]").otherwise("[,，]"))).alias("part"))
-    name = F.when(F.col("lang") == "en", F.when(F.col("author1").contains(","), F.substring_index("author1", ",", 1)).otherwise(F.regexp_extract("author1", r"^(\S*)", 1))).otherwise(F.col("author1"))
-    known = refs.select(F.col("doc_id").alias("_d"), "lang", name.alias("author1"), "year").filter(F.char_length("author1") >= 2).distinct()
-    hit = F.col("part").contains(F.col("author1")) & F.col("part").contains(F.col("year"))
-    return parts.withColumn("part", F.trim("part")).filter("part <> ''").join(known, (F.col("doc_id") == F.col("_d")) & hit).select("doc_id", "para_idx", "lang", "author1", "year", F.col("part").alias("raw"))
-
-
-def first_citations(cites: DataFrame) -> DataFrame:
-    """EXT5: one of a paragraph's citations of one author and year, the first."""
-    w = Window.partitionBy("doc_id", "para_idx", F.replace(F.lower("author1"), F.lit(" "), F.lit("")), "year").orderBy("seq")
-    return cites.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

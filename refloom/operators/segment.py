@@ -45,7 +45,8 @@ def reference_block(paras: DataFrame) -> DataFrame:
 
 
 def merge_wrapped(lines: DataFrame, order: str = "line_idx") -> DataFrame:
-    """SEG4: lines that end in a hyphen, a Han character or a connector take the next one. doc_id, first, text."""
+    """SEG4: lines that end in a hyphen, a Han character or a connector take the next one. doc_id, first, text, and the
+    first line's page where lines have one."""
     w = Window.partitionBy("doc_id").orderBy(order)
     t = F.col("text")
     hyphen = F.when(t.rlike("[-–]$"), F.when(F.lead(t).over(w).rlike(r"^\p{Lu}"), "keep").otherwise("drop"))
@@ -54,37 +55,42 @@ def merge_wrapped(lines: DataFrame, order: str = "line_idx") -> DataFrame:
     marked = marked.withColumn("_first", F.max(F.when(F.col("_before") == "end", F.col(order))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.when((F.col("_tail") == "drop") & F.lead(t).over(w).isNotNull(), F.substring(t, 1, F.char_length(t) - 1)).otherwise(t)
     piece = F.concat(F.when(F.col("_before") == "space", " ").otherwise(""), F.when(F.col("_before") == "end", whole).otherwise(F.trim(whole)))
-    parts = marked.select("doc_id", "_first", F.col(order).alias("o"), piece.alias("p"))
+    page = ["page"] * ("page" in lines.columns)
+    parts = marked.select("doc_id", "_first", F.col(order).alias("o"), piece.alias("p"), *page)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "p"))), lambda x: x["p"]), "")
-    return parts.groupBy("doc_id", "_first").agg(joined.alias("text")).withColumnRenamed("_first", "first")
+    return parts.groupBy("doc_id", "_first").agg(joined.alias("text"), *[F.min_by(c, "o").alias(c) for c in page]).withColumnRenamed("_first", "first")
 
 
 def split_inline(lines: DataFrame, order: str = "line_idx") -> DataFrame:
-    """SEG5: doc_id, order, part_idx, text after four cuts, one after the other."""
+    """SEG5: doc_id, order, part_idx, text after four cuts, one after the other, and the line's page if it has one."""
     t = F.col("text")
     t = F.regexp_replace(t, AFTER_PAGES, "$1\n")
     t = F.regexp_replace(t, BEFORE_HAN, "\n$1")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), BEFORE_NAME, "\n")
     t = F.regexp_replace(t, BEFORE_GLUED, "\n")
     parts = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return lines.select("doc_id", order, F.posexplode(parts).alias("part_idx", "text"))
+    return lines.select("doc_id", order, *["page"] * ("page" in lines.columns), F.posexplode(parts).alias("part_idx", "text"))
 
 
 def assemble_items(lines: DataFrame, order: list[str]) -> DataFrame:
-    """SEG6: doc_id, items (array): a fold over a document's lines, as whether a line begins an item depends on the text
-    gathered so far."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"])
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """SEG6: doc_id, items (array of raw, page): a fold over a document's lines, as whether a line begins an item depends on
+    the text gathered so far. An item has its first line's page (0 without pages)."""
+    page = F.coalesce(F.col("page"), F.lit(0)).cast("int") if "page" in lines.columns else F.lit(0)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(F.col("text").alias("raw"), page.alias("page")).alias("line")))), lambda x: x["line"])
+    none = F.array().cast("array<struct<raw:string,page:int>>")
+    start = F.struct(none.alias("done"), F.struct(F.lit("").alias("raw"), F.lit(0).alias("page")).alias("now"))
 
     def step(acc, x):
-        new = (acc["now"] != "") & starts_item(x) & ~must_append(acc["now"], x)
+        now = acc["now"]
+        new = (now["raw"] != "") & starts_item(x["raw"]) & ~must_append(now["raw"], x["raw"])
+        more = F.struct(F.concat(now["raw"], F.lit(" "), x["raw"]).alias("raw"), now["page"].alias("page"))
         return F.struct(
-            F.when(new, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-            F.when(new | (acc["now"] == ""), x).otherwise(F.concat(acc["now"], F.lit(" "), x)).alias("now"),
+            F.when(new, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
+            F.when(new | (now["raw"] == ""), x).otherwise(more).alias("now"),
         )
 
     def finish(acc):
-        return F.when(acc["now"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
+        return F.when(acc["now"]["raw"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
 
     return lines.groupBy("doc_id").agg(ordered.alias("_l")).select("doc_id", F.aggregate("_l", start, step, finish).alias("items"))
 
@@ -103,7 +109,7 @@ def merge_paragraphs(paras: DataFrame) -> DataFrame:
         year = t.rlike(rf"^\s*\({YEAR}") & (clean != "") & ~clean.rlike("[.?!;。？！；]$")
         join = (now["text"] != "") & (now["n"] < MAX_JOINED) & ((now["depth"] > 0) | year | hyphen | now["text"].rlike(CONNECTOR_END))
         text = F.when(hyphen, F.concat(F.substring(clean, 1, F.char_length(clean) - 1), t)).otherwise(F.concat(now["text"], F.lit(" "), t))
-        fresh = F.struct(t.alias("text"), x["page"].cast("int").alias("page"), open_parens(t).alias("depth"), F.lit(1).alias("n"))
+        fresh = F.struct(t.alias("text"), F.coalesce(x["page"], F.lit(1)).cast("int").alias("page"), open_parens(t).alias("depth"), F.lit(1).alias("n"))
         more = F.struct(text.alias("text"), now["page"].alias("page"), (now["depth"] + open_parens(t)).alias("depth"), (now["n"] + 1).alias("n"))
         out = F.concat(acc["done"], F.array(F.struct(now["text"].alias("text"), now["page"].alias("page"))))
         return F.struct(F.when(join | (now["text"] == ""), acc["done"]).otherwise(out).alias("done"), F.when(join, more).otherwise(fresh).alias("now"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cites, rules, text
 from ..functions.items import reference_items, reference_starts
-from ..operators import biblio, layout, match, metrics, segment, spans
+from ..operators import analysis, biblio, layout, match, metrics, segment, spans
 from ..sources import files, synth
+from ..sources.lineage import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,19 +26,21 @@ def documents(s, d) -> DataFrame:
     return synth.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def a_citations(s, d) -> DataFrame:
-    """Citations with a year, keyed as the document engine does; cite_id is unique."""
-    c = match.citations(synth.body(s, d)).filter("c.year is not null")
-    lang = F.when(text.has_letter(F.col("c.surname")), "en").otherwise("zh")
-    year = F.concat(F.col("c.year").cast("string"), F.coalesce("c.year_suffix", F.lit("")))
-    c = c.select("doc_id", "para_idx", "seq", "raw", lang.alias("lang"), F.col("c.surname").alias("author1"), F.lit(None).cast("string").alias("author2"), year.alias("year"), F.concat(F.lit("..."), F.col("raw"), F.lit("...")).alias("context"))
-    return match.with_core_key(c.withColumn("cite_id", F.concat_ws(":", "doc_id", "para_idx", "seq")))
+def body_paragraphs(s, d) -> DataFrame:
+    return synth.body(s, d).withColumn("page", F.lit(0))
 
 
 def a_references(s, d) -> DataFrame:
     return match.core_references(synth.refs(s, d))
 
 
+def both_sides(s, d) -> tuple[DataFrame, DataFrame]:
+    """The body's citations as the document engine finds and keys them (cite_id is unique), and the parsed references.
+    Each is written once, and what follows reads that instead of the texts."""
+    refs = cut_lineage(a_references(s, d))
+    return cut_lineage(analysis.cited(body_paragraphs(s, d), refs)), refs
+
+
 def block(s, d) -> DataFrame:
     return synth.refs(s, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n").alias("ref_text"))
 
@@ -120,62 +123,61 @@ def core_reference_key(s, d):
 
 @query
 def core_citation_key(s, d):
-    return a_citations(s, d).select("doc_id", "para_idx", "lang", "k_author", "k_year")
+    return both_sides(s, d)[0].select("doc_id", "para_idx", "lang", "k_author", "k_year")
 
 
 @query
 def exact_match(s, d):
-    return match.exact(a_citations(s, d), a_references(s, d)).select("doc_id", "para_idx", "raw", "ref_raw", "ref_idx")
+    return match.exact(*both_sides(s, d)).select("doc_id", "para_idx", "raw", "ref_raw", "ref_idx")
 
 
 @query
 def cited_references(s, d):
-    return match.cited_by_key(a_citations(s, d), a_references(s, d))
+    return match.cited_by_key(*both_sides(s, d))
 
 
 @query
 def raw_text_match(s, d):
-    return match.in_raw_text(match.not_exact(a_citations(s, d), a_references(s, d)), block(s, d)).select("doc_id", "para_idx", "raw", "author1", "year")
+    return match.in_raw_text(match.not_exact(*both_sides(s, d)), block(s, d)).select("doc_id", "para_idx", "raw", "author1", "year")
 
 
 @query
 def missing_citations(s, d):
-    rest = match.not_exact(a_citations(s, d), a_references(s, d))
-    return rest.join(match.in_raw_text(rest, block(s, d)).select("cite_id"), "cite_id", "left_anti").select("doc_id", "para_idx", "raw", "author1", "year")
+    return match.with_raw_text(match.not_exact(*both_sides(s, d)), block(s, d)).filter("not in_text").select("doc_id", "para_idx", "raw", "author1", "year")
 
 
 @query
 def uncited_references(s, d):
-    r = a_references(s, d)
-    return r.join(match.cited_by_key(a_citations(s, d), r), ["doc_id", "item_idx"], "left_anti").select("doc_id", "item_idx", "lang", "author1", "year", "raw")
+    c, r = both_sides(s, d)
+    return r.join(match.cited_by_key(c, r), ["doc_id", "item_idx"], "left_anti").select("doc_id", "item_idx", "lang", "author1", "year", "raw")
 
 
 @query
 def context_recovery(s, d):
-    return match.by_context(a_citations(s, d), a_references(s, d))
+    return match.by_context(*both_sides(s, d)).select("cite_id", "ref_idx", "ref_raw")
 
 
 @query
 def match_cascade(s, d):
-    matched, missing, _ = match.cascade(a_citations(s, d), a_references(s, d), block(s, d))
+    matched, missing, _ = match.cascade(*both_sides(s, d), block(s, d))
     return matched.select("doc_id", "cite_id", "match_type", "ref_raw").unionByName(missing.select("doc_id", "cite_id", F.lit("Missing").alias("match_type"), F.lit(None).cast("string").alias("ref_raw")))
 
 
 @query
 def analysis_summary(s, d):
-    c, r = a_citations(s, d), a_references(s, d)
+    c, r = both_sides(s, d)
     return match.summary(synth.body(s, d), body_paragraphs=synth.body(s, d), reference_items=r, citations=c, matched=match.exact(c, r))
 
 
 @query
 def citation_dedupe(s, d):
-    first = match.first_citations(a_citations(s, d))
-    return first.groupBy("doc_id", "para_idx", F.replace(F.lower("author1"), F.lit(" "), F.lit("")).alias("author"), "year").agg(F.count(F.lit(1)).alias("n"))
+    return both_sides(s, d)[0].groupBy("doc_id", "para_idx", F.replace(F.lower("author1"), F.lit(" "), F.lit("")).alias("author"), "year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def reverse_search(s, d):
-    return match.reverse_search(synth.body(s, d), a_references(s, d)).distinct()
+    cites = spans.citations_in(body_paragraphs(s, d), cut_lineage(a_references(s, d)))
+    return spans.first_of_each(cites.filter(F.col("raw").startswith("the tables of"))).select("doc_id", "para_idx", "lang", "author1", "year", "raw")
 
 
 @query
@@ -278,7 +280,7 @@ def inline_split(s, d):
 
 @query
 def assemble_items(s, d):
-    return segment.assemble_items(synth.wrapped(s, d), ["line_idx"]).select("doc_id", F.posexplode("items").alias("item_idx", "raw"))
+    return segment.assemble_items(synth.wrapped(s, d), ["line_idx"]).select("doc_id", F.posexplode("items").alias("item_idx", "i")).select("doc_id", "item_idx", "i.raw")
 
 
 @query
@@ -299,7 +301,20 @@ def reference_start_places(s, d):
 
 @query
 def citation_spans(s, d):
-    return spans.citations_in(synth.paragraphs(s, d)).select("doc_id", "para_idx", "page", "lang", "author1", "author2", "year", "raw", "context")
+    body = segment.split_sections(synth.paragraphs(s, d)).filter("part = 'body'")
+    context = F.when(F.char_length("context") < 56, F.col("context"))
+    return spans.citations_in(body).select("doc_id", "para_idx", "page", "lang", "author1", "author2", "year", "raw", F.col("seq").cast("long").alias("seq"), context.alias("context"))
+
+
+def _report(name: str, columns: list[str]) -> Query:
+    return lambda s, d: getattr(analysis.analyse(synth.paragraphs(s, d)), name).select(*columns)
+
+
+_CITED = ["doc_id", "citation_raw", "lang", "author1", "year", "para_idx", "page"]
+QUERIES["document_summary"] = _report("summary", ["doc_id", "body_paragraphs", "reference_items", "citations", "matched", "missing", "uncited"])
+QUERIES["document_matched"] = _report("matched", [*_CITED, "match_type", "ref_raw", "ref_page"])
+QUERIES["document_missing"] = _report("missing", _CITED)
+QUERIES["document_uncited"] = _report("uncited", ["doc_id", "item_idx", "lang", "author1", "year", "raw", "page"])
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.synth import NAMES
+from ..sources.synth import LONG_NAME, NAMES
 
 _NAMES = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
 TOK = r"(?:\d{4}[a-z]?|n\s*\.\s*d\s*\.?|in\s+press)"
@@ -22,17 +22,21 @@ body AS (
     WHEN 2 THEN 'No source is named here, p < 0.05 (see below).'
     WHEN 3 THEN 'Two studies (' || x || ', ' || y || '; ' || z || ', ' || y || 'a, p. 12) agree.'
     WHEN 4 THEN x || ' and ' || z || ' (' || y || ') differ from (' || z || ', n.d.).'
-    ELSE '李明（' || y || '）指出此點。' END AS text
-  FROM (SELECT o_custkey AS doc_id, o_orderkey AS para_idx, o_orderkey % 6 AS k, {nm("o_custkey * 7 + o_orderkey")} AS x, {nm("o_custkey * 5 + o_orderkey")} AS z, year(o_orderdate)::VARCHAR AS y FROM orders)
+    WHEN 5 THEN '李明（' || y || '）指出此點。'
+    WHEN 6 THEN 'As {LONG_NAME} (in press) and others show, this holds.'
+    WHEN 7 THEN 'Work by ' || x || ', ' || w || ' and ' || z || ' (' || y || 'a) agrees.'
+    ELSE 'More is told elsewhere (the tables of ' || x || ' in ' || y || ' and their notes).' END AS text
+  FROM (SELECT o_custkey AS doc_id, o_orderkey AS para_idx, o_orderkey % 9 AS k, {nm("o_custkey * 3 + 1")} AS w, {nm("o_custkey * 7 + o_orderkey")} AS x, {nm("o_custkey * 5 + o_orderkey")} AS z, year(o_orderdate)::VARCHAR AS y FROM orders)
 )"""
 REFS = f"""
 refs AS (
   SELECT doc_id, pos, min(raw) AS raw FROM (
     SELECT doc_id, pos, CASE WHEN k <= 3 THEN x || ', A. (' || y || '). ' || tail WHEN k = 4 THEN x || ', A. (n.d.). ' || tail
-      WHEN k = 5 THEN x || ', A., & ' || z || ', B. (' || y || 'a). ' || tail WHEN k = 6 THEN '李明（' || y || '）。' || tail ELSE x || ', A. Working notes. ' || tail END AS raw
-    FROM (SELECT o_custkey AS doc_id, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 10 + l_suppkey % 10 AS pos, (l_orderkey + l_linenumber) % 8 AS k,
+      WHEN k = 5 THEN x || ', A., & ' || z || ', B. (' || y || 'a). ' || tail WHEN k = 6 THEN '李明（' || y || '）。' || tail WHEN k = 7 THEN x || ', A. Working notes. ' || tail
+      WHEN k = 8 THEN '{LONG_NAME}, A. (in press). ' || tail ELSE '王小明、李華（' || y || '）。' || tail END AS raw
+    FROM (SELECT o_custkey AS doc_id, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 10 + l_suppkey % 10 AS pos, (l_orderkey + l_linenumber) % 10 AS k,
         {nm("o_custkey * 7 + o_orderkey + l_linenumber - 1")} AS x, {nm("l_suppkey")} AS z, year(l_shipdate)::VARCHAR AS y, p_name || '. Journal ' || l_suppkey || '.' AS tail
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2)
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
   ) GROUP BY doc_id, pos
 )"""
 LINES = f"""
@@ -70,8 +74,8 @@ found AS (
     FROM (SELECT doc_id, para_idx, unnest(regexp_extract_all(text, '[(（]([^()（）]{{1,240}})[)）]', 1)) AS b FROM body))
   WHERE regexp_matches(raw, '(?i)^.+?[,，]\s*{TOK}(?:\s*[,，]\s*(?:p|pp)\.?\s*\d+(?:\s*[-–—]\s*\d+)?)?\s*$')
   UNION ALL SELECT doc_id, para_idx, trim(p[1]) || ' (' || trim(p[2]) || ')', 2, 'narrative' FROM (SELECT doc_id, para_idx, unnest(list_zip(
-      regexp_extract_all(text, '(?i)\b([A-Z][A-Za-z''’\-]+(?:\s+(?:and|&)\s+[A-Z][A-Za-z''’\-]+|\s+et\s+al\.)?)\s*[(（]\s*({TOK})\s*[)）]', 1),
-      regexp_extract_all(text, '(?i)\b([A-Z][A-Za-z''’\-]+(?:\s+(?:and|&)\s+[A-Z][A-Za-z''’\-]+|\s+et\s+al\.)?)\s*[(（]\s*({TOK})\s*[)）]', 2))) AS p FROM body)
+      regexp_extract_all(regexp_replace(text, '[À-ÿ]', '_', 'g'), '(?i)\b([A-Z][A-Za-z''’\-]+(?:\s+(?:and|&)\s+[A-Z][A-Za-z''’\-]+|\s+et\s+al\.)?)\s*[(（]\s*({TOK})\s*[)）]', 1),
+      regexp_extract_all(regexp_replace(text, '[À-ÿ]', '_', 'g'), '(?i)\b([A-Z][A-Za-z''’\-]+(?:\s+(?:and|&)\s+[A-Z][A-Za-z''’\-]+|\s+et\s+al\.)?)\s*[(（]\s*({TOK})\s*[)）]', 2))) AS p FROM body)
   UNION ALL SELECT doc_id, para_idx, p[1] || ' (' || p[2] || ')', 3, 'narrative_zh' FROM (SELECT doc_id, para_idx, unnest(list_zip(
       regexp_extract_all(text, '([{HAN}]{{1,10}})\s*[(（]\s*(\d{{4}})\s*[)）]', 1), regexp_extract_all(text, '([{HAN}]{{1,10}})\s*[(（]\s*(\d{{4}})\s*[)）]', 2))) AS p FROM body)
 ), once AS (SELECT doc_id, para_idx, min(raw) AS raw, min(o) AS o, arg_min(style, o) AS style FROM found GROUP BY doc_id, para_idx, lower(raw)),
@@ -109,26 +113,76 @@ four AS (
   FROM (SELECT DISTINCT doc_id, key FROM ckeys WHERE key IS NOT NULL) c FULL OUTER JOIN (SELECT doc_id, key, count(*) AS n, string_agg(raw, ' | ' ORDER BY pos) AS c FROM rkeys GROUP BY doc_id, key) r ON c.doc_id = r.doc_id AND c.key = r.key
 )"""
 )
-#: The document engine's parse of the six forms of references: the form without year is dropped.
-CORE = rf"""
-core AS (
+#: The document engine's parse of references with a year in parentheses; the form without year is dropped.
+def core(name: str, items: str) -> str:
+    return rf"""
+{name} AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS item_idx FROM (
     SELECT doc_id, pos, raw, CASE WHEN latin THEN 'en' ELSE 'zh' END AS lang, CASE WHEN latin THEN trim(regexp_extract(pre, '^([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ''\-\s.]*?),', 1)) ELSE regexp_extract(pre, '[{HAN}]{{1,10}}') END AS author1,
-      CASE WHEN latin THEN nullif(trim(regexp_extract(pre, '(?:&|and)\s*([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ''\-\s.]*?)(?:,|$)', 1)), '') END AS author2,
+      CASE WHEN latin THEN nullif(trim(regexp_extract(pre, '(?:&|and)\s*([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ''\-\s.]*?)(?:,|$)', 1)), '')
+        WHEN len(regexp_extract_all(pre, '[{HAN}]{{1,10}}')) > 1 THEN list_extract(regexp_extract_all(pre, '[{HAN}]{{1,10}}'), -1) END AS author2,
       CASE WHEN tok LIKE 'n%' THEN 'n.d.' ELSE tok END AS year
     FROM (SELECT *, regexp_matches(pre, '[A-Za-zÀ-ÿ]') AS latin FROM (SELECT doc_id, pos, t AS raw, regexp_extract(t, '\(({Y}[a-z]?)\)', 1) AS tok, trim(regexp_extract(t, '^(.*?)\({Y}[a-z]?\)', 1)) AS pre
-      FROM (SELECT doc_id, pos, translate(raw, '（）。', '().') AS t FROM refs)) WHERE tok <> '')
+      FROM (SELECT doc_id, pos, translate(raw, '（）。', '().') AS t FROM {items})) WHERE tok <> '')
   )
 )"""
-ACITES = """
-acites AS (
-  SELECT doc_id, para_idx, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY o, raw) AS seq, raw, lang, surname AS author1, yr || suf AS year FROM (
-    SELECT *, CASE WHEN regexp_matches(surname, '[A-Za-z]') THEN 'en' ELSE 'zh' END AS lang FROM ckeys WHERE yr <> '')
-)"""
-A = CITES + "," + REFS + "," + CORE + "," + ACITES
+
+
+CORE = core("core", "refs")
+_NAME = r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ''\-\s]*?(?:,\s*[A-Za-zÀ-ÿ]\.?)?"
+_TOLD = rf"({_NAME})(?:(?:\s*,\s*{_NAME})*\s*(?:&|and|,\s*&|,\s*and)\s*({_NAME})|\s+et\s+al\.?)?\s*\(\s*({Y}[- ]?[a-zA-Z]?)\s*\)"
+_LEAD = "(?i)^(?:as |see |in |by |cf |and )"
+
+
+def found_in(name: str, paras: str, known: str | None) -> str:
+    """Citations of paragraphs (doc_id, para_idx, text), told, in parentheses, and by known references."""
+    took = lambda k: f"regexp_extract_all(t, '{_TOLD}', {k})"
+    by_known = f"""
+    UNION ALL SELECT p.doc_id, p.para_idx, t, 3, 0, r.lang, r.author1, NULL, r.year, p.part FROM (SELECT doc_id, para_idx, t, trim(unnest(regexp_extract_all(t, '\\((.+?)\\)', 1))) AS part FROM {name}_t WHERE t LIKE '%(the tables of%') p
+      JOIN {known} r ON r.doc_id = p.doc_id AND contains(p.part, r.author1) AND contains(p.part, r.year)""" if known else ""
+    return rf"""
+{name}_t AS (SELECT doc_id, para_idx, translate(text, '（）。', '().') AS t FROM {paras}),
+{name} AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY kind, n) - 1 AS seq FROM (
+  SELECT DISTINCT ON (doc_id, para_idx, lower(replace(author1, ' ', '')), year) * FROM (
+    SELECT doc_id, para_idx, t, 0 AS kind, n, 'en' AS lang, trim(regexp_replace(trim(m[2]), '{_LEAD}', '')) AS author1, CASE WHEN regexp_matches(m[1], '(?i)\bet\s+al\.?') THEN NULL ELSE nullif(trim(m[3]), '') END AS author2, m[4] AS year, m[1] AS raw
+    FROM (SELECT doc_id, para_idx, t, generate_subscripts(l, 1) AS n, unnest(l) AS m FROM (SELECT doc_id, para_idx, t, list_zip({took(0)}, {took(1)}, {took(2)}, {took(3)}) AS l FROM {name}_t))
+    UNION ALL SELECT doc_id, para_idx, t, 1, 1, 'zh', regexp_extract(t, '([{HAN}]{{2,4}})\s*\(({Y}[a-z]?)\)', 1), NULL, regexp_extract(t, '([{HAN}]{{2,4}})\s*\(({Y}[a-z]?)\)', 2), regexp_extract(t, '([{HAN}]{{2,4}})\s*\(({Y}[a-z]?)\)') FROM {name}_t WHERE regexp_matches(t, '[{HAN}]\s*\({Y}')
+    UNION ALL SELECT doc_id, para_idx, t, 2, n, 'en', CASE WHEN who LIKE '% et al%' THEN split_part(who, ' ', 1) ELSE who END, NULL, year, part FROM (
+      SELECT doc_id, para_idx, t, part, n, trim(regexp_extract(part, '^(.+?)[,，\s]+({Y}[- ]?[a-zA-Z]?)$', 1)) AS who, regexp_extract(part, '^(.+?)[,，\s]+({Y}[- ]?[a-zA-Z]?)$', 2) AS year FROM (
+        SELECT doc_id, para_idx, t, generate_subscripts(l, 1) AS n, trim(unnest(l)) AS part FROM (SELECT doc_id, para_idx, t, flatten(list_transform(regexp_extract_all(t, '\((.+?)\)', 1), lambda g: string_split(g, ';'))) AS l FROM {name}_t))) WHERE year <> ''{by_known}
+  ) ORDER BY kind, n))"""
+
+
+ACITES = "numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1 AS para_idx, text FROM body)," + found_in("acites", "numbered", "core")
+A = BODY + "," + REFS + "," + CORE + "," + ACITES
 EXACT = "EXISTS (SELECT 1 FROM core r WHERE r.doc_id = c.doc_id AND r.lang = c.lang AND lower(r.author1) = lower(c.author1) AND r.year = c.year)"
 RAWT = ", rawtext AS (SELECT doc_id, lower(string_agg(translate(raw, '（）。', '().'), chr(10))) AS t FROM refs GROUP BY doc_id)"
 IN_RAW = "EXISTS (SELECT 1 FROM rawtext t WHERE t.doc_id = c.doc_id AND contains(t.t, lower(c.author1)) AND contains(t.t, c.year))"
+#: The whole analysis: lines in full-width parentheses begin no item, so they go to the one before.
+ANALYSIS = (
+    PARAS
+    + """,
+sides AS (SELECT p.doc_id, p.para_idx, p.text, p.page, p.para_idx < s.start AS body, s.start FROM paras p JOIN starts s USING (doc_id)),
+bodies AS (SELECT * FROM sides WHERE body),
+listed AS (SELECT *, sum((text NOT LIKE '%（%' OR para_idx = start + 1)::INT) OVER (PARTITION BY doc_id ORDER BY para_idx) AS g FROM sides WHERE NOT body AND para_idx > start AND text NOT IN ('Appendix A', 'Other, B. (1999). Not cited.')),
+ditems AS (SELECT doc_id, g AS pos, string_agg(text, ' ' ORDER BY para_idx) AS raw, arg_min(page, para_idx) AS page FROM listed GROUP BY doc_id, g),"""
+    + core("dcore0", "ditems")
+    + ", dcore AS (SELECT c.*, i.page FROM dcore0 c JOIN ditems i USING (doc_id, pos)),"
+    + found_in("dcites", "bodies", "dcore")
+    + """,
+dcited AS (SELECT c.*, b.page, c.doc_id || ':' || c.para_idx || ':' || c.seq AS cite_id FROM dcites c JOIN bodies b USING (doc_id, para_idx)),
+dtext AS (SELECT doc_id, lower(string_agg(translate(text, '（）。', '().'), chr(10))) AS rt FROM sides WHERE NOT body GROUP BY doc_id),
+dex AS (SELECT cite_id, min(item_idx) AS ref_idx FROM dcited c JOIN dcore r ON r.doc_id = c.doc_id AND r.lang = c.lang AND lower(r.author1) = lower(c.author1) AND r.year = c.year GROUP BY cite_id),
+dcx AS (SELECT cite_id, min(item_idx) AS ref_idx FROM dcited c JOIN dcore r ON r.doc_id = c.doc_id AND r.lang = c.lang AND r.year = c.year AND contains(strip_accents(lower(c.t)), strip_accents(lower(r.author1))) AND (contains(r.raw, c.author1) OR lower(c.author2) = lower(r.author2)) GROUP BY cite_id),
+dstage AS (
+  SELECT c.*, CASE WHEN dex.cite_id IS NOT NULL THEN 'Exact' WHEN contains(rt, lower(c.author1)) AND contains(rt, c.year) THEN 'Found in Raw Text (Parser Missed)' WHEN dcx.cite_id IS NOT NULL THEN 'Context Recovery' ELSE 'Missing' END AS match_type, dex.ref_idx AS e, dcx.ref_idx AS x
+  FROM dcited c LEFT JOIN dtext USING (doc_id) LEFT JOIN dex USING (cite_id) LEFT JOIN dcx USING (cite_id)
+), dused AS (
+  SELECT DISTINCT r.doc_id, r.item_idx FROM dcore r JOIN dcited c ON r.doc_id = c.doc_id AND r.lang = c.lang AND lower(r.author1) = lower(c.author1) AND r.year = c.year
+  UNION SELECT doc_id, x FROM dstage WHERE match_type = 'Context Recovery'
+)"""
+)
 DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 W = "WITH "
 
@@ -158,16 +212,16 @@ SQL: dict[str, str] = {
     "citations_by_style": W + CITES + " SELECT style, count(*) AS n, count(DISTINCT key) AS keys FROM ckeys GROUP BY style",
     "citation_keys_distinct": W + CITES + " SELECT key, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ckeys WHERE key IS NOT NULL GROUP BY key",
     "citation_parse": W + CITES + " SELECT doc_id, para_idx, raw, surname, nullif(yr, '') AS year, nullif(suf, '') AS year_suffix, CASE WHEN yr <> '' THEN 'year' WHEN tok LIKE 'n%' THEN 'n.d.' WHEN tok LIKE 'in%' THEN 'in_press' ELSE 'missing' END AS year_token_type FROM ckeys",
-    "citation_year_token": W + CITES + " SELECT CASE WHEN yr <> '' THEN 'year' WHEN tok LIKE 'n%' THEN 'n.d.' ELSE 'missing' END AS year_token_type, nullif(yr, '') AS year, count(*) AS n FROM ckeys GROUP BY 1, 2",
+    "citation_year_token": W + CITES + " SELECT CASE WHEN yr <> '' THEN 'year' WHEN tok LIKE 'n%' THEN 'n.d.' WHEN tok LIKE 'in%' THEN 'in_press' ELSE 'missing' END AS year_token_type, nullif(yr, '') AS year, count(*) AS n FROM ckeys GROUP BY 1, 2",
     "citation_surname": W + CITES + " SELECT surname, count(*) AS n FROM ckeys GROUP BY surname",
-    "reference_parse": W + REFS + "," + RKEYS + " SELECT doc_id, pos, authors_raw, surname, confidence, nullif(yr, '') AS year, nullif(suf, '') AS year_suffix, CASE WHEN yr <> '' THEN 'year' WHEN tok LIKE 'n%' THEN 'n.d.' ELSE 'missing' END AS year_token_type FROM rkeys",
-    "reference_year_token": W + REFS + "," + RKEYS + " SELECT CASE WHEN yr <> '' THEN 'year' WHEN tok LIKE 'n%' THEN 'n.d.' ELSE 'missing' END AS year_token_type, count(*) AS n FROM rkeys GROUP BY 1",
+    "reference_parse": W + REFS + "," + RKEYS + " SELECT doc_id, pos, authors_raw, surname, confidence, nullif(yr, '') AS year, nullif(suf, '') AS year_suffix, CASE WHEN yr <> '' THEN 'year' WHEN tok LIKE 'n%' THEN 'n.d.' WHEN tok LIKE 'in%' THEN 'in_press' ELSE 'missing' END AS year_token_type FROM rkeys",
+    "reference_year_token": W + REFS + "," + RKEYS + " SELECT CASE WHEN yr <> '' THEN 'year' WHEN tok LIKE 'n%' THEN 'n.d.' WHEN tok LIKE 'in%' THEN 'in_press' ELSE 'missing' END AS year_token_type, count(*) AS n FROM rkeys GROUP BY 1",
     "reference_surname_confidence": W + REFS + "," + RKEYS + " SELECT surname, confidence, count(*) AS n FROM rkeys GROUP BY ALL",
     "reference_key": W + REFS + "," + RKEYS + " SELECT doc_id, pos, key FROM rkeys",
     "ambiguous_reference_groups": W + REFS + "," + RKEYS + " SELECT doc_id, key, count(*) AS n FROM rkeys GROUP BY doc_id, key HAVING count(*) > 1",
     "core_reference_parse": W + REFS + "," + CORE + " SELECT doc_id, pos, item_idx, lang, author1, author2, year, raw FROM core",
-    "core_reference_key": W + REFS + "," + CORE + " SELECT lang, lower(author1) AS k_author, year AS k_year, count(*) AS n FROM core GROUP BY ALL",
-    "core_citation_key": W + A + " SELECT doc_id, para_idx, lang, lower(author1) AS k_author, year AS k_year FROM acites",
+    "core_reference_key": W + REFS + "," + CORE + " SELECT lang, strip_accents(lower(author1)) AS k_author, year AS k_year, count(*) AS n FROM core GROUP BY ALL",
+    "core_citation_key": W + A + " SELECT doc_id, para_idx, lang, strip_accents(lower(author1)) AS k_author, year AS k_year FROM acites",
     "exact_match": W + A + " SELECT doc_id, para_idx, raw, arg_min(ref, item_idx) AS ref_raw, min(item_idx) AS ref_idx FROM (SELECT c.doc_id, c.para_idx, c.seq, c.raw, r.raw AS ref, r.item_idx FROM acites c JOIN core r ON r.doc_id = c.doc_id AND r.lang = c.lang AND lower(r.author1) = lower(c.author1) AND r.year = c.year) GROUP BY doc_id, para_idx, seq, raw",
     "cited_references": W + A + " SELECT DISTINCT r.doc_id, r.item_idx FROM core r JOIN acites c ON r.doc_id = c.doc_id AND r.lang = c.lang AND lower(r.author1) = lower(c.author1) AND r.year = c.year",
     "raw_text_match": W + A + RAWT + f" SELECT doc_id, para_idx, raw, author1, year FROM acites c WHERE NOT {EXACT} AND {IN_RAW}",
@@ -176,9 +230,12 @@ SQL: dict[str, str] = {
     "analysis_summary": W + A + " SELECT d.doc_id, (SELECT count(*) FROM body b WHERE b.doc_id = d.doc_id) AS body_paragraphs, (SELECT count(*) FROM core r WHERE r.doc_id = d.doc_id) AS reference_items, (SELECT count(*) FROM acites c WHERE c.doc_id = d.doc_id) AS citations, "
     + f"(SELECT count(*) FROM acites c WHERE c.doc_id = d.doc_id AND {EXACT}) AS matched FROM (SELECT DISTINCT doc_id FROM body) d",
     "citation_dedupe": W + A + " SELECT doc_id, para_idx, lower(author1) AS author, year, count(*) AS n FROM (SELECT DISTINCT doc_id, para_idx, replace(lower(author1), ' ', '') AS author1, year FROM acites) GROUP BY ALL",
-    "reverse_search": W + A + r""" SELECT DISTINCT p.doc_id, p.para_idx, r.lang, r.author1, r.year, trim(p.part) AS raw FROM (
-  SELECT doc_id, para_idx, unnest(string_split_regex(g, CASE WHEN regexp_matches(g, '[;；]') THEN '[;；]' ELSE '[,，]' END)) AS part FROM (SELECT doc_id, para_idx, unnest(regexp_extract_all(translate(text, '（）。', '().'), '\((.+?)\)', 1)) AS g FROM body)) p
-  JOIN core r ON r.doc_id = p.doc_id AND length(r.author1) >= 2 AND contains(p.part, r.author1) AND contains(p.part, r.year)""",
+    "reverse_search": W + A + " SELECT doc_id, para_idx, lang, author1, year, raw FROM acites WHERE kind = 3",
+    "citation_spans": W + PARAS + "," + "sides AS (SELECT p.* FROM paras p JOIN starts s ON p.doc_id = s.doc_id AND p.para_idx < s.start)," + found_in("spans", "sides", None) + " SELECT s.doc_id, s.para_idx, p.page, lang, author1, author2, year, raw, seq, '...' || CASE WHEN length(t) < 50 THEN t ELSE NULL END || '...' AS context FROM spans s JOIN sides p USING (doc_id, para_idx)",
+    "document_summary": W + ANALYSIS + " SELECT d.doc_id, (SELECT count(*) FROM bodies b WHERE b.doc_id = d.doc_id) AS body_paragraphs, (SELECT count(*) FROM dcore r WHERE r.doc_id = d.doc_id) AS reference_items, (SELECT count(*) FROM dstage c WHERE c.doc_id = d.doc_id) AS citations, (SELECT count(*) FROM dstage c WHERE c.doc_id = d.doc_id AND match_type <> 'Missing') AS matched, (SELECT count(*) FROM dstage c WHERE c.doc_id = d.doc_id AND match_type = 'Missing') AS missing, (SELECT count(*) FROM dcore r LEFT JOIN dused u USING (doc_id, item_idx) WHERE r.doc_id = d.doc_id AND u.doc_id IS NULL) AS uncited FROM (SELECT DISTINCT doc_id FROM sides) d",
+    "document_matched": W + ANALYSIS + " SELECT c.doc_id, c.raw AS citation_raw, c.lang, c.author1, c.year, c.para_idx, c.page, match_type, CASE WHEN r.raw IS NOT NULL THEN r.raw ELSE '(Located in Reference Section text)' END AS ref_raw, coalesce(r.page, 0)::INT AS ref_page FROM dstage c LEFT JOIN dcore r ON r.doc_id = c.doc_id AND r.item_idx = CASE match_type WHEN 'Exact' THEN e WHEN 'Context Recovery' THEN x END WHERE match_type <> 'Missing'",
+    "document_missing": W + ANALYSIS + " SELECT doc_id, raw AS citation_raw, lang, author1, year, para_idx, page FROM dstage WHERE match_type = 'Missing'",
+    "document_uncited": W + ANALYSIS + " SELECT r.doc_id, r.item_idx, r.lang, r.author1, r.year, r.raw, r.page FROM dcore r LEFT JOIN dused u USING (doc_id, item_idx) WHERE u.doc_id IS NULL",
     "override_resolution": W + REFS + "," + CORE + ", o AS (SELECT doc_id, count(*) AS n, count(*) FILTER (raw NOT LIKE '%Working notes%') AS parsed FROM refs WHERE doc_id % 3 = 0 AND pos % 5 = 0 GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS auto FROM core GROUP BY doc_id)"
     + " SELECT coalesce(a.doc_id, o.doc_id) AS doc_id, CASE WHEN coalesce(parsed, 0) > 0 THEN 'user_override' ELSE 'auto_extracted' END AS reference_source, CASE WHEN coalesce(parsed, 0) > 0 THEN parsed ELSE coalesce(auto, 0) END AS reference_item_count, coalesce(n, 0) AS override_items_count, coalesce(n, 0) - coalesce(parsed, 0) AS override_parse_failed_count, CASE WHEN coalesce(n, 0) > 0 AND parsed = 0 THEN 'fallback' WHEN parsed > 0 AND parsed < n THEN 'partial' END AS warning FROM a FULL OUTER JOIN o ON a.doc_id = o.doc_id",
     "norm_core": f"SELECT doc_id, sha256({_CORE_TEXT}) AS h, length({_CORE_TEXT}) AS n FROM ({DOCS})",
@@ -186,7 +243,7 @@ SQL: dict[str, str] = {
     "norm_service": f"SELECT doc_id, sha256(array_to_string(list_transform(string_split(regexp_replace(translate(text, '。、；：–—－', '.,;:---'), '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\f\\x0B]+', ' ', 'g'))), chr(10))) AS h FROM ({DOCS})",
     "norm_reference": f"SELECT doc_id, sha256({_REFN}) AS h FROM ({DOCS})",
     "fold_accents": f"SELECT doc_id, sha256(strip_accents(text)) AS h FROM ({DOCS})",
-    "norm_surname": W + REFS + "," + CORE + " SELECT author1, lower(author1) AS surname, count(*) AS n FROM core WHERE lang = 'en' GROUP BY author1",
+    "norm_surname": W + REFS + "," + CORE + " SELECT author1, strip_accents(lower(author1)) AS surname, count(*) AS n FROM core WHERE lang = 'en' GROUP BY author1",
     "norm_year": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN y WHEN 1 THEN y || 'b' WHEN 2 THEN 'n.d.' ELSE 'in press' END AS year FROM (SELECT o_orderkey, year(o_orderdate)::VARCHAR AS y FROM orders)",
     "person_key": f"SELECT doc_id, sha256(regexp_replace(lower(trim(text)), '[^a-z0-9{HAN}]+', '', 'g')) AS h FROM ({DOCS})",
     "sticky_year": W + REFS + r" SELECT doc_id, pos, regexp_replace(replace(raw, ' (', ''), '([a-zA-Z,，.])([12]\d{3})', '\1 \2', 'g') AS text FROM refs",
@@ -252,10 +309,9 @@ SQL |= {
 }
 
 _NUMBERED = """,
-numbered AS (SELECT k.*, doc_id || ':' || para_idx || ':' || (row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY k.o, strpos(b.text, k.raw)) - 1) AS cite_id FROM ckeys k JOIN body b USING (doc_id, para_idx)),
-ac AS (SELECT doc_id, cite_id, raw, surname AS author1, yr || suf AS year, CASE WHEN regexp_matches(surname, '[A-Za-z]') THEN 'en' ELSE 'zh' END AS lang FROM numbered WHERE yr <> ''),
+ac AS (SELECT *, doc_id || ':' || para_idx || ':' || seq AS cite_id FROM acites),
 ex AS (SELECT cite_id, arg_min(r.raw, item_idx) AS ref_raw FROM ac c JOIN core r ON r.doc_id = c.doc_id AND r.lang = c.lang AND lower(r.author1) = lower(c.author1) AND r.year = c.year GROUP BY cite_id),
-cx AS (SELECT cite_id, min(item_idx)::INT AS ref_idx, arg_min(r.raw, item_idx) AS ref_raw FROM ac c JOIN core r ON r.doc_id = c.doc_id AND r.lang = c.lang AND r.year = c.year AND contains(lower(c.raw), lower(r.author1)) AND contains(r.raw, c.author1) GROUP BY cite_id)"""
+cx AS (SELECT cite_id, min(item_idx)::INT AS ref_idx, arg_min(r.raw, item_idx) AS ref_raw FROM ac c JOIN core r ON r.doc_id = c.doc_id AND r.lang = c.lang AND r.year = c.year AND contains(strip_accents(lower(c.t)), strip_accents(lower(r.author1))) AND (contains(r.raw, c.author1) OR lower(c.author2) = lower(r.author2)) GROUP BY cite_id)"""
 _BIB = r""",
 items AS (
   SELECT doc_id, pos, raw, lower(regexp_extract(raw, '^([A-Za-z]+),', 1)) AS first, CASE WHEN raw LIKE '%, & %' THEN [lower(regexp_extract(raw, ', & ([A-Za-z]+),', 1)), 'b'] ELSE ['a'] END AS more,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 NAMES = "Baier Chava Diaz Evans Fama French Gordon Hummel Ivanov Jensen Kothari Lakonishok Merton Nash Ohlson Powell Quinn Roll Schlick Titman Ulrich Vega Watts Young Zmijewski".split()
 
+LONG_NAME = "Müller-Lüdenscheidt"
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -17,33 +19,38 @@ def name_at(n: Column) -> Column:
 
 
 def body(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, para_idx, text: six kinds of paragraphs."""
+    """doc_id, para_idx, text: nine kinds of paragraphs."""
     x, z = name_at(F.col("o_custkey") * 7 + F.col("o_orderkey")), name_at(F.col("o_custkey") * 5 + F.col("o_orderkey"))
-    y, k = F.year("o_orderdate").cast("string"), F.col("o_orderkey") % 6
+    y, k = F.year("o_orderdate").cast("string"), F.col("o_orderkey") % 9
     text = (
         F.when(k == 0, F.concat(F.lit("Prior work ("), x, F.lit(" et al., "), y, F.lit(") shows an effect.")))
         .when(k == 1, F.concat(x, F.lit(" ("), y, F.lit(") reports an effect.")))
         .when(k == 2, F.lit("No source is named here, p < 0.05 (see below)."))
         .when(k == 3, F.concat(F.lit("Two studies ("), x, F.lit(", "), y, F.lit("; "), z, F.lit(", "), y, F.lit("a, p. 12) agree.")))
         .when(k == 4, F.concat(x, F.lit(" and "), z, F.lit(" ("), y, F.lit(") differ from ("), z, F.lit(", n.d.).")))
-        .otherwise(F.concat(F.lit("李明（"), y, F.lit("）指出此點。")))
+        .when(k == 5, F.concat(F.lit("李明（"), y, F.lit("）指出此點。")))
+        .when(k == 6, F.lit(f"As {LONG_NAME} (in press) and others show, this holds."))
+        .when(k == 7, F.concat(F.lit("Work by "), x, F.lit(", "), name_at(F.col("o_custkey") * 3 + 1), F.lit(" and "), z, F.lit(" ("), y, F.lit("a) agrees.")))
+        .otherwise(F.concat(F.lit("More is told elsewhere (the tables of "), x, F.lit(" in "), y, F.lit(" and their notes).")))
     )
     return table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("para_idx"), text.alias("text"))
 
 
 def refs(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, pos, raw: references in six forms; pos orders them within a document."""
+    """doc_id, pos, raw: a reference for each line of an order, in eight forms; pos orders them within a document."""
     line, orders, part = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "part")
-    j = line.filter("l_linenumber <= 2").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    j = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     x, z = name_at(F.col("o_custkey") * 7 + F.col("o_orderkey") + F.col("l_linenumber") - 1), name_at(F.col("l_suppkey"))
-    y, k = F.year("l_shipdate").cast("string"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    y, k = F.year("l_shipdate").cast("string"), (F.col("l_orderkey") + F.col("l_linenumber")) % 10
     tail = F.concat(F.col("p_name"), F.lit(". Journal "), F.col("l_suppkey").cast("string"), F.lit("."))
     raw = (
         F.when(k <= 3, F.concat(x, F.lit(", A. ("), y, F.lit("). "), tail))
         .when(k == 4, F.concat(x, F.lit(", A. (n.d.). "), tail))
         .when(k == 5, F.concat(x, F.lit(", A., & "), z, F.lit(", B. ("), y, F.lit("a). "), tail))
         .when(k == 6, F.concat(F.lit("李明（"), y, F.lit("）。"), tail))
-        .otherwise(F.concat(x, F.lit(", A. Working notes. "), tail))
+        .when(k == 7, F.concat(x, F.lit(", A. Working notes. "), tail))
+        .when(k == 8, F.concat(F.lit(f"{LONG_NAME}, A. (in press). "), tail))
+        .otherwise(F.concat(F.lit("王小明、李華（"), y, F.lit("）。"), tail))
     )
     pos = (F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey") * 10 + F.col("l_suppkey") % 10).alias("pos")
     return j.select(F.col("o_custkey").alias("doc_id"), pos, raw.alias("raw")).groupBy("doc_id", "pos").agg(F.min("raw").alias("raw"))

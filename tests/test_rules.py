@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refloom.functions import cites, items, rules, text
-from refloom.operators import biblio, layout, match, metrics, segment, spans
+from refloom.operators import analysis, biblio, layout, match, metrics, segment, spans
 from refloom.sources import files
 
 
@@ -65,33 +65,68 @@ def test_rules(spark):
     assert col(spark, rules.starts_item, "Smith, J. (2020). T", "and more text", "王小明, 2019, 題") == [True, False, True]
 
 
-@pytest.mark.parametrize(
-    ("pasted", "n"),
-    [
+def test_split_items(spark):
+    pasted = [
         ("A文獻\nB文獻\n\nC文獻", 3),
         ("Aaa, A. (2019). First line...\nline2...\n\nBbb, B. (2020). First line...\nline2...\n\nCcc, C. (2018). First line...", 3),
         ("Aaa, A. (2019). ... Ccc.\nBbb, B. (2020). ... Ddd.\nEee, E. (2018). ... Fff.", 3),
         ("Unknown author. Title without year. Journal, 1, 1-2.", 1),
         ("Aaa, A. (2019). T1. Bbb, B. (2020). T2.", 2),
+        ("Kim, Y., M. S. Park, and B. Wier. 2012. Is it so? The Review 87, 761-796.", 1),
+        ("Cole, C. (1986). Old news. Journal 1, 209-249 Dunn, A. and Eck, C. (1987). New news.", 2),
+        ("Gay, G. (2020).\n Title, 10,\n21-40.", 1),
+        ("王小明(2019)。題一。\n李華(2020)。題二。", 2),
         ("", 0),
         (None, 0),
-    ],
-)
-def test_split_items(spark, pasted, n):
-    df = spark.createDataFrame([(pasted,)], "v string")
-    assert len(df.select(items.reference_items(F.col("v"))).first()[0]) == n
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pasted)], "i int, v string")
+    got = {r["i"]: r["x"] for r in df.select("i", items.reference_items(F.col("v")).alias("x")).collect()}
+    assert [len(got[i]) for i in range(len(pasted))] == [n for _, n in pasted]
+    assert got[7] == ["Gay, G. (2020). Title, 10, 21-40."]
+
+
+def test_functions_by_name(spark):
+    items.register(spark)
+    spark.createDataFrame([("Ｌｉ ①", "Müller", "Muller")], "t string, a string, b string").createOrReplaceTempView("told")
+    assert tuple(spark.sql("SELECT nfkc(t), similar_names(a, b), reference_start_places('Li, M. (2020). T.') FROM told").first()) == ("Li 1", True, [0])
 
 
 def test_folds(spark):
     lines = spark.createDataFrame([(1, 0, "Smith, J. (2020). A long"), (1, 1, "title. Journal."), (1, 2, "Lee, K. (2019). T.")], "doc_id long, line_idx long, text string")
-    assert segment.assemble_items(lines, ["line_idx"]).first()["items"] == ["Smith, J. (2020). A long title. Journal.", "Lee, K. (2019). T."]
+    assert segment.assemble_items(lines, ["line_idx"]).first()["items"] == [("Smith, J. (2020). A long title. Journal.", 0), ("Lee, K. (2019). T.", 0)]
     paras = spark.createDataFrame([(1, 0, "Seen (Smith", 1), (1, 1, "2020) here.", 2), (1, 2, "know-", 2), (1, 3, "ledge.", 3)], "doc_id long, para_idx long, text string, page int")
     assert [tuple(m) for m in segment.merge_paragraphs(paras).first()["merged"]] == [("Seen (Smith 2020) here.", 1), ("knowledge.", 2)]
 
 
-def test_spans():
-    got = [(c[0], c[1], c[2], c[3]) for c in spans.find("As Baier and Chava (2014) and (Smith, n.d.; Wang & Li, 2020a) 根據李明等(2015)指出 (Table 3, 2014)")]
-    assert got == [("en", "Baier", "Chava", "2014"), ("zh", "李明", None, "2015"), ("en", "Smith", None, "n.d."), ("en", "Wang", "Li", "2020a")]
+def test_spans(spark):
+    told = "As Baier and Chava (2014) and (Smith, n.d.; Wang & Li, 2020a) 根據李明等(2015)指出 (Table 3, 2014)"
+    known = spark.createDataFrame([(1, 0, "en", "Roll, A.", "2001"), (1, 1, "en", "Roll", "2001"), (1, 2, "en", "Wang", "2020a"), (2, 0, "en", "Roll", "2001")], "doc_id long, item_idx int, lang string, author1 string, year string")
+    paras = spark.createDataFrame([(1, 0, told, 3), (1, 1, "See the list (as in Roll 2001 and", 4), (1, 2, "Wang 2020a in part) here.", 5), (1, 3, None, None)], "doc_id long, para_idx long, text string, page int")
+    rows = spans.first_of_each(spans.citations_in(paras, known)).orderBy("para_idx", "seq").collect()
+    assert [tuple(r[c] for c in ("para_idx", "page", "lang", "author1", "author2", "year")) for r in rows] == [
+        (0, 3, "en", "Baier", "Chava", "2014"), (0, 3, "zh", "李明", None, "2015"), (0, 3, "en", "Smith", None, "n.d."), (0, 3, "en", "Wang", "Li", "2020a"),
+        (1, 4, "en", "Roll", None, "2001"), (1, 4, "en", "Wang", None, "2020a"),
+    ]
+    assert rows[0]["context"].startswith("...As Baier and Chava (2014)") and rows[0]["raw"] == "As Baier and Chava (2014)"
+    assert spans.citations_in(paras).count() == 4
+
+
+def test_analysis(spark):
+    def paras(doc, *texts):
+        return [(doc, i, t, 1 + i // 3) for i, t in enumerate(texts)]
+
+    rows = paras(1, "Work by Roll, Fama and Vega (2001) and (Li, 2020).", "(Nash, 1999) is missing, (Baier, 2014) is there.", "References", "Fama, E., & Vega, C. (2001). A long title that is", "wrapped over lines. Journal, 1.", "Li, M. (2020). T.", "Notes on Baier of 2014", "12", "Xu, Q. (2019). U.", "Appendix", "Nothing more.")
+    rows += paras(2, "No list here (Li, 2020).") + paras(3, "Own (Li, 2020).", "References", "Xu, Q. (2019). U.") + paras(4, "Also (Li, 2020).")
+    df = spark.createDataFrame(rows, "doc_id long, para_idx long, text string, page int")
+    mine = spark.createDataFrame([(3, 0, "Li, M. (2020). T."), (3, 1, "unreadable"), (4, 0, "Li, M. (2020). V.")], "doc_id long, pos long, raw string")
+    out = analysis.analyse(df)
+    assert sorted(map(tuple, out.summary.collect())) == [(1, 2, 3, 4, 3, 1, 1), (3, 1, 1, 1, 0, 1, 1)]
+    kinds = {(r["author1"], r["match_type"], r["ref_page"]) for r in out.matched.collect() if r["doc_id"] == 1}
+    assert kinds == {("Work by Roll", "Context Recovery", 2), ("Li", "Exact", 2), ("Baier", "Found in Raw Text (Parser Missed)", 0)}
+    assert [(r["author1"], r["page"]) for r in out.missing.collect() if r["doc_id"] == 1] == [("Nash", 1)] and [tuple(r) for r in out.errors.orderBy("doc_id").collect()] == [(2, "REFERENCE_SECTION_NOT_FOUND"), (4, "REFERENCE_SECTION_NOT_FOUND")]
+    given = analysis.analyse(df, mine)
+    assert sorted(map(tuple, given.summary.collect()))[1:] == [(3, 1, 1, 1, 1, 0, 0), (4, 1, 1, 1, 1, 0, 0)] and [r[0] for r in given.errors.collect()] == [2]
+    assert {(r["doc_id"], r["reference_source"], r["warning"]) for r in given.sources.collect()} == {(1, "auto_extracted", None), (3, "user_override", "partial"), (4, "user_override", None)}
 
 
 def test_similar(spark):
