@@ -23,6 +23,13 @@ HAN_YEAR = rf"(?:[,，\s]|^)\s*{YEAR}\s*[,，.]"
 DOT_YEAR = rf"[.\s]{YEAR}\."
 NAME_INITIAL = rf"^[{LETTER}][{LETTER}'\-\s]+,\s+[{LETTER}]\."
 GLUED = rf"^[A-Z][a-z]+[A-Z]{{1,3}}\({YEAR}\)"
+MAX_TAIL_HEADING = 60
+FULL_YEAR = r"(?:19|20)\d{2}"
+NUMBERED_TABLE, APPENDIX = r"(?iU)^(?:表\s*[一二三四五六七八九十\d]+|table\s*[ivx\d]+)\b", r"(?iU)^(?:附錄|appendix)\b"
+PUNCTUATED, PAGE_NUMBER = "[,()]", r"^\d{1,4}$"
+NUMBERED_TITLE, TITLE_CASE = r"^\d+\s+[A-Za-z][A-Za-z\-\s.]{8,}$", r"^(?:[A-Z][A-Za-z'\-]+\s+){2,}[A-Z][A-Za-z'\-]+$"
+NUMERIC_SIGNS, NUMBER, NUMBERING = "[=<>%±]", r"^[-+]?\d+(?:\.\d+)?$", r"^[-+]?\d+\.$"
+OPEN_END, CLOSED_END, CLOSED_ITEM = r"(?i)(?:[,;:&\-]|\band)$", r"[.!?。！？]$", r"(?:[.。]|\.\)|\.”|\")$"
 # ---- end of fixed values ----
 
 
@@ -37,29 +44,29 @@ def _compact(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"(?U)[\W_]+", "")
 
 
-def is_tail_heading(c: Column) -> Column:
+def _core(c: Column, normal: bool) -> Column:
+    """norm_core(c), unless c is that already."""
+    return c if normal else norm_core(c)
+
+
+def is_tail_heading(c: Column, normal: bool = False) -> Column:
     """FLT1."""
-    t = norm_core(c)
+    t = _core(c, normal)
     marks = ["".join(ch for ch in m.lower() if ch.isalnum()) for m in TAIL_HEADINGS]
-    return (t != "") & (F.char_length(t) <= 60) & ~t.rlike(r"(?:19|20)\d{2}") & any_of(_compact(t), marks)
+    return (t != "") & (F.char_length(t) <= MAX_TAIL_HEADING) & ~t.rlike(FULL_YEAR) & any_of(_compact(t), marks)
 
 
-def is_tail_content(c: Column) -> Column:
+def is_tail_content(c: Column, normal: bool = False) -> Column:
     """FLT2."""
-    t = norm_core(c)
-    return t.rlike(r"(?iU)^(?:表\s*[一二三四五六七八九十\d]+|table\s*[ivx\d]+)\b") | t.rlike(r"(?iU)^(?:附錄|appendix)\b") | any_of(t, TAIL_PHRASES)
+    t = _core(c, normal)
+    return t.rlike(NUMBERED_TABLE) | t.rlike(APPENDIX) | any_of(t, TAIL_PHRASES)
 
 
-def is_page_noise(c: Column) -> Column:
+def is_page_noise(c: Column, normal: bool = False) -> Column:
     """FLT3: page numbers, boilerplate, running titles."""
-    t = norm_core(c)
-    plain = ~t.rlike("[,()]")
-    return (
-        t.rlike(r"^\d{1,4}$")
-        | any_of(F.lower(t), BOILERPLATE)
-        | (t.rlike(r"^\d+\s+[A-Za-z][A-Za-z\-\s.]{8,}$") & plain)
-        | (t.rlike(r"^(?:[A-Z][A-Za-z'\-]+\s+){2,}[A-Z][A-Za-z'\-]+$") & plain & ~t.rlike(r"(?:19|20)\d{2}"))
-    )
+    t = _core(c, normal)
+    plain = ~t.rlike(PUNCTUATED)
+    return t.rlike(PAGE_NUMBER) | any_of(F.lower(t), BOILERPLATE) | (t.rlike(NUMBERED_TITLE) & plain) | (t.rlike(TITLE_CASE) & plain & ~t.rlike(FULL_YEAR))
 
 
 def is_author(c: Column) -> Column:
@@ -87,7 +94,7 @@ def is_plausible_year(c: Column) -> Column:
 def is_numeric_fragment(c: Column) -> Column:
     """FLT7."""
     t = norm_core(F.coalesce(c, F.lit("")))
-    return (t == "") | t.rlike("[=<>%±]") | t.rlike(r"^[-+]?\d+(?:\.\d+)?$") | t.rlike(r"^[-+]?\d+\.$") | (~t.rlike(f"[A-Za-z{HAN}]") & t.rlike(r"\d"))
+    return (t == "") | t.rlike(NUMERIC_SIGNS) | t.rlike(NUMBER) | t.rlike(NUMBERING) | (~t.rlike(f"[A-Za-z{HAN}]") & t.rlike(r"\d"))
 
 
 def starts_with_connector(c: Column) -> Column:
@@ -98,7 +105,7 @@ def starts_with_connector(c: Column) -> Column:
 def ends_open(c: Column) -> Column:
     """FLT11: an item's text that goes on."""
     t = F.trim(c)
-    return t.rlike(r"(?i)(?:[,;:&\-]|\band)$") | ~t.rlike(r"[.!?。！？]$")
+    return t.rlike(OPEN_END) | ~t.rlike(CLOSED_END)
 
 
 def starts_item(c: Column) -> Column:
@@ -120,7 +127,7 @@ def must_append(current: Column, nxt: Column) -> Column:
     return (
         (a != "")
         & (b != "")
-        & ~a.rlike(r"(?:[.。]|\.\)|\.”|\")$")
+        & ~a.rlike(CLOSED_ITEM)
         & a.rlike(PAREN_YEAR)
         & ~b.rlike(NAME_INITIAL)
         & ~(b.rlike(f"^[{HAN}]") & b.rlike(HAN_YEAR))

@@ -28,9 +28,9 @@ class Reports:
     sources: DataFrame  #: doc_id, which references count, how many, and warnings
 
 
-def reference_lines(paras: DataFrame) -> DataFrame:
+def reference_lines(paras: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """doc_id, pos, raw, page: the items of a document's reference section (SEG3 to SEG6), not yet parsed."""
-    whole = segment.merge_wrapped(segment.reference_block(paras), "para_idx")
+    whole = segment.merge_wrapped(segment.reference_block(paras, starts), "para_idx")
     return segment.assemble_items(segment.split_inline(whole, "first"), ["first", "part_idx"]).select("doc_id", F.posexplode("items").alias("pos", "i")).select("doc_id", "pos", "i.raw", "i.page")
 
 
@@ -41,9 +41,10 @@ def cited(paras: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def analyse(paras: DataFrame, overrides: DataFrame | None = None) -> Reports:
-    parts = segment.split_sections(paras)
-    headed = parts.filter("start is not null").select("doc_id").distinct()
-    own = cut_lineage(match.core_references(reference_lines(paras)))
+    starts = cut_lineage(segment.section_start(paras))
+    parts = segment.split_sections(paras, starts)
+    headed = starts.select("doc_id")
+    own = cut_lineage(match.core_references(reference_lines(paras, starts)))
     raw = parts.filter("part = 'references'").select("doc_id", F.col("para_idx").cast("long").alias("pos"), F.col("text").alias("raw"))
     docs = paras.select("doc_id").distinct()
     refs, asked = own, headed

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cites import core_key, extract_citations, match_key, parse_citation, parse_core, parse_reference
 from ..functions.text import fold_accents, han_key, norm_core, preview, similar, surname_key
+from ..sources.lineage import cut_lineage
 
 
 def once(parsed: Column) -> Column:
@@ -122,20 +123,24 @@ def by_context(cites: DataFrame, refs: DataFrame) -> DataFrame:
 EXACT, RAW_TEXT, CONTEXT_FOUND = "Exact", "Found in Raw Text (Parser Missed)", "Context Recovery"
 
 
-def cascade(cites: DataFrame, refs: DataFrame, block: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """JN5 to JN7: (matched, missing, uncited). cites has cite_id, unique. Each stage sees what the ones before left: the
-    first two are marks on one pass over the citations, the third is joined to what has neither."""
-    keyed = cites.join(_first_of_key(refs), ON, "left").withColumn("match_type", F.when(F.col("ref_idx").isNotNull(), EXACT))
-    hit = keyed.filter("match_type is not null")
-    rest = with_raw_text(keyed.filter("match_type is null").drop("match_type", "ref_raw", "ref_idx", "ref_page"), block)
+def staged(cites: DataFrame, refs: DataFrame, block: DataFrame) -> DataFrame:
+    """cites, whose cite_id is unique, with match_type (null: missing), ref_raw, ref_idx and ref_page. Each stage sees what
+    the ones before left: the first two are marks on one pass, the third is joined to what has neither."""
+    keyed = cites.join(_first_of_key(refs), ON, "left")
+    hit = keyed.filter("ref_idx is not null").withColumn("match_type", F.lit(EXACT))
+    rest = cut_lineage(with_raw_text(keyed.filter("ref_idx is null").drop("ref_raw", "ref_idx", "ref_page"), block))
     said = rest.filter("in_text").drop("in_text").withColumns({"match_type": F.lit(RAW_TEXT), "ref_raw": F.lit("(Located in Reference Section text)"), "ref_idx": F.lit(None).cast("int"), "ref_page": F.lit(0)})
     open_ = rest.filter("not in_text").drop("in_text")
-    tried = open_.join(by_context(open_, refs), "cite_id", "left")
-    found = tried.filter("ref_idx is not null").withColumn("match_type", F.lit(CONTEXT_FOUND))
-    missing = tried.filter("ref_idx is null").drop("ref_raw", "ref_idx", "ref_page")
-    matched = hit.unionByName(said).unionByName(found)
-    used = cited_by_key(cites, refs).union(found.select("doc_id", F.col("ref_idx").alias("item_idx")))
-    return matched, missing, refs.join(used.distinct(), ["doc_id", "item_idx"], "left_anti")
+    tried = open_.join(by_context(open_, refs), "cite_id", "left").withColumn("match_type", F.when(F.col("ref_idx").isNotNull(), CONTEXT_FOUND))
+    return hit.unionByName(said).unionByName(tried)
+
+
+def cascade(cites: DataFrame, refs: DataFrame, block: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JN5 to JN7: (matched, missing, uncited), from one table of stages that is written once."""
+    every = cut_lineage(staged(cites, refs, block))
+    used = cited_by_key(cites, refs).union(every.filter(F.col("match_type") == CONTEXT_FOUND).select("doc_id", F.col("ref_idx").alias("item_idx")))
+    missing = every.filter("match_type is null").drop("match_type", "ref_raw", "ref_idx", "ref_page")
+    return every.filter("match_type is not null"), missing, refs.join(used.distinct(), ["doc_id", "item_idx"], "left_anti")
 
 
 def summary(docs: DataFrame, **counted: DataFrame) -> DataFrame:

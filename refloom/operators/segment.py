@@ -14,34 +14,38 @@ BEFORE_HAN = rf"([{HAN}]{{2,3}}(?:[、與和][{HAN}]+)*[,，\s]+(?:19|20)\d{{2}}
 BEFORE_NAME = r"(?<=\d\.)\s+(?=[A-Z][a-zA-Z' -]+,)"
 BEFORE_GLUED = rf"\s+(?=[A-Z][a-z]+[A-Z]{{1,3}}\({YEAR}\))"
 MAX_JOINED = 10
+MAX_HEADING = 40
 CONNECTOR_END = r"(?i)(?:,|and|&)\s*$"
 # ---- end of fixed values ----
 
 
 def section_start(paras: DataFrame) -> DataFrame:
-    """SEG1: doc_id, start; the best kind of heading wins, then the first."""
-    t = F.lower(norm_core(F.col("text")))
+    """SEG1: doc_id, start; the best kind of heading wins, then the first. No heading is longer than MAX_HEADING."""
     heads = [h.lower() for h in HEADINGS]
-    kind = F.when(t.isin(heads), 1).when(F.replace(t, F.lit(" "), F.lit("")).isin(heads), 2).when((F.char_length(t) <= 40) & any_of(t, heads), 3)
-    found = paras.select("doc_id", "para_idx", kind.alias("kind")).filter("kind is not null")
+
+    def kind(t):
+        return F.when(t.isin(heads), 1).when(F.replace(t, F.lit(" "), F.lit("")).isin(heads), 2).when((F.char_length(t) <= MAX_HEADING) & any_of(t, heads), 3)
+
+    # the normalised text is bound, so it is made once for the three tests
+    found = paras.select("doc_id", "para_idx", F.transform(F.array(F.lower(norm_core(F.col("text")))), kind)[0].alias("kind")).filter("kind is not null")
     return found.groupBy("doc_id").agg(F.min(F.struct("kind", "para_idx")).alias("m")).select("doc_id", F.col("m.para_idx").alias("start"))
 
 
-def split_sections(paras: DataFrame) -> DataFrame:
-    """SEG2: paras with part 'body' or 'references' (the heading counts to the latter); without heading all is body."""
-    s = section_start(paras).withColumnRenamed("doc_id", "_d")
+def split_sections(paras: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """SEG2: paras with part 'body' or 'references' (the heading counts to the latter); without heading all is body.
+    starts: section_start(paras), where it is known already."""
+    s = (section_start(paras) if starts is None else starts).withColumnRenamed("doc_id", "_d")
     part = F.when(F.col("start").isNotNull() & (F.col("para_idx") >= F.col("start")), "references").otherwise("body")
     return paras.join(s, F.col("doc_id") == F.col("_d"), "left").withColumn("part", part).drop("_d")
 
 
-def reference_block(paras: DataFrame) -> DataFrame:
+def reference_block(paras: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """SEG3: lines after the heading without noise, up to the first tail heading or tail content."""
-    t = norm_core(F.col("text"))
-    after = split_sections(paras).filter((F.col("part") == "references") & (F.col("para_idx") > F.col("start")))
-    kept = after.filter((t != "") & ~is_page_noise(F.col("text")))
-    stop = (is_tail_heading(F.col("text")) | is_tail_content(F.col("text"))).cast("int")
+    after = split_sections(paras, starts).filter((F.col("part") == "references") & (F.col("para_idx") > F.col("start")))
+    tests = lambda t: F.struct(((t != "") & ~is_page_noise(t, normal=True)).alias("kept"), (is_tail_heading(t, normal=True) | is_tail_content(t, normal=True)).cast("int").alias("stop"))
+    kept = after.withColumn("_x", F.transform(F.array(norm_core(F.col("text"))), tests)[0]).filter("_x.kept")
     w = Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return kept.withColumn("_stop", F.max(stop).over(w)).filter("_stop = 0").drop("_stop", "start", "part")
+    return kept.withColumn("_stop", F.max("_x.stop").over(w)).filter("_stop = 0").drop("_stop", "_x", "start", "part")
 
 
 def merge_wrapped(lines: DataFrame, order: str = "line_idx") -> DataFrame:

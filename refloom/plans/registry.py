@@ -159,8 +159,8 @@ def context_recovery(s, d):
 
 @query
 def match_cascade(s, d):
-    matched, missing, _ = match.cascade(*both_sides(s, d), block(s, d))
-    return matched.select("doc_id", "cite_id", "match_type", "ref_raw").unionByName(missing.select("doc_id", "cite_id", F.lit("Missing").alias("match_type"), F.lit(None).cast("string").alias("ref_raw")))
+    every = match.staged(*both_sides(s, d), block(s, d))
+    return every.select("doc_id", "cite_id", F.coalesce("match_type", F.lit("Missing")).alias("match_type"), "ref_raw")
 
 
 @query
