@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut_lineage, ensure_checkpoint_dir
+
+__all__ = ["cut_lineage", "ensure_checkpoint_dir", "let", "partitions_for", "read_table", "whole_row"]
 #: Bytes of text that one task should hold.
 TASK_BYTES = 12 << 20
 
@@ -17,23 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; set a local one only where none is set (tests, one machine)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        named = os.path.join(tempfile.gettempdir(), "refloom-checkpoints")
-    sc.setCheckpointDir(named)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions_for(df: DataFrame, *text_cols: str, task_bytes: int = TASK_BYTES) -> int:
     """A partition count that follows the input: total text bytes over task_bytes, one job over the text columns."""
     size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in text_cols), F.lit(0).cast("long"))
