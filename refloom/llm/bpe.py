@@ -9,7 +9,7 @@ end at each place; the table is filled from left to right and back-pointers give
 Words are cut by the tokenizer's own pattern first, and the added token's string is cut out before that, as the
 tokenizers library does. Equal words of a task are encoded once.
 
-Defined cases: null and empty texts have no ids. Repeated rows each give a row, a null doc_id is kept, an empty table
+Defined cases: texts and words of any length are encoded whole. Null and empty texts have no ids. Repeated rows each give a row, a null doc_id is kept, an empty table
 gives no rows, and only doc_id and text are read.
 """
 
@@ -49,8 +49,10 @@ NEWER = """
 _NEWER = "".join("-".join(f"\\U{int(end, 16):08X}" for end in ends.split("-")) for ends in NEWER.split())
 #: The pattern for texts with one of them.
 EXACT = PATTERN.replace(rf"[^{SPACE}\p{{L}}\p{{N}}]+", rf"(?:[^{SPACE}\p{{L}}\p{{N}}]|[{_NEWER}])+").replace(r"\p{L}+", rf"(?:(?![{_NEWER}])\p{{L}})+").replace(r"\p{N}+", rf"(?:(?![{_NEWER}])\p{{N}})+")
-#: Words and pairs that a task remembers.
-MEMORY = 500_000
+#: Pairs, and bytes of words and their ids, that a task remembers.
+MEMORY, MEMORY_BYTES = 500_000, 48 << 20
+#: What a remembered word takes besides its characters.
+ENTRY_BYTES = 200
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -66,16 +68,18 @@ class _Words(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.size = make, {}, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.older = dict(self)
-            self.clear()
         out = self.older.get(word)
         if out is None:
             out = self.make(word)
-        self[word] = out
+        self.size += ENTRY_BYTES + 2 * len(word) + len(out)
+        if self.size >= MEMORY_BYTES:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        if len(word) < MEMORY_BYTES >> 8:  # longer ones would drive out the others
+            self[word] = out
         return out
 
 
