@@ -8,7 +8,7 @@ gradient ascent on the exact likelihood (forward and backward sums) of labelled
 The labelled pages come from ``labelled_pages``, a generator of page layouts with known parts, so that the model is
 trained here, from a fixed number of pages whatever the input.
 
-Defined cases: null and empty html give empty text. Unclosed and stray tags, unclosed comments and scripts are read as
+Defined cases: null and empty html give empty text. Pages of any length and depth are read whole. Unclosed and stray tags, unclosed comments and scripts are read as
 browsers do, to the end of the page if need be. Repeated rows give a row each, ids and urls may be null, an empty table
 gives no rows, and only page_id, url and html are read.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,10 +30,10 @@ from .common import read_table
 
 TRAIN_PAGES, STEPS, SEED = 360, 160, 11
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img input button select option".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img input button select option object canvas audio video svg g text tspan math mi mn mo ms mtext mrow mfrac msup msub msqrt".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup and no text of the page.
-RAW = frozenset("script style title textarea iframe noembed noframes template svg math object canvas audio video".split())
+RAW = frozenset("script style title textarea iframe noembed noframes template".split())
 KNOWN_TAGS = frozenset("article main section nav header footer aside form ul ol li table td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption div a button label select option dl dt dd noscript dialog address details summary fieldset menu".split())
 TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:--!?>|\Z)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<close2>/)?(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -88,9 +89,14 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 def blocks_of(page: str) -> list[tuple[str, frozenset[str], str, float]]:
     """(text, features of the open elements, innermost block tag, share of its text in links) for each leaf block."""
     out, stack, parts = [], [], []  # stack: (name, features of it and all above)
-    linked = total = depth_a = 0
+    opened: Counter[str] = Counter()  # how often each element is open
+    linked = total = 0
     at, n = 0, len(page)
 
+    def close_from(i: int) -> None:
+        opened.subtract(x for x, _ in stack[i:])
+        del stack[i:]
+
     def end() -> None:
         nonlocal linked, total
         if parts:
@@ -111,7 +117,7 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], str, float]]:
         if lt > at:
             parts.append(page[at:lt])
             total += lt - at
-            if depth_a:
+            if opened["a"]:
                 linked += lt - at
         if lt == n:
             break
@@ -132,10 +138,9 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], str, float]]:
                 continue
             if name not in INLINE:
                 end()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    depth_a -= sum(x == "a" for x, _ in stack[i:])
-                    del stack[i:]
+                    close_from(i)
                     break
                 if name in INLINE and stack[i][0] not in INLINE:
                     break
@@ -157,26 +162,22 @@ def blocks_of(page: str) -> list[tuple[str, frozenset[str], str, float]]:
             continue
         if name not in INLINE:
             end()
-            if any(x == "p" for x, _ in stack):
-                i = max(k for k, (x, _) in enumerate(stack) if x == "p")
-                if all(x in INLINE for x, _ in stack[i + 1 :]):
-                    depth_a -= sum(x == "a" for x, _ in stack[i:])
-                    del stack[i:]
-            if name in CLOSES:
+            if opened["p"]:
+                i = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] not in INLINE), -1)
+                if i >= 0 and stack[i][0] == "p":
+                    close_from(i)
+            if name in CLOSES and any(opened[x] for x in CLOSES[name][0].split()):
                 names, stops = CLOSES[name]
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in names.split():
-                        depth_a -= sum(x == "a" for x, _ in stack[i:])
-                        del stack[i:]
+                        close_from(i)
                         break
                     if stack[i][0] in stops:
                         break
         own = element(name, _has(attrs))
         above = stack[-1][1] if stack else frozenset()
         stack.append((name, above | own if own else above))
-        depth_a += name == "a"
-        if len(stack) > 400:
-            del stack[:100]
+        opened[name] += 1
     end()
     return out
 
