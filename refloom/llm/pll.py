@@ -12,7 +12,8 @@ with numpy and returns its weights; these are averaged, weighted by places, in a
 gathered grows with the tasks and the driver gets one network. Scoring then goes over all tokens of all documents.
 
 Defined cases: null and empty texts have no tokens and score 0 (mean null). Repeated rows give a row each and count each.
-A null doc_id is kept. An empty table gives no rows. Only doc_id and text are read.
+A null doc_id is kept. An empty table gives no rows. A text of any length is one stretch. Words of equal counts have ids in
+their own order, so ties are settled. Only doc_id and text are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SIDE, WIDTH, HIDDEN = 2, 16, 48
 SHARE = ROUNDS = 2
 FAN_IN, SEED = 64, 7
 CHUNK = 1 << 15
+#: Bytes of words that a task remembers, and what one takes besides its letters.
+MEMORY_BYTES, ENTRY_BYTES = 64 << 20, 150
 #: Places scored at a time, so that they stay in the processor's cache.
 BLOCK = 1 << 13
 
@@ -176,14 +179,16 @@ class Vocabulary(dict):
 
     def __init__(self, words: list[str], own: int = OWN, shared: int = SHARED):
         super().__init__({w.encode(): i for i, w in enumerate(words[:own])})
-        self.base, self.own, self.shared = dict(self), own, shared
+        self.base, self.own, self.shared, self.size = dict(self), own, shared, 0
 
     def __missing__(self, word: bytes) -> int:
         import zlib
 
-        if len(self) > 500_000:
+        self.size += ENTRY_BYTES + len(word)
+        if self.size > MEMORY_BYTES:
             self.clear()
             self.update(self.base)
+            self.size = 0
         self[word] = out = self.own + zlib.crc32(word) % self.shared
         return out
 
@@ -230,7 +235,7 @@ def _stretches(batches: Iterator[pd.DataFrame], vocab: Vocabulary) -> Iterator[t
         for d, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
             docs.append(d)
             parts.append(vocab.ids(t))
-            size += len(parts[-1])
+            size += len(parts[-1]) + 1
             if size >= CHUNK:
                 yield docs, np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
                 docs, parts, size = [], [], 0
