@@ -7,8 +7,9 @@ thirds of the rows, prunes it on the rest, takes away the rows it covers and goe
 
 Defined cases: a null or empty text has no words, so ``base_failed`` is true and ``kept`` false. Rows with null
 ``doc_id`` are judged like others. Repeated rows give repeated results. Labels that are null, or that name no document,
-are ignored; with no usable labels the list is empty and ``kept`` is ``not base_failed``. Columns of the input other
-than those named are not read, so names cannot clash.
+are ignored; with no usable labels the list is empty and ``kept`` is ``not base_failed``. Of several labels of one id the
+least counts, of several texts of a labelled id the one with the least statistics. An empty table gives no rows, and a text
+of any length is read whole. Columns of the input other than those named are not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -199,7 +200,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
         .limit(max_labelled)
     )
     labelled = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "inner")
-    rows = text_stats(labelled, keep=["_id", "_q"]).select("_id", "_q", base_failed().alias("_failed"), *RATIOS).dropDuplicates(["_id"]).orderBy("_id").toPandas()
+    stats = text_stats(labelled, keep=["_id", "_q"]).select("_id", "_q", F.struct(base_failed().alias("_failed"), *RATIOS).alias("x"))
+    rows = stats.groupBy("_id", "_q").agg(F.min("x").alias("x")).select("_id", "_q", "x.*").orderBy("_id").toPandas()
     # filtered here: in the plan, the condition would go below the join and need the statistics of every document
     rows = rows[~rows["_failed"]]
     if not len(rows):
