@@ -13,7 +13,7 @@ The pipeline's stage takes another contract: sets of five words with a Jaccard i
 of their first n / 5 + 1 shingles in any order common to all, here the rarest first, so these are the join keys; candidates
 are verified on the whole sets, and no near pair is lost.
 
-Defined cases: null and empty texts have no words and fingerprint zero, which links like any other. Repeated rows stay,
+Defined cases: texts of any length are read whole. Null and empty texts have no words and fingerprint zero, which links like any other. Repeated rows stay,
 each with its component. A null doc_id keeps its fingerprint and the component of its group (null if the group has no
 id). An empty table gives no rows. Of the input only doc_id and text are read, so further columns cannot clash.
 """
@@ -247,7 +247,10 @@ def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: its least doc_id (rows without an id stay); the columns of docs."""
+    """One document of each component: its least doc_id; the columns of docs. Rows that repeat an id and its text are one
+    document. Rows without an id are no one's copy, as their component is named by ids; of equal texts of them one stays."""
     firsts = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_row(docs))
-    return rows.join(firsts, F.col("_id") == F.col("_keep"), "left").filter("_keep is not null or _id is null").select("_row.*")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(SEED), text).alias("_g"), whole_row(docs))
+    kept = rows.join(firsts, F.col("_id") == F.col("_keep"), "left_semi").dropDuplicates(["_id", "_h", "_g"])
+    return kept.unionByName(rows.filter("_id is null").dropDuplicates(["_h", "_g"])).select("_row.*")
