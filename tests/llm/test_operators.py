@@ -411,10 +411,8 @@ def test_packing_under_a_loss_limit(spark):
 def test_urls(spark, monkeypatch):
     given = ["http://A.com/en/x?q", "https://x.example.com/en/7", "com/en/", None, "a://b://net/de/8", "http://example.net/de/8#f", "ftp://notcom/en/", "http://x.com:80/en/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(given)] + [(0, given[0], "h")], "page_id long, url string, host string")
-    bounds = urls.MAX_FILTER_WORDS, urls.MAX_LENGTHS
-    for words, lengths in (bounds, (0, bounds[1]), (bounds[0], 1)):
+    for words in (urls.MAX_FILTER_WORDS, 0):
         monkeypatch.setattr(urls, "MAX_FILTER_WORDS", words)
-        monkeypatch.setattr(urls, "MAX_LENGTHS", lengths)
         got = sorted((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in urls.judge_urls(df, urls.listed(spark, urls.RULES)).collect())
         assert [g[2:] for g in got if g[0] in (0, 1, 5)] == [("com/en/", "block")] * 2 + [("example.com/en/7", "allow"), ("example.net/de/8", "block")]
         assert all(g[2:] == (None, "allow") for g in got if g[0] in (2, 3, 4, 6, 7)) and len(got) == 9
@@ -496,3 +494,163 @@ def test_pipeline(spark, tmp_path):
             assert sorted(after.columns) == sorted(docs.columns)
         docs = after
     assert docs.count() > 0 and common.partitions_for(docs.select(F.lit("x").alias("text")), "text") == 8
+
+
+def test_bpe_columns(docs):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for d, x in texts():
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        want[d, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.decode(ids, skip_special_tokens=False).encode())] += 1
+    assert Counter(tuple(r) for r in bpe.encode_documents(docs).collect()) == want
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 1 << 16)
+    made = []
+    words = bpe._Words(lambda w: made.append(w) or w.encode())
+    for i in range(5000):
+        assert words[f"w{i}"] == f"w{i}".encode()
+        assert len(words) + len(words.older) < 700
+    assert words["x" * 9000] == b"x" * 9000 and "x" * 9000 not in words and words["w4999"] == b"w4999" and len(made) == 5001
+
+
+def test_fingerprints_in_a_plain_loop(docs):
+    import xxhash
+
+    def plain(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in "".join(" " if c in "\t\n\v\f\r" else c for c in low).split(" ") if w]
+        if not words:
+            return 0
+        grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+        hs = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    got = Counter((r["doc_id"], r["fp"] % (1 << 64)) for r in simhash.with_fingerprints(docs).collect())
+    assert got == Counter((d, plain(t)) for d, t in texts())
+
+
+def test_kept_one_of_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    given = [(1, long), (1, long), (2, long + " end"), (None, long), (None, long), (None, "other"), (3, None), (4, "")]
+    rows = simhash.keep_one(spark, spark.createDataFrame([(*g, 7) for g in given], "doc_id long, text string, _h int"), D).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter([(1, long), (None, long), (None, "other"), (3, None)])
+
+
+def test_verdicts(spark, docs):
+    rules = [quality.Rule((("symbol_rate", ">", 0.2), ("word_len", "<=", 6.0)), 9, 1.0), quality.Rule((("words", "<=", 30.0),), 9, 1.0)]
+    got = Counter((r["doc_id"], r["n_words"], r["base_failed"], r["kept"]) for r in quality.judge(docs, rules, ["doc_id"]).collect())
+    want = Counter()
+    for d, t in texts():
+        w = (t or "").replace("\n", " ").split()
+        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        n = Counter(grams)
+        cover = len({i + j for i, g in enumerate(grams) if n[g] > 1 for j in range(8)})
+        failed = len(w) < 20 or 100 * cover > 30 * len(w)
+        symbols, size = sum(c in "#*$%&|<>" for c in t or ""), sum(map(len, w))
+        bad = (symbols / max(len(w), 1) > 0.2 and size / max(len(w), 1) <= 6.0) or len(w) <= 30
+        want[d, len(w), failed, not failed and not bad] += 1
+    assert got == want and {k[3] for k in want} == {True, False}
+
+
+def test_rules_do_not_depend_on_the_order_of_rows(spark):
+    r = random.Random(8)
+    rows = [(i % 300, " ".join(r.choice(["a", "b###", "word", "Upper"]) + str(r.randrange(50)) for _ in range(40))) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    fit = lambda x, parts: quality.fit_rules(spark.createDataFrame(x, "doc_id long, text string").repartition(parts), labels)
+    assert fit(rows, 1) == fit(rows[::-1], 5)
+
+
+def test_labels_by_enumeration():
+    from itertools import product
+
+    model = htmlcrf.default_model()
+    for page in htmlcrf.labelled_pages(12, 5):
+        blocks = [(b[0].replace("\x01", "") or "x", *b[1:]) for b in htmlcrf.blocks_of(page)][:9]
+        emit = [[sum(model.weights.get(f, (0.0, 0.0))[y] for f in fs) for y in (0, 1)] for fs in htmlcrf.features_of(blocks)]
+        score = lambda ys, e=emit: model.start[ys[0]] + sum(e[t][y] for t, y in enumerate(ys)) + sum(model.moves[a, b] for a, b in zip(ys, ys[1:], strict=False))
+        best = max(product((0, 1), repeat=len(blocks)), key=score)
+        assert score(model.labels(blocks)) == pytest.approx(score(best))
+
+
+def test_html_of_any_depth_and_element(spark):
+    model = htmlcrf.default_model()
+    deep = "<article>" + "<div>" * 3000 + "<p>Deep words of the article stand here.</p>" + "</div>" * 3000 + "<p>And more words follow.</p></article><footer>c</footer>"
+    kept = "<article><p>An <object data='x'>object with fallback words</object> and <math><mi>x</mi></math> and <svg><text>drawn</text></svg> stay.</p></article>"
+    df = spark.createDataFrame([(1, "u", deep, "n"), (2, "u", kept, "n")], "page_id long, url string, html string, n_chars string")
+    got = {r["page_id"]: r["text"] for r in htmlcrf.extract_text(df, model).collect()}
+    assert got == {1: "Deep words of the article stand here. And more words follow.", 2: "An object with fallback words and x and drawn stay."}
+    assert htmlcrf.extract_text(df.limit(0), model).count() == 0
+
+
+def test_urls_without_rules_or_rows(spark):
+    df = spark.createDataFrame([(1, "http://a.com/" + "x" * 30_000, "h"), (2, None, "h"), (2, None, "h")], "page_id long, url string, rule string")
+    none = urls.listed(spark, urls.RULES).limit(0)
+    assert Counter((r["page_id"], r["rule"], r["verdict"]) for r in urls.judge_urls(df, none).collect()) == {(1, None, "allow"): 1, (2, None, "allow"): 2}
+    assert urls.judge_urls(df.limit(0), urls.listed(spark, urls.RULES)).count() == 0
+    many = urls.listed(spark, [("block", "a.com", "/" + "x" * n) for n in range(1500)])
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(df, many).collect()}
+    assert got == {1: ("a.com/" + "x" * 1499, "block"), 2: (None, "allow")}
+
+
+def test_probability_of_a_token_directly():
+    net = pll.Network.fresh(seed=3)
+    ids = np.array([5, 900, 17, 17, 1023, 0], np.int32)
+    ctx = pll.contexts(ids, np.array([0, 4]), 1024)
+    got = pll.log_probs(net, ctx, ids)
+    for i, y in enumerate(ids.tolist()):
+        text = [5, 900, 17, 17] if i < 4 else [1023, 0]
+        at = i if i < 4 else i - 4
+        around = [text[at + k] if 0 <= at + k < len(text) else 1024 for k in (-2, -1, 1, 2)]
+        h = np.append(np.maximum(sum(net.emb[x].astype(float) @ net.win[k] for k, x in enumerate(around)) + net.bias, 0), 1)
+        soft = lambda z, j: z[j] - np.log(np.exp(z).sum())
+        assert got[i] == pytest.approx(soft(h @ net.cls, y // pll.CLASS) + soft(h @ net.wrd[y // pll.CLASS], y % pll.CLASS), abs=1e-4)
+
+
+def test_steps_follow_the_gradient(monkeypatch):
+    """The first step of Adam goes against the sign of the gradient, here taken by differences."""
+    net = pll.Network.fresh(seed=4)
+    r = np.random.default_rng(5)
+    ids = r.integers(0, 1024, 40).astype(np.int32)
+    ctx = pll.contexts(ids, np.array([0]), 1024)
+    before = [a.copy() for a in net.arrays()]
+    loss = lambda: -pll.log_probs(net, ctx, ids).astype(np.float64).mean()
+    slopes = []
+    for a in net.arrays():
+        flat = a.reshape(-1)
+        for i in r.integers(0, len(flat), 60).tolist():
+            old, h = flat[i], np.float32(2e-2)
+            flat[i] = old + h
+            up = loss()
+            flat[i] = old - h
+            slopes.append((up - loss()) / (2 * float(h)))
+            flat[i] = old
+    pll.improve(net, ctx, ids)
+    r = np.random.default_rng(5)
+    r.integers(0, 1024, 40)
+    moved = [(x.reshape(-1) - y.reshape(-1))[i] for x, y in zip(net.arrays(), before, strict=True) for i in r.integers(0, x.size, 60).tolist()]
+    clear = [(s, m) for s, m in zip(slopes, moved, strict=True) if abs(s) > 2e-4]
+    assert len(clear) > 30 and sum(s * m < 0 for s, m in clear) >= 0.95 * len(clear)
+
+
+def test_pipeline_goes_on_where_it_ended(spark, monkeypatch):
+    import corpus_pipeline
+
+    whole = sorted(map(tuple, corpus_pipeline.run(spark, D).collect()))
+    calls = []
+    stages = [(n, lambda s, d, f, n=n, fn=fn: calls.append(n) or fn(s, d, f)) for n, fn in corpus_pipeline.STAGES]
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:2], (stages[2][0], fails), stages[3]])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, D, keep="again")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    again = sorted(map(tuple, corpus_pipeline.run(spark, D, keep="again").collect()))
+    assert calls == [n for n, _ in stages] and [r[:5] for r in again] == [r[:5] for r in whole]
