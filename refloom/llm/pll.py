@@ -6,7 +6,8 @@ case: the most frequent of the whole corpus have ids of their own, the others sh
 two steps, class and word in class, each a softmax. A word that shares its id has a third factor, its count in the corpus
 over that of all words of the id, so that each word has a probability of its own and they add up to one.
 
-Counts cover all documents. Training runs where the documents are: in each round every task goes over all its documents,
+Counts cover all documents: each part of them counts its own words, counts of equal words are added up over the parts, and
+in scoring a part meets its words with these sums. So nothing that grows with the corpus is in one place. Training runs where the documents are: in each round every task goes over all its documents,
 takes every second place by their position (the others in the other round, so that each place is a target once), improves the network on them in minibatches
 with numpy and returns its weights; these are averaged, weighted by places, in a tree of groups of ``FAN_IN``, so what is
 gathered grows with the tasks and the driver gets one network. Scoring then goes over all tokens of all documents.
@@ -19,19 +20,19 @@ their own order, so ties are settled. Only doc_id and text are read, so other co
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, read_table
+from .common import cut_lineage, partitions_for, read_table
 
 OWN, SHARED, CLASS = 768, 256, 32
-SIDE, WIDTH, HIDDEN = 2, 16, 48
+SIDE, WIDTH, HIDDEN = 2, 12, 32
 #: Every SHARE-th place is a target in a round; as many rounds make all places targets.
 SHARE = ROUNDS = 2
 FAN_IN, SEED = 64, 7
@@ -134,7 +135,7 @@ def log_probs(net: Network, ctx: np.ndarray, target: np.ndarray, tables: np.ndar
     return out
 
 
-def improve(net: Network, ctx: np.ndarray, target: np.ndarray, batch: int = 1024, rate: float = 0.006) -> None:
+def improve(net: Network, ctx: np.ndarray, target: np.ndarray, batch: int = 2048, rate: float = 0.008) -> None:
     """One pass of Adam over the places, in place."""
     params = net.arrays()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -192,49 +193,50 @@ class Vocabulary(dict):
         self[word] = out = self.own + zlib.crc32(word) % self.shared
         return out
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """text is in lower case already, by the engine that counts the words."""
-        words = (text or "").encode().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
 
 def lower_text() -> Column:
     return F.lower(F.coalesce("text", F.lit("")))
 
 
-def _each_word() -> Column:
-    return F.explode(F.split(lower_text(), r"[\x20\x09-\x0D]+")).alias("word")
+def dealt(docs: DataFrame) -> DataFrame:
+    """p, doc_id, text in lower case: rows dealt out by a hash into parts that follow the bytes of the input."""
+    parts = max(partitions_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_text().alias("text"))
+    return given.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("p"))
+
+
+def part_counts(docs: DataFrame) -> DataFrame:
+    """p, word, n: the words of each part of dealt(docs). Counted where the part is, without another exchange."""
+    words = dealt(docs).select("p", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
+    return words.groupBy("p", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents."""
-    return docs.select(_each_word()).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return _over_parts(part_counts(docs))
 
 
-def _text_key() -> list[Column]:
-    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(SEED), "text").alias("k2")]
+def _over_parts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shared_words(docs: DataFrame, words: list[str], counts: DataFrame) -> DataFrame:
-    """k1, k2, extra: for each text with words that share an id, the sum of log(count of the word / count of its id)."""
-    shares = ~F.col("word").isin(words) if words else F.lit(True)
-    rest = counts.filter(shares).withColumn("id", F.crc32(F.col("word").cast("binary")) % SHARED)
-    total = rest.groupBy("id").agg(F.sum("n").alias("of"))
-    factor = rest.join(F.broadcast(total), "id").select("word", F.log(F.col("n") / F.col("of")).alias("f"))
-    found = docs.select(_each_word(), *_text_key()).filter("word <> ''").filter(shares)
-    # equal texts have equal sums: each brings its words, and the sum is shared by the rows
-    rows = docs.groupBy(*_text_key()).agg(F.count(F.lit(1)).alias("rows"))
-    sums = found.join(factor, "word").groupBy("k1", "k2").agg(F.sum("f").alias("f"))
-    return sums.join(rows, ["k1", "k2"]).select("k1", "k2", (F.col("f") / F.col("rows")).alias("extra"))
+def shared_id() -> Column:
+    return F.lit(OWN) + F.crc32(F.col("word").cast("binary")) % SHARED
 
 
-def _stretches(batches: Iterator[pd.DataFrame], vocab: Vocabulary) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _ids(text: str | None, known: dict[bytes, int]) -> np.ndarray:
+    """text is in lower case already, by the engine that counts the words."""
+    words = (text or "").encode().split()
+    return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+
+
+def _stretches(batches: Iterable[pd.DataFrame], known: dict[bytes, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc ids, token ids, starts) of some documents at a time; a long document stays whole."""
     docs, parts, size = [], [], 0
     for b in batches:
         for d, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
             docs.append(d)
-            parts.append(vocab.ids(t))
+            parts.append(_ids(t, known))
             size += len(parts[-1]) + 1
             if size >= CHUNK:
                 yield docs, np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
@@ -287,8 +289,8 @@ def train_round(docs: DataFrame, words: list[str], net: Network, turn: int, shar
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[list[str], Network]:
-    """The OWN most frequent words and a network, from all documents. counts: word_counts(docs), to compute it once."""
-    words = [r["word"] for r in (counts or word_counts(docs)).orderBy(F.col("n").desc(), "word").limit(OWN).collect()]
+    """The OWN most frequent words and a network, from all documents. counts: part_counts(docs), to compute it once."""
+    words = [r["word"] for r in _over_parts(counts or part_counts(docs)).orderBy(F.col("n").desc(), "word").limit(OWN).collect()]
     net = Network.fresh()
     for turn in range(rounds):
         net = train_round(docs, words, net, turn)
@@ -296,29 +298,42 @@ def train(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None
 
 
 def score(docs: DataFrame, words: list[str], net: Network, counts: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all tokens), mean_log_prob."""
-    blob = net.dump()
+    """doc_id, n_tokens, log_likelihood (sum over all tokens), mean_log_prob. counts as for train.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, own = Vocabulary(words), net.load(blob)
-        tables = projected(own)
-        for docs_, ids, starts in _stretches(batches, vocab):
+    A part of the documents meets a table of its own words, with each word's count in the whole corpus.
+    """
+    counts = counts or part_counts(docs)
+    blob, own = net.dump(), set(words)
+    shares = ~F.col("word").isin(words) if words else F.lit(True)
+    of = np.ones(OWN + SHARED)  # the counts of all words of a shared id
+    for r in counts.filter(shares).groupBy(shared_id().alias("id")).agg(F.sum("n").alias("n")).collect():
+        of[r["id"]] = r["n"]
+
+    def run(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        vocab, net_ = Vocabulary(words), net.load(blob)
+        tables = projected(net_)
+        known = table["word"].tolist()
+        id_of = np.array([vocab[w.encode()] for w in known], np.int32)
+        extra_of = np.where([w in own for w in known], 0.0, np.log(table["n"].to_numpy(np.float64)) - np.log(of[id_of])) if known else np.empty(0)
+        place = {w.encode(): i for i, w in enumerate(known)}
+        out = []
+        for docs_, at, starts in _stretches([texts], place):
+            ids = id_of[at]
             ctx = contexts(ids, starts, OWN + SHARED)
-            lp = np.concatenate([log_probs(own, ctx[a : a + BLOCK], ids[a : a + BLOCK], tables) for a in range(0, len(ids), BLOCK)] or [np.empty(0, np.float32)])
-            total = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
-            ends = np.append(starts[1:], len(ids))
-            n, s = ends - starts, total[ends] - total[starts]
-            yield pd.DataFrame({"row": docs_, "n_tokens": n, "s": s})
+            lp = np.concatenate([log_probs(net_, ctx[a : a + BLOCK], ids[a : a + BLOCK], tables) for a in range(0, len(ids), BLOCK)] or [np.empty(0, np.float32)])
+            n = np.diff(np.append(starts, len(ids)))
+            total = np.zeros(len(n))
+            if len(ids):
+                total[n > 0] = np.add.reduceat(lp + extra_of[at], starts[n > 0])
+            out.append(pd.DataFrame({"doc_id": pd.array(docs_, "Int64"), "n_tokens": n, "log_likelihood": total}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_tokens": [], "log_likelihood": []})
 
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *_text_key())
-    given = docs.select(key.alias("doc_id"), lower_text().alias("text"))
-    scored = given.mapInPandas(run, "row struct<doc_id: long, k1: long, k2: long>, n_tokens long, s double").select("row.*", "n_tokens", "s")
-    extra = shared_words(docs, words, counts or word_counts(docs))
-    out = scored.join(extra, ["k1", "k2"], "left").withColumn("log_likelihood", F.col("s") + F.coalesce("extra", F.lit(0.0)))
-    return out.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_prob"))
+    whole = counts.withColumn("n", F.sum("n").over(Window.partitionBy("word")))  # a word has a row a part at most
+    scored = dealt(docs).groupBy("p").cogroup(whole.groupBy("p")).applyInPandas(run, "doc_id long, n_tokens long, log_likelihood double")
+    return scored.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    counts = cut_lineage(word_counts(docs))
+    counts = cut_lineage(part_counts(docs))
     return score(docs, *train(docs, counts=counts), counts)
