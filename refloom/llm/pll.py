@@ -206,43 +206,62 @@ def dealt(docs: DataFrame) -> DataFrame:
 
 
 def part_counts(docs: DataFrame) -> DataFrame:
-    """p, word, n: the words of each part of dealt(docs). Counted where the part is, without another exchange."""
+    """p, word, n, first: the words of each part of dealt(docs), each with its count in the whole corpus, and whether the
+    row is the word's first. A part counts its words where it is; a word has a row a part at most."""
     words = dealt(docs).select("p", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
-    return words.groupBy("p", "word").agg(F.count(F.lit(1)).alias("n"))
+    own = words.groupBy("p", "word").agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy("word")
+    return own.select("p", "word", F.sum("n").over(every).alias("n"), (F.col("p") == F.min("p").over(every)).alias("first"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all documents."""
-    return _over_parts(part_counts(docs))
+def most_frequent(counts: DataFrame) -> list[str]:
+    return [r["word"] for r in counts.filter("first").orderBy(F.col("n").desc(), "word").limit(OWN).collect()]
 
 
-def _over_parts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+def tokens(docs: DataFrame, words: list[str], counts: DataFrame) -> DataFrame:
+    """doc_id, ids (two little-endian bytes a token), extra: the sum of the third factors' logarithms. A part of the
+    documents meets a table of its own words; texts are cut into words here and nowhere else."""
+    own = set(words)
+    shares = ~F.col("word").isin(words) if words else F.lit(True)
+    of = np.ones(OWN + SHARED)  # the counts of all words of a shared id
+    shared_id = F.lit(OWN) + F.crc32(F.col("word").cast("binary")) % SHARED
+    for r in counts.filter("first").filter(shares).groupBy(shared_id.alias("id")).agg(F.sum("n").alias("n")).collect():
+        of[r["id"]] = r["n"]
 
+    def run(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        vocab, known = Vocabulary(words), table["word"].tolist()
+        id_of = np.array([vocab[w.encode()] for w in known], "<i2")
+        extra_of = np.where([w in own for w in known], 0.0, np.log(table["n"].to_numpy(np.float64)) - np.log(of[id_of])) if known else np.empty(0)
+        place = {w.encode(): i for i, w in enumerate(known)}
+        ids, extra = [], []
+        for t in texts["text"]:
+            w = t.encode().split()
+            at = np.fromiter(map(place.__getitem__, w), np.int32, len(w))
+            ids.append(id_of[at].tobytes())
+            extra.append(float(extra_of[at].sum()))
+        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": ids, "extra": extra})
 
-def shared_id() -> Column:
-    return F.lit(OWN) + F.crc32(F.col("word").cast("binary")) % SHARED
+    return dealt(docs).groupBy("p").cogroup(counts.select("p", "word", "n").groupBy("p")).applyInPandas(run, "doc_id long, ids binary, extra double")
 
 
-def _ids(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    """text is in lower case already, by the engine that counts the words."""
-    words = (text or "").encode().split()
-    return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+def _stretches(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+    """(doc ids, extras, token ids, starts) of some documents at a time; a long document stays whole."""
 
+    def whole() -> tuple[list, list, np.ndarray, np.ndarray]:
+        return docs, extra, np.concatenate(parts).astype(np.int32), np.cumsum([0] + [len(p) for p in parts[:-1]])
 
-def _stretches(batches: Iterable[pd.DataFrame], known: dict[bytes, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(doc ids, token ids, starts) of some documents at a time; a long document stays whole."""
-    docs, parts, size = [], [], 0
+    docs, extra, parts, size = [], [], [], 0
     for b in batches:
-        for d, t in zip(b["doc_id"].tolist(), b["text"], strict=True):
+        for d, i, x in zip(b["doc_id"].astype("Int64"), b["ids"], b["extra"], strict=True):
             docs.append(d)
-            parts.append(_ids(t, known))
+            extra.append(x)
+            parts.append(np.frombuffer(i, "<i2"))
             size += len(parts[-1]) + 1
             if size >= CHUNK:
-                yield docs, np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
-                docs, parts, size = [], [], 0
+                yield whole()
+                docs, extra, parts, size = [], [], [], 0
     if docs:
-        yield docs, np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
+        yield whole()
 
 
 def _average(frames: pd.DataFrame) -> tuple[int, bytes]:
@@ -254,17 +273,18 @@ def _average(frames: pd.DataFrame) -> tuple[int, bytes]:
     return n, total.astype("<f4").tobytes()
 
 
-def train_round(docs: DataFrame, words: list[str], net: Network, turn: int, share: int = SHARE) -> Network:
+def train_round(rows: DataFrame, net: Network, turn: int, share: int = SHARE) -> Network:
+    """rows: tokens(...). Every share-th place is a target."""
     start = net.dump()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, own, seen = Vocabulary(words), net.load(start), 0
-        ctxs, targets, held = [], [], 0
-        for _, ids, starts in _stretches(batches, vocab):
-            at = np.arange(turn % share, len(ids), share)
+        own, seen, held = net.load(start), 0, 0
+        ctxs, targets = [], []
+        for _, _, ids, starts in _stretches(batches):
+            at = slice(turn % share, None, share)
             ctxs.append(contexts(ids, starts, OWN + SHARED)[at])
             targets.append(ids[at])
-            held += len(at)
+            held += len(targets[-1])
             if held >= CHUNK:
                 improve(own, np.concatenate(ctxs), np.concatenate(targets))
                 seen += held
@@ -280,60 +300,53 @@ def train_round(docs: DataFrame, words: list[str], net: Network, turn: int, shar
         return pd.DataFrame({"task": [int(frames["task"].iloc[0]) // FAN_IN], "n": [n], "weights": [w]})
 
     kind = "task long, n long, weights binary"
-    level = cut_lineage(docs.select("doc_id", lower_text().alias("text")).mapInPandas(run, kind))
+    level = cut_lineage(rows.mapInPandas(run, kind))
     while (count := level.count()) > 1:
         level = level.groupBy(F.floor(F.col("task") / FAN_IN).alias("_g")).applyInPandas(mean, kind)
         level = cut_lineage(level) if count > FAN_IN else level
-    rows = level.collect()
-    return net.load(bytes(rows[0]["weights"])) if rows else net
+    last = level.collect()
+    return net.load(bytes(last[0]["weights"])) if last else net
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[list[str], Network]:
-    """The OWN most frequent words and a network, from all documents. counts: part_counts(docs), to compute it once."""
-    words = [r["word"] for r in _over_parts(counts or part_counts(docs)).orderBy(F.col("n").desc(), "word").limit(OWN).collect()]
+def fit(rows: DataFrame, rounds: int = ROUNDS) -> Network:
     net = Network.fresh()
     for turn in range(rounds):
-        net = train_round(docs, words, net, turn)
-    return words, net
+        net = train_round(rows, net, turn)
+    return net
 
 
-def score(docs: DataFrame, words: list[str], net: Network, counts: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over all tokens), mean_log_prob. counts as for train.
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Network]:
+    """The OWN most frequent words and a network, from all documents."""
+    counts = cut_lineage(part_counts(docs))
+    words = most_frequent(counts)
+    return words, fit(cut_lineage(tokens(docs, words, counts)), rounds)
 
-    A part of the documents meets a table of its own words, with each word's count in the whole corpus.
-    """
-    counts = counts or part_counts(docs)
-    blob, own = net.dump(), set(words)
-    shares = ~F.col("word").isin(words) if words else F.lit(True)
-    of = np.ones(OWN + SHARED)  # the counts of all words of a shared id
-    for r in counts.filter(shares).groupBy(shared_id().alias("id")).agg(F.sum("n").alias("n")).collect():
-        of[r["id"]] = r["n"]
 
-    def run(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        vocab, net_ = Vocabulary(words), net.load(blob)
-        tables = projected(net_)
-        known = table["word"].tolist()
-        id_of = np.array([vocab[w.encode()] for w in known], np.int32)
-        extra_of = np.where([w in own for w in known], 0.0, np.log(table["n"].to_numpy(np.float64)) - np.log(of[id_of])) if known else np.empty(0)
-        place = {w.encode(): i for i, w in enumerate(known)}
-        out = []
-        for docs_, at, starts in _stretches([texts], place):
-            ids = id_of[at]
+def score_rows(rows: DataFrame, net: Network) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (sum over all tokens), mean_log_prob. rows: tokens(...)."""
+    blob = net.dump()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = net.load(blob)
+        tables = projected(own)
+        for docs_, extra, ids, starts in _stretches(batches):
             ctx = contexts(ids, starts, OWN + SHARED)
-            lp = np.concatenate([log_probs(net_, ctx[a : a + BLOCK], ids[a : a + BLOCK], tables) for a in range(0, len(ids), BLOCK)] or [np.empty(0, np.float32)])
-            n = np.diff(np.append(starts, len(ids)))
-            total = np.zeros(len(n))
+            n, total = np.diff(np.append(starts, len(ids))), np.array(extra)
             if len(ids):
-                total[n > 0] = np.add.reduceat(lp + extra_of[at], starts[n > 0])
-            out.append(pd.DataFrame({"doc_id": pd.array(docs_, "Int64"), "n_tokens": n, "log_likelihood": total}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_tokens": [], "log_likelihood": []})
+                lp = np.concatenate([log_probs(own, ctx[a : a + BLOCK], ids[a : a + BLOCK], tables) for a in range(0, len(ids), BLOCK)])
+                total[n > 0] += np.add.reduceat(lp.astype(np.float64), starts[n > 0])
+            yield pd.DataFrame({"doc_id": pd.array(docs_, "Int64"), "n_tokens": n, "log_likelihood": total})
 
-    whole = counts.withColumn("n", F.sum("n").over(Window.partitionBy("word")))  # a word has a row a part at most
-    scored = dealt(docs).groupBy("p").cogroup(whole.groupBy("p")).applyInPandas(run, "doc_id long, n_tokens long, log_likelihood double")
+    scored = rows.mapInPandas(run, "doc_id long, n_tokens long, log_likelihood double")
     return scored.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
+def score(docs: DataFrame, words: list[str], net: Network) -> DataFrame:
+    return score_rows(tokens(docs, words, cut_lineage(part_counts(docs))), net)
+
+
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     counts = cut_lineage(part_counts(docs))
-    return score(docs, *train(docs, counts=counts), counts)
+    rows = cut_lineage(tokens(docs, most_frequent(counts), counts))
+    return score_rows(rows, fit(rows))

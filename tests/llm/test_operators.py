@@ -453,7 +453,7 @@ def test_scores_train_on_every_place(spark, monkeypatch):
     words = [f"w{i}" for i in range(700)]
     docs = spark.createDataFrame([(0, " ".join(words[:333])), (1, " ".join(words[333:]))], "doc_id long, text string").coalesce(1)
     asked = []
-    monkeypatch.setattr(pll, "train_round", lambda d, w, net, turn, share=pll.SHARE: asked.append((turn, share)) or net)
+    monkeypatch.setattr(pll, "train_round", lambda rows, net, turn, share=pll.SHARE: asked.append((turn, share)) or net)
     pll.train(docs)
     places = [k for turn, share in asked for k in range(turn % share, 700, share)]
     assert sorted(places) == list(range(700))
