@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, partitions_for, read_table
 
 OWN, SHARED, CLASS = 768, 256, 32
-SIDE, WIDTH, HIDDEN = 2, 12, 32
+SIDE, WIDTH, HIDDEN = 2, 12, 24
 #: Every SHARE-th place is a target in a round; as many rounds make all places targets.
 SHARE = ROUNDS = 2
 FAN_IN, SEED = 64, 7
@@ -198,17 +198,21 @@ def lower_text() -> Column:
     return F.lower(F.coalesce("text", F.lit("")))
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """p, doc_id, text in lower case: rows dealt out by a hash into parts that follow the bytes of the input."""
-    parts = max(partitions_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def number_of_parts(docs: DataFrame) -> int:
+    """It follows the bytes of the input."""
+    return max(partitions_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(docs: DataFrame, parts: int) -> DataFrame:
+    """p, doc_id, text in lower case: rows dealt out by a hash, each part a partition."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_text().alias("text"))
     return given.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("p"))
 
 
-def part_counts(docs: DataFrame) -> DataFrame:
-    """p, word, n, first: the words of each part of dealt(docs), each with its count in the whole corpus, and whether the
+def part_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """p, word, n, first: the words of each part of dealt(docs, parts), each with its count in the whole corpus, and whether the
     row is the word's first. A part counts its words where it is; a word has a row a part at most."""
-    words = dealt(docs).select("p", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
+    words = dealt(docs, parts).select("p", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
     own = words.groupBy("p", "word").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy("word")
     return own.select("p", "word", F.sum("n").over(every).alias("n"), (F.col("p") == F.min("p").over(every)).alias("first"))
@@ -218,7 +222,7 @@ def most_frequent(counts: DataFrame) -> list[str]:
     return [r["word"] for r in counts.filter("first").orderBy(F.col("n").desc(), "word").limit(OWN).collect()]
 
 
-def tokens(docs: DataFrame, words: list[str], counts: DataFrame) -> DataFrame:
+def tokens(docs: DataFrame, words: list[str], counts: DataFrame, parts: int) -> DataFrame:
     """doc_id, ids (two little-endian bytes a token), extra: the sum of the third factors' logarithms. A part of the
     documents meets a table of its own words; texts are cut into words here and nowhere else."""
     own = set(words)
@@ -241,7 +245,8 @@ def tokens(docs: DataFrame, words: list[str], counts: DataFrame) -> DataFrame:
             extra.append(float(extra_of[at].sum()))
         return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "ids": ids, "extra": extra})
 
-    return dealt(docs).groupBy("p").cogroup(counts.select("p", "word", "n").groupBy("p")).applyInPandas(run, "doc_id long, ids binary, extra double")
+    table = counts.select("p", "word", "n").repartitionById(parts, F.col("p"))
+    return dealt(docs, parts).groupBy("p").cogroup(table.groupBy("p")).applyInPandas(run, "doc_id long, ids binary, extra double")
 
 
 def _stretches(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
@@ -315,11 +320,18 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> Network:
     return net
 
 
+def read(docs: DataFrame, words: list[str] | None = None) -> tuple[list[str], DataFrame]:
+    """The words with an id of their own (the most frequent, if none are given) and tokens(...), written once."""
+    parts = number_of_parts(docs)
+    counts = cut_lineage(part_counts(docs, parts))
+    words = most_frequent(counts) if words is None else words
+    return words, cut_lineage(tokens(docs, words, counts, parts))
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], Network]:
     """The OWN most frequent words and a network, from all documents."""
-    counts = cut_lineage(part_counts(docs))
-    words = most_frequent(counts)
-    return words, fit(cut_lineage(tokens(docs, words, counts)), rounds)
+    words, rows = read(docs)
+    return words, fit(rows, rounds)
 
 
 def score_rows(rows: DataFrame, net: Network) -> DataFrame:
@@ -342,11 +354,9 @@ def score_rows(rows: DataFrame, net: Network) -> DataFrame:
 
 
 def score(docs: DataFrame, words: list[str], net: Network) -> DataFrame:
-    return score_rows(tokens(docs, words, cut_lineage(part_counts(docs))), net)
+    return score_rows(read(docs, words)[1], net)
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    counts = cut_lineage(part_counts(docs))
-    rows = cut_lineage(tokens(docs, most_frequent(counts), counts))
+    _, rows = read(read_table(spark, sf_dir, "documents"))
     return score_rows(rows, fit(rows))
