@@ -135,7 +135,7 @@ def log_probs(net: Network, ctx: np.ndarray, target: np.ndarray, tables: np.ndar
     return out
 
 
-def improve(net: Network, ctx: np.ndarray, target: np.ndarray, batch: int = 2048, rate: float = 0.008) -> None:
+def improve(net: Network, ctx: np.ndarray, target: np.ndarray, batch: int = 4096, rate: float = 0.02) -> None:
     """One pass of Adam over the places, in place."""
     params = net.arrays()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
