@@ -252,5 +252,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     firsts = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(SEED), text).alias("_g"), whole_row(docs))
-    kept = rows.join(firsts, F.col("_id") == F.col("_keep"), "left_semi").dropDuplicates(["_id", "_h", "_g"])
+    key = ["_id", "_h", "_g"]
+    kept = rows.filter("_id is not null").join(firsts, F.col("_id") == F.col("_keep"), "left_semi")
+    # whole rows are dealt out for this only where an id and its text are repeated
+    again = cut_lineage(rows.filter("_id is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key))
+    if not again.isEmpty():
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
     return kept.unionByName(rows.filter("_id is null").dropDuplicates(["_h", "_g"])).select("_row.*")
