@@ -36,6 +36,8 @@ SHINGLE, SEED, MAX_BITS, BLOCKS, MAX_BUCKET = 3, 42, 2, 4, 64
 STAGE_SHINGLE, LIKE_PART = 5, 5
 #: Counters of shingles by hash, which only order them, and the rows they travel in.
 SKETCH, SKETCH_ROWS = 1 << 20, 16
+#: Ids that may be sent to every task, eight bytes each.
+MAX_SENT = 1 << 21
 #: Words of 32 bits in the filter of digests that are in a candidate pair.
 BITMAP = 1 << 18
 
@@ -249,11 +251,14 @@ def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: its least doc_id; the columns of docs. Rows that repeat an id and its text are one
     document. Rows without an id are no one's copy, as their component is named by ids; of equal texts of them one stays."""
-    firsts = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    judged = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    gone = cut_lineage(judged.filter("not first").select(F.col("doc_id").alias("_gone")))
+    # few enough ids go to every task, which spares dealing out the texts; beyond the bound both sides are dealt out
+    gone = F.broadcast(gone) if gone.count() <= MAX_SENT else gone
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(SEED), text).alias("_g"), whole_row(docs))
     key = ["_id", "_h", "_g"]
-    kept = rows.filter("_id is not null").join(firsts, F.col("_id") == F.col("_keep"), "left_semi")
+    kept = rows.filter("_id is not null").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
     # whole rows are dealt out for this only where an id and its text are repeated
     again = cut_lineage(rows.filter("_id is not null").groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key))
     if not again.isEmpty():
