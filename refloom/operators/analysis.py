@@ -3,7 +3,7 @@ and citations are each read out of the texts once, and the reports start from wh
 
 paras: doc_id, para_idx, text, page. overrides: doc_id, pos, raw, references that a user gives for a document; if any of a
 document's can be read, they replace its own. A document without a heading of references has an error instead of reports,
-unless it has overrides; then all of it is body.
+unless it has overrides; then all of it is body. bare_years: whether years outside parentheses count in references.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ class Reports:
     sources: DataFrame  #: doc_id, which references count, how many, and warnings
 
 
-def reference_lines(paras: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+def reference_lines(paras: DataFrame, starts: DataFrame | None = None, bare_years: bool = True) -> DataFrame:
     """doc_id, pos, raw, page: the items of a document's reference section (SEG3 to SEG6), not yet parsed."""
     whole = segment.merge_wrapped(segment.reference_block(paras, starts), "para_idx")
-    return segment.assemble_items(segment.split_inline(whole, "first"), ["first", "part_idx"]).select("doc_id", F.posexplode("items").alias("pos", "i")).select("doc_id", "pos", "i.raw", "i.page")
+    return segment.assemble_items(segment.split_inline(whole, "first"), ["first", "part_idx"], bare_years).select("doc_id", F.posexplode("items").alias("pos", "i")).select("doc_id", "pos", "i.raw", "i.page")
 
 
 def cited(paras: DataFrame, refs: DataFrame) -> DataFrame:
@@ -40,17 +40,17 @@ def cited(paras: DataFrame, refs: DataFrame) -> DataFrame:
     return match.with_core_key(found.withColumn("cite_id", F.concat_ws(":", "doc_id", "para_idx", "seq")))
 
 
-def analyse(paras: DataFrame, overrides: DataFrame | None = None) -> Reports:
+def analyse(paras: DataFrame, overrides: DataFrame | None = None, bare_years: bool = True) -> Reports:
     starts = cut_lineage(segment.section_start(paras))
     parts = segment.split_sections(paras, starts)
     headed = starts.select("doc_id")
-    own = cut_lineage(match.core_references(reference_lines(paras, starts)))
+    own = cut_lineage(match.core_references(reference_lines(paras, starts, bare_years), bare_years))
     raw = parts.filter("part = 'references'").select("doc_id", F.col("para_idx").cast("long").alias("pos"), F.col("text").alias("raw"))
     docs = paras.select("doc_id").distinct()
     refs, asked = own, headed
     if overrides is not None:
         given = overrides.filter(F.trim("raw") != "").select("doc_id", F.col("pos").cast("long").alias("pos"), F.trim("raw").alias("raw"), F.lit(0).alias("page"))
-        read = cut_lineage(match.core_references(given))
+        read = cut_lineage(match.core_references(given, bare_years))
         taken = read.select("doc_id").distinct()
         refs = own.join(taken, "doc_id", "left_anti").unionByName(read)
         raw = raw.join(taken, "doc_id", "left_anti").unionByName(given.join(taken, "doc_id", "left_semi").drop("page"))
@@ -71,5 +71,5 @@ def analyse(paras: DataFrame, overrides: DataFrame | None = None) -> Reports:
         missing.select(*base),
         uncited.select("doc_id", "item_idx", "lang", "author1", "year", "raw", "page"),
         errors,
-        match.sources_of(own, empty),
+        match.sources_of(own, empty, bare_years),
     )

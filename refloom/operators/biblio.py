@@ -11,10 +11,11 @@ from ..functions.text import HAN, norm_reference, put_year
 UNKNOWN_STROKES = 9999
 
 
-def parse_items(items: DataFrame) -> DataFrame:
-    """PRS6 to PRS9 on items (doc_id, pos, raw): text, year, suffix, authors, surnames, first, reason (null if parsed)."""
+def parse_items(items: DataFrame, bare_years: bool = True) -> DataFrame:
+    """PRS6 to PRS9 on items (doc_id, pos, raw): text, year, suffix, authors, surnames, first, reason (null if parsed).
+    bare_years as in split_year."""
     t = items.select("doc_id", "pos", norm_reference(F.col("raw")).alias("text")).filter("text <> ''")
-    t = t.withColumn("y", split_year(F.col("text")))
+    t = t.withColumn("y", split_year(F.col("text"), bare_years))
     t = t.withColumn("authors_raw", F.regexp_replace(F.trim(F.col("y.before")), r"[,.;]+$", ""))
     t = t.withColumn("authors", F.when(F.col("authors_raw") != "", authors_list(F.col("authors_raw"))).otherwise(F.array().cast("array<string>")))
     t = t.withColumn("surnames", F.filter(F.transform("authors", lambda a: F.lower(author_surname(a))), lambda s: s != ""))
@@ -23,8 +24,8 @@ def parse_items(items: DataFrame) -> DataFrame:
     return t.withColumn("year", F.col("y.year")).withColumn("suffix", F.coalesce(F.col("y.suffix"), F.lit("")))
 
 
-def _finished(t: DataFrame) -> DataFrame:
-    s = title_and_source(split_year(F.col("text"))["after"])
+def _finished(t: DataFrame, bare_years: bool) -> DataFrame:
+    s = title_and_source(split_year(F.col("text"), bare_years)["after"])
     t = t.withColumn("_s", F.when(F.col("reason").isNull(), s)).withColumn("title", F.col("_s.title")).withColumn("source", F.col("_s.source")).drop("_s")
     rank = F.struct((F.col("suffix") != "").cast("int").alias("a"), F.col("suffix").alias("b"))
     key = F.struct("first", F.slice("surnames", 2, F.greatest(F.size("surnames"), F.lit(1))).alias("more"), F.col("year").cast("int").alias("y"), rank.alias("r"), F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]", "").alias("t"), "pos")
@@ -43,13 +44,13 @@ def auto_suffix(t: DataFrame) -> DataFrame:
     return t.withColumn("auto", F.col("_new").isNotNull()).withColumn("suffix", F.coalesce("_new", "suffix")).drop("_new")
 
 
-def sort_bibliography(items: DataFrame) -> DataFrame:
+def sort_bibliography(items: DataFrame, bare_years: bool = True) -> DataFrame:
     """doc_id, ord (from 0), pos, text, key, auto, reason: parsed items in order, then the others as they came."""
-    t = parse_items(items)
+    t = parse_items(items, bare_years)
     t = t.withColumn("text", F.when(F.col("reason").isNull(), put_year(F.col("text"), F.col("year"), F.col("suffix"))).otherwise(F.col("text")))
-    t = auto_suffix(_finished(t))
+    t = auto_suffix(_finished(t, bare_years))
     t = t.withColumn("text", F.when(F.col("auto"), put_year(F.col("text"), F.col("year"), F.col("suffix"))).otherwise(F.col("text")))
-    t = _finished(t)
+    t = _finished(t, bare_years)
     key = F.when(F.col("reason").isNull(), title_key(F.col("first"), F.col("year"), F.col("suffix"), F.col("title"))).otherwise("")
     ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("reason").isNotNull(), F.col("sort_key"), "pos")) - 1
     return t.withColumn("key", key).withColumn("ord", ord_)

@@ -76,9 +76,9 @@ def split_inline(lines: DataFrame, order: str = "line_idx") -> DataFrame:
     return lines.select("doc_id", order, *["page"] * ("page" in lines.columns), F.posexplode(parts).alias("part_idx", "text"))
 
 
-def assemble_items(lines: DataFrame, order: list[str]) -> DataFrame:
+def assemble_items(lines: DataFrame, order: list[str], bare_years: bool = True) -> DataFrame:
     """SEG6: doc_id, items (array of raw, page): a fold over a document's lines, as whether a line begins an item depends on
-    the text gathered so far. An item has its first line's page (0 without pages)."""
+    the text gathered so far. An item has its first line's page (0 without pages). bare_years as in starts_item."""
     page = F.coalesce(F.col("page"), F.lit(0)).cast("int") if "page" in lines.columns else F.lit(0)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(F.col("text").alias("raw"), page.alias("page")).alias("line")))), lambda x: x["line"])
     none = F.array().cast("array<struct<raw:string,page:int>>")
@@ -86,7 +86,7 @@ def assemble_items(lines: DataFrame, order: list[str]) -> DataFrame:
 
     def step(acc, x):
         now = acc["now"]
-        new = (now["raw"] != "") & starts_item(x["raw"]) & ~must_append(now["raw"], x["raw"])
+        new = (now["raw"] != "") & starts_item(x["raw"], bare_years) & ~must_append(now["raw"], x["raw"], bare_years)
         more = F.struct(F.concat(now["raw"], F.lit(" "), x["raw"]).alias("raw"), now["page"].alias("page"))
         return F.struct(
             F.when(new, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
