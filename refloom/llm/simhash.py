@@ -9,9 +9,10 @@ Keys that hold more than ``MAX_BUCKET`` fingerprints would make pairs quadratic.
 its 64 one-bit neighbours instead: two fingerprints differ in at most two bits exactly if they share one of these, so
 linking each to the least one that shares it gives the same components, in linear size.
 
-The pipeline's stage takes another contract: sets of five words with a Jaccard index of 0.8 or more. Two such sets share one
-of their first n / 5 + 1 shingles in any order common to all, here the rarest first, so these are the join keys; candidates
-are verified on the whole sets, and no near pair is lost.
+The pipeline's stage takes another contract: sets of five words with a Jaccard index of 0.8 or more. SimHash of the sets
+finds groups first, which are verified on the whole sets. What its few bits miss is found exactly: two near sets share one of
+their first n / 5 + 1 shingles in any order common to all, here the rarest first, so these are join keys for the pairs that
+are not in one group yet; these are verified too, and no near pair is lost.
 
 Defined cases: texts of any length are read whole. Null and empty texts have no words and fingerprint zero, which links like any other. Repeated rows stay,
 each with its component. A null doc_id keeps its fingerprint and the component of its group (null if the group has no
@@ -58,7 +59,10 @@ def _hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text: bit set where over half of the shingle hashes have it."""
-    h = _hashes(text, shingle)
+    return _majority(_hashes(text, shingle))
+
+
+def _majority(h: np.ndarray) -> int:
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(bits * 2 > len(h), bitorder="little").tobytes(), "little")
 
@@ -121,28 +125,38 @@ def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def with_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (a digest of the set), hs: the sorted hashes of a row's distinct STAGE_SHINGLE words."""
+def _digest(h: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
+    return xxh64_intdigest(h.tobytes(), SEED)
+
+
+def with_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (a digest of a row's set of STAGE_SHINGLE words), sim (the set's SimHash). The sets themselves are made
+    anew from the texts where they are needed, as they are larger than these."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hs = [np.unique(_hashes(t, STAGE_SHINGLE)).tobytes() for t in b["text"]]
-            fp = np.array([xxh64_intdigest(h, SEED) for h in hs], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp, "hs": hs})
+            sets = [np.unique(_hashes(t, STAGE_SHINGLE)) for t in b["text"]]
+            one = lambda f: np.array([f(h) for h in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": one(_digest), "sim": one(_majority)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long, hs binary")
+    return _texts(docs).mapInPandas(run, "doc_id long, fp long, sim long")
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _sketch(docs: DataFrame) -> np.ndarray:
     """How often shingles occur, added up by the low bits of their hash."""
     width = SKETCH // SKETCH_ROWS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(SKETCH, np.int64)
         for b in batches:
-            h = np.frombuffer(b"".join(b["hs"]), np.uint64)
-            n += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for t in b["text"]:
+                np.add.at(n, (np.unique(_hashes(t, STAGE_SHINGLE)) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         if n.any():
             yield pd.DataFrame({"at": np.arange(SKETCH_ROWS), "n": [x.astype("<u4").tobytes() for x in n.reshape(-1, width)]})
 
@@ -151,46 +165,49 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         return pd.DataFrame({"at": [int(frames["at"].iloc[0])], "n": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
 
     kind, out = "at int, n binary", np.zeros((SKETCH_ROWS, width), np.uint32)
-    for r in rows.select("hs").mapInPandas(count, kind).groupBy("at").applyInPandas(add, kind).collect():
+    for r in docs.select("text").mapInPandas(count, kind).groupBy("at").applyInPandas(add, kind).collect():
         out[r["at"]] = np.frombuffer(bytes(r["n"]), "<u4")
     return out.ravel()
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
+def _prefixes(docs: DataFrame) -> DataFrame:
     """fp, n, key: of each set of n shingles the rarest, so many that two sets with LIKE of their union in common share one."""
-    seen = rows.sparkSession.sparkContext.broadcast(_sketch(rows))
+    seen = docs.sparkSession.sparkContext.broadcast(_sketch(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in b["hs"]]
+            sets = [np.unique(_hashes(t, STAGE_SHINGLE)) for t in b["text"]]
             keys = []
             for h in sets:
                 order = np.argsort(seen.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")  # of equal counts the least hash
                 keys.append(h[order[: len(h) // LIKE_PART + 1]].view(np.int64))
-            yield pd.DataFrame({"fp": b["fp"], "n": [len(h) for h in sets], "keys": keys})
+            yield pd.DataFrame({"fp": np.array([_digest(h) for h in sets], np.uint64).view(np.int64), "n": [len(h) for h in sets], "keys": keys})
 
-    kept = rows.filter("doc_id is not null").select("fp", "hs").mapInPandas(run, "fp long, n int, keys array<long>")
+    kept = _texts(docs).filter("doc_id is not null").mapInPandas(run, "fp long, n int, keys array<long>")
     return kept.select("fp", "n", F.explode("keys").alias("key"))
 
 
-def _perhaps_in(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """fp, hs of the rows whose fp is in asked, and some others: what need not be dealt out goes before that."""
-    word, bit = F.pmod(F.col("fp"), F.lit(BITMAP)).cast("int"), F.call_function("shiftright", F.col("fp"), F.lit(40)).bitwiseAND(F.lit(31))
+def _perhaps_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """fp, hs (the sorted hashes of the set) of the rows whose doc_id is a node of ids, and some others: what need not be
+    dealt out goes before that."""
+    word, bit = F.pmod(F.col("node"), F.lit(BITMAP)).cast("int"), F.call_function("shiftright", F.col("node"), F.lit(18)).bitwiseAND(F.lit(31))
     bits = np.zeros(BITMAP, np.uint32)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
-    for r in asked.groupBy(word.alias("w")).agg(F.bit_or(one).alias("m")).toLocalIterator():
+    for r in ids.groupBy(word.alias("w")).agg(F.bit_or(one).alias("m")).toLocalIterator():
         bits[r["w"]] = r["m"]
-    held = rows.sparkSession.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
-            yield b[(held.value[fp % BITMAP] >> ((fp >> 40) & 31).astype(np.uint32)) & 1 == 1]
+            at = b["doc_id"].to_numpy(np.int64)
+            b = b[(held.value[at % BITMAP] >> ((at >> 18) & 31).astype(np.uint32)) & 1 == 1]
+            sets = [np.unique(_hashes(t, STAGE_SHINGLE)) for t in b["text"]]
+            yield pd.DataFrame({"fp": np.array([_digest(h) for h in sets], np.uint64).view(np.int64), "hs": [h.tobytes() for h in sets]})
 
-    return rows.select("fp", "hs").mapInPandas(run, "fp long, hs binary")
+    return _texts(docs).filter("doc_id is not null").mapInPandas(run, "fp long, hs binary")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs a, b of digests whose sets have a Jaccard index of 0.8 or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,8 +218,9 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield b.loc[np.array(near, bool), ["a", "b"]]
 
     pairs = cut_lineage(pairs)
-    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = cut_lineage(_perhaps_in(rows, asked).join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("hs").alias("hs")))
+    asked = cut_lineage(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct())
+    held = _perhaps_of(docs, asked.join(nodes, "fp").select("node"))
+    sets = held.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("hs").alias("hs"))
     x, y = sets.select(F.col("fp").alias("a"), F.col("hs").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hs").alias("y"))
     return cut_lineage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"))
 
@@ -212,18 +230,39 @@ def _alike(x: Column, y: Column) -> Column:
     return F.least(x["n"], y["n"]) * LIKE_PART >= F.greatest(x["n"], y["n"]) * (LIKE_PART - 1)
 
 
-def set_links(rows: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """a, b: digests of near sets, with the components of all pairs of a Jaccard index of 0.8 or more.
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs a, b that are not in one component of found."""
+    comp = components(found)
+    x, y = comp.select(F.col("node").alias("a"), F.col("component").alias("x")), comp.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
+def _by_simhash(nodes: DataFrame, max_bucket: int) -> DataFrame:
+    """a, b: each digest with the least one of its group by SimHash: fingerprints at most MAX_BITS apart, linked on."""
+    least = cut_lineage(nodes.groupBy("sim").agg(F.min("fp").alias("node")).select("node", F.col("sim").alias("fp")))
+    comp = components(links(least, max_bucket=max_bucket)).withColumnRenamed("component", "low")
+    group = least.join(comp, "node", "left").select(F.col("fp").alias("sim"), F.coalesce("low", "node").alias("b"))
+    return nodes.select(F.col("fp").alias("a"), "sim").join(group, "sim").filter("a <> b").select("a", "b")
 
-    In keys over max_bucket each set is compared with one of them; then all that are not in one component by that.
+
+def set_links(docs: DataFrame, nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """a, b: digests of near sets, with the components of all pairs of a Jaccard index of 0.8 or more. nodes: fp, sim, node.
+
+    SimHash finds most groups, each digest verified against the least of its group. The prefixes give all other pairs: first
+    one for each digest is verified, then every pair that is not in one component by that, so that a group of near copies
+    is not compared pair by pair. In keys over max_bucket the first step is against one set, the last between components.
     """
-    buckets = cut_lineage(_prefixes(rows).groupBy("key").agg(F.collect_set(F.struct("fp", "n")).alias("g")).filter("size(g) > 1"))
+    found = _verified(_by_simhash(nodes, max_bucket), docs, nodes)
+    buckets = cut_lineage(_prefixes(docs).groupBy("key").agg(F.collect_set(F.struct("fp", "n")).alias("g")).filter("size(g) > 1"))
     small, large = buckets.filter(F.size("g") <= max_bucket), buckets.filter(F.size("g") > max_bucket)
     pair = lambda x, y: F.struct(F.greatest(x["fp"], y["fp"]).alias("a"), F.least(x["fp"], y["fp"]).alias("b"))
     every = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (y["fp"] < x["fp"]) & _alike(x, y)), lambda y: pair(x, y))))
     star = F.transform(F.filter("g", lambda x: (x["fp"] != F.col("low")["fp"]) & _alike(x, F.col("low"))), lambda x: pair(x, F.col("low")))
     pairs = small.select(F.explode(every).alias("p")).union(large.withColumn("low", F.array_min("g")).select(F.explode(star).alias("p")))
-    found = _verified(pairs.select("p.a", "p.b").distinct(), rows)
+    pairs = cut_lineage(_apart(pairs.select("p.a", "p.b").distinct(), found))
+    one = cut_lineage(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    found = cut_lineage(found.union(_verified(one, docs, nodes)))
+    found = cut_lineage(found.union(_verified(_apart(pairs.join(one, ["a", "b"], "left_anti"), found), docs, nodes)))
     if large.isEmpty():
         return found
     comp = components(found).select(F.col("node").alias("fp"), "component")
@@ -234,18 +273,17 @@ def set_links(rows: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     others = groups.select("key", F.col("c").alias("c2"), F.col("g").alias("g2"))
     across = groups.join(others, "key").filter("c < c2").select(F.explode("g").alias("x"), "g2").select("x", F.explode("g2").alias("y"))
     more = across.filter(_alike(F.col("x"), F.col("y"))).select(pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").distinct()
-    return found.union(_verified(more, rows))
+    return found.union(_verified(more, docs, nodes))
 
 
 def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fp long, component_id for each row of docs: linked are rows whose sets of five words have a Jaccard index of
     0.8 or more. fp is a digest of the set."""
-    rows = cut_lineage(with_sets(docs))
-    marked = rows.select("doc_id", "fp")
-    nodes = cut_lineage(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"))
+    marked = cut_lineage(with_sets(docs))
+    nodes = cut_lineage(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("sim").alias("sim")))
     a, b = nodes.select(F.col("fp").alias("a"), F.col("node").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("node").alias("y"))
-    edges = set_links(rows, max_bucket).join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return _with_components(marked, nodes, edges)
+    edges = set_links(docs, nodes, max_bucket).join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _with_components(marked.select("doc_id", "fp"), nodes.select("node", "fp"), edges)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -654,3 +654,17 @@ def test_pipeline_goes_on_where_it_ended(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
     again = sorted(map(tuple, corpus_pipeline.run(spark, D, keep="again").collect()))
     assert calls == [n for n, _ in stages] and [r[:5] for r in again] == [r[:5] for r in whole]
+
+
+def test_near_copies_meet_by_simhash_first(spark):
+    import xxhash
+
+    w = [f"w{i}" for i in range(300)]
+    given = [" ".join(w), " ".join([*w, "end"]), " ".join(reversed(w))]
+    rows = {r["doc_id"]: r for r in simhash.with_sets(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(given):
+        x = t.split()
+        hs = {xxhash.xxh64_intdigest(" ".join(x[k : k + 5]).encode(), 42) for k in range(len(x) - 4)}
+        assert rows[i]["sim"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    nodes = spark.createDataFrame([(5, 0b0, 1), (6, 0b11, 2), (7, 0b1111, 3), (4, 0b11, 4), (9, 0xFF00, 5)], "fp long, sim long, node long")
+    assert {(r["a"], r["b"]) for r in simhash._by_simhash(nodes, 64).collect()} == {(5, 4), (6, 4), (7, 4)}
