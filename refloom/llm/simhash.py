@@ -21,6 +21,7 @@ id). An empty table gives no rows. Of the input only doc_id and text are read, s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,6 +36,8 @@ from .components import components
 SHINGLE, SEED, MAX_BITS, BLOCKS, MAX_BUCKET = 3, 42, 2, 4, 64
 #: For the stage: words in a shingle, and the part of the union that near sets may lack (a fifth: Jaccard 0.8 or more).
 STAGE_SHINGLE, LIKE_PART = 5, 5
+#: Sizes are alike in one class of this step or in neighbouring ones; more than 1.25, which spares a thought of rounding.
+SIZE_STEP = 1.26
 #: Counters of shingles by hash, which only order them, and the rows they travel in.
 SKETCH, SKETCH_ROWS = 1 << 20, 16
 #: Ids that may be sent to every task, eight bytes each.
@@ -132,16 +135,31 @@ def _digest(h: np.ndarray) -> int:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (a digest of a row's set of STAGE_SHINGLE words), sim (the set's SimHash). The sets themselves are made
-    anew from the texts where they are needed, as they are larger than these."""
+    """doc_id, fp (a digest of a row's set of STAGE_SHINGLE words), sim (the set's SimHash), n (its size), par (its parities).
+    The sets themselves are made anew from the texts where they are needed, as they are larger than these."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [np.unique(_hashes(t, STAGE_SHINGLE)) for t in b["text"]]
             one = lambda f: np.array([f(h) for h in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": one(_digest), "sim": one(_majority)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": one(_digest), "sim": one(_majority), "n": [len(h) for h in sets], "par": [_parities(h) for h in sets]})
 
-    return _texts(docs).mapInPandas(run, "doc_id long, fp long, sim long")
+    return _texts(docs).mapInPandas(run, "doc_id long, fp long, sim long, n int, par binary")
+
+
+def _parities(h: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes ends in the bits 0, 1, 2 and so on; as many as hashes or more, a power of two."""
+    width = 1 << max(6, (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def _unlike(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of elements that only one of two sets has, from their parities."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) != len(q):
+        p, q = (p, q) if len(p) > len(q) else (q, p)
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -207,6 +225,20 @@ def _perhaps_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _texts(docs).filter("doc_id is not null").mapInPandas(run, "fp long, hs binary")
 
 
+def _perhaps_near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs a, b without those whose parities already differ too much: near sets have at most a ninth of the sum of
+    their sizes in one of them only. None that is near goes, and few others stay, so few whole sets travel after that."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            near = [(2 * LIKE_PART - 1) * _unlike(x, y) <= n for x, y, n in zip(b["x"], b["y"], b["n"], strict=True)]
+            yield b.loc[np.array(near, bool), ["a", "b"]]
+
+    side = lambda fp, par, n: nodes.select(F.col("fp").alias(fp), F.col("par").alias(par), F.col("n").alias(n))
+    both = pairs.join(side("a", "x", "n1"), "a").join(side("b", "y", "n2"), "b")
+    return both.select("a", "b", "x", "y", (F.col("n1") + F.col("n2")).alias("n")).mapInPandas(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs a, b of digests whose sets have a Jaccard index of 0.8 or more."""
 
@@ -246,11 +278,13 @@ def _by_simhash(nodes: DataFrame, max_bucket: int) -> DataFrame:
 
 
 def set_links(docs: DataFrame, nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """a, b: digests of near sets, with the components of all pairs of a Jaccard index of 0.8 or more. nodes: fp, sim, node.
+    """a, b: digests of near sets, with the components of all pairs of a Jaccard index of 0.8 or more. nodes: fp, sim, node, n,
+    par.
 
     SimHash finds most groups, each digest verified against the least of its group. The prefixes give all other pairs: first
     one for each digest is verified, then every pair that is not in one component by that, so that a group of near copies
-    is not compared pair by pair. In keys over max_bucket the first step is against one set, the last between components.
+    is not compared pair by pair. In keys over max_bucket the first step is against one set, the last between components,
+    by sizes that are alike, once for the keys that hold the same sets. Before whole sets travel, their parities meet.
     """
     found = _verified(_by_simhash(nodes, max_bucket), docs, nodes)
     buckets = cut_lineage(_prefixes(docs).groupBy("key").agg(F.collect_set(F.struct("fp", "n")).alias("g")).filter("size(g) > 1"))
@@ -259,7 +293,7 @@ def set_links(docs: DataFrame, nodes: DataFrame, max_bucket: int = MAX_BUCKET) -
     every = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (y["fp"] < x["fp"]) & _alike(x, y)), lambda y: pair(x, y))))
     star = F.transform(F.filter("g", lambda x: (x["fp"] != F.col("low")["fp"]) & _alike(x, F.col("low"))), lambda x: pair(x, F.col("low")))
     pairs = small.select(F.explode(every).alias("p")).union(large.withColumn("low", F.array_min("g")).select(F.explode(star).alias("p")))
-    pairs = cut_lineage(_apart(pairs.select("p.a", "p.b").distinct(), found))
+    pairs = cut_lineage(_perhaps_near(_apart(pairs.select("p.a", "p.b").distinct(), found), nodes))
     one = cut_lineage(pairs.groupBy("a").agg(F.min("b").alias("b")))
     found = cut_lineage(found.union(_verified(one, docs, nodes)))
     found = cut_lineage(found.union(_verified(_apart(pairs.join(one, ["a", "b"], "left_anti"), found), docs, nodes)))
@@ -267,20 +301,22 @@ def set_links(docs: DataFrame, nodes: DataFrame, max_bucket: int = MAX_BUCKET) -
         return found
     comp = components(found).select(F.col("node").alias("fp"), "component")
     members = large.select("key", F.explode("g").alias("m")).select("key", "m.fp", "m.n").join(comp, "fp", "left")
-    groups = cut_lineage(members.groupBy("key", F.coalesce("component", "fp").alias("c")).agg(F.collect_list(F.struct("fp", "n")).alias("g")))
-    several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
-    groups = groups.join(several, "key", "left_semi")
-    others = groups.select("key", F.col("c").alias("c2"), F.col("g").alias("g2"))
-    across = groups.join(others, "key").filter("c < c2").select(F.explode("g").alias("x"), "g2").select("x", F.explode("g2").alias("y"))
+    size = F.floor(F.log("n") / math.log(SIZE_STEP)).cast("int")
+    groups = cut_lineage(members.groupBy("key", F.coalesce("component", "fp").alias("c"), size.alias("s")).agg(F.sort_array(F.collect_list(F.struct("fp", "n"))).alias("g")))
+    held = [F.sum(h.cast("decimal(38,0)")).alias(f"h{i}") for i, h in enumerate((F.xxhash64("c", "s", "g"), F.xxhash64(F.lit(SEED), "c", "s", "g")))]
+    several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *held, (F.min("c") < F.max("c")).alias("more")).filter("more")
+    groups = groups.join(several.groupBy("k", "h0", "h1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    others = groups.select("key", F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("g").alias("g2"), F.explode(F.array(F.col("s"), F.col("s") - 1)).alias("s"))
+    across = groups.join(others, ["key", "s"]).filter("c < c2 or (c > c2 and s < s2)").select(F.explode("g").alias("x"), "g2").select("x", F.explode("g2").alias("y"))
     more = across.filter(_alike(F.col("x"), F.col("y"))).select(pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").distinct()
-    return found.union(_verified(more, docs, nodes))
+    return found.union(_verified(_perhaps_near(more, nodes), docs, nodes))
 
 
 def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fp long, component_id for each row of docs: linked are rows whose sets of five words have a Jaccard index of
     0.8 or more. fp is a digest of the set."""
     marked = cut_lineage(with_sets(docs))
-    nodes = cut_lineage(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("sim").alias("sim")))
+    nodes = cut_lineage(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("sim").alias("sim"), F.first("n").alias("n"), F.first("par").alias("par")))
     a, b = nodes.select(F.col("fp").alias("a"), F.col("node").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("node").alias("y"))
     edges = set_links(docs, nodes, max_bucket).join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return _with_components(marked.select("doc_id", "fp"), nodes.select("node", "fp"), edges)

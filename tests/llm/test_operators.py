@@ -668,3 +668,39 @@ def test_near_copies_meet_by_simhash_first(spark):
         assert rows[i]["sim"] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     nodes = spark.createDataFrame([(5, 0b0, 1), (6, 0b11, 2), (7, 0b1111, 3), (4, 0b11, 4), (9, 0xFF00, 5)], "fp long, sim long, node long")
     assert {(r["a"], r["b"]) for r in simhash._by_simhash(nodes, 64).collect()} == {(5, 4), (6, 4), (7, 4)}
+
+
+def test_unlike_sets_that_share_rare_words_are_not_fetched(spark, monkeypatch):
+    """Parities tell unlike sets apart, whatever their sizes, and never near ones; links are those of all pairs."""
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 60, 65, 520, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64)).view(np.uint64)
+        for cut in (0, 1, n // 9, n // 2, n):
+            y = np.unique(np.concatenate([x[cut:], rng.integers(0, 1 << 63, cut // 3, dtype=np.int64).view(np.uint64)]))
+            apart = simhash._unlike(simhash._parities(x), simhash._parities(y))
+            assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
+    shared, word = [f"common{i}" for i in range(12)], lambda i, k: [f"w{i}x{j}" for j in range(k)]
+    given = [" ".join(shared + word(i, 14 + i % 5)) for i in range(12)]
+    given += [" ".join(shared + word(3, 17)) + " end", " ".join(shared + word(40, 120)), " ".join(shared + word(40, 120)) + " last words"]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    asked, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: (asked.append(pairs.count()), verified(pairs, *a))[1])
+    for bound in (64, 2):
+        asked.clear()
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, bound).collect()}
+        assert got == {i: {12: 3, 14: 13}.get(i, i) for i in range(len(given))}
+        assert sum(asked) <= 4, asked
+
+
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    from refloom.llm import components
+
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 90), (95, 100)], "a long, b long").repartition(7)
+    for most in (1 << 16, 5):
+        monkeypatch.setattr(components, "TASK_EDGES", most)
+        parts, cut = [], components.cut_lineage
+        monkeypatch.setattr(components, "cut_lineage", lambda df, cut=cut, parts=parts: (parts.append(df.rdd.getNumPartitions()), cut(df))[1])
+        got = {r["node"]: r["component"] for r in components.components(edges).collect()}
+        monkeypatch.setattr(components, "cut_lineage", cut)
+        assert got == {i: 0 for i in range(41)} | {i: 90 for i in (90, 95, 100)}
+        assert most == 5 or set(parts[1:]) == {1}, parts
