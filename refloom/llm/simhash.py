@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, read_table, whole_row
+from .common import cut_lineage, freed, give_back, read_table, whole_row
 from .components import components
 
 SHINGLE, SEED, MAX_BITS, BLOCKS, MAX_BUCKET = 3, 42, 2, 4, 64
@@ -75,6 +75,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
@@ -143,6 +144,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
             sets = [np.unique(_hashes(t, STAGE_SHINGLE)) for t in b["text"]]
             one = lambda f: np.array([f(h) for h in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": one(_digest), "sim": one(_majority), "n": [len(h) for h in sets], "par": [_parities(h) for h in sets]})
+        give_back()
 
     return _texts(docs).mapInPandas(run, "doc_id long, fp long, sim long, n int, par binary")
 
@@ -177,10 +179,11 @@ def _sketch(docs: DataFrame) -> np.ndarray:
                 np.add.at(n, (np.unique(_hashes(t, STAGE_SHINGLE)) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         if n.any():
             yield pd.DataFrame({"at": np.arange(SKETCH_ROWS), "n": [x.astype("<u4").tobytes() for x in n.reshape(-1, width)]})
+        give_back()
 
     def add(frames: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in frames["n"])
-        return pd.DataFrame({"at": [int(frames["at"].iloc[0])], "n": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
+        return freed(pd.DataFrame({"at": [int(frames["at"].iloc[0])], "n": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]}))
 
     kind, out = "at int, n binary", np.zeros((SKETCH_ROWS, width), np.uint32)
     for r in docs.select("text").mapInPandas(count, kind).groupBy("at").applyInPandas(add, kind).collect():
@@ -200,6 +203,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 order = np.argsort(seen.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")  # of equal counts the least hash
                 keys.append(h[order[: len(h) // LIKE_PART + 1]].view(np.int64))
             yield pd.DataFrame({"fp": np.array([_digest(h) for h in sets], np.uint64).view(np.int64), "n": [len(h) for h in sets], "keys": keys})
+        give_back()
 
     kept = _texts(docs).filter("doc_id is not null").mapInPandas(run, "fp long, n int, keys array<long>")
     return kept.select("fp", "n", F.explode("keys").alias("key"))
@@ -221,6 +225,7 @@ def _perhaps_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             b = b[(held.value[at % BITMAP] >> ((at >> 18) & 31).astype(np.uint32)) & 1 == 1]
             sets = [np.unique(_hashes(t, STAGE_SHINGLE)) for t in b["text"]]
             yield pd.DataFrame({"fp": np.array([_digest(h) for h in sets], np.uint64).view(np.int64), "hs": [h.tobytes() for h in sets]})
+        give_back()
 
     return _texts(docs).filter("doc_id is not null").mapInPandas(run, "fp long, hs binary")
 
@@ -233,6 +238,7 @@ def _perhaps_near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             near = [(2 * LIKE_PART - 1) * _unlike(x, y) <= n for x, y, n in zip(b["x"], b["y"], b["n"], strict=True)]
             yield b.loc[np.array(near, bool), ["a", "b"]]
+        give_back()
 
     side = lambda fp, par, n: nodes.select(F.col("fp").alias(fp), F.col("par").alias(par), F.col("n").alias(n))
     both = pairs.join(side("a", "x", "n1"), "a").join(side("b", "y", "n2"), "b")
@@ -248,6 +254,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets]
             near = [LIKE_PART * k >= (LIKE_PART - 1) * (len(x) + len(y) - k) for (x, y), k in zip(sets, both, strict=True)]
             yield b.loc[np.array(near, bool), ["a", "b"]]
+        give_back()
 
     pairs = cut_lineage(pairs)
     asked = cut_lineage(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct())

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import least_owner
-from .common import partitions_for, read_table
+from .common import freed, give_back, partitions_for, read_table
 
 WIDTH, ANCHOR, RUN = 50, 20, 31
 #: One document in so many, by hash of its id, is asked for anchors in many contexts; with so many in the sample an anchor
@@ -48,8 +48,11 @@ STRETCH = 8
 SHARED = WIDTH + 1 - STRETCH
 #: A task asks for the pieces of an anchor with so many of them itself, if they are of several documents.
 OWN_ASK, ASKED = 8, 128
-#: Bytes that are hashed at a time, pieces that a task holds, and string bytes in one transform.
-SEGMENT, HELD, COLLECTION = 1 << 20, 3 << 19, 1 << 20
+#: Bytes of a text that are hashed at a time, pieces that a task holds, and string bytes in one transform.
+SEGMENT, HELD, COLLECTION = 1 << 20, 1 << 21, 1 << 20
+#: Bytes of short texts that are hashed at a time, and ranges of anchors that are sorted one after another. They bound a
+#: task's memory and steer nothing else.
+HASHED, RANGES = 1 << 18, 8
 PIECES, MARKS, REQUESTS, STRINGS = 0, 1, 2, 3
 BLOB = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 BLOB_SQL = "kind int, part int, blob binary"
@@ -75,8 +78,8 @@ def refined(v: np.ndarray, at: np.ndarray, hot: np.ndarray, marks: np.ndarray, h
     if not len(some):
         return v
     v = v.copy()
-    for i in range(0, len(some), 1 << 15):
-        k = some[i : i + (1 << 15)]
+    for i in range(0, len(some), 1 << 13):
+        k = some[i : i + (1 << 13)]
         s = at[k]
         offset = (marks[s[:, None] + np.arange(WIDTH - ANCHOR + 1)] == v[k][:, None]).argmax(axis=1)
         a = s + offset % STRETCH
@@ -100,6 +103,7 @@ def cut(segments: list[np.ndarray], hot: np.ndarray = np.empty(0, np.uint64)) ->
     h8 = h4[:-4] * _MUL[2] + h4[4:]
     h16 = h8[:-8] * _MUL[4] + h8[8:]
     marks = _mix(h16[: len(buf) - ANCHOR + 1] * _MUL[5] + h4[16 : 16 + len(buf) - ANCHOR + 1])
+    del h1, h2, h4, h8
     least = marks
     width, k = WIDTH - ANCHOR + 1, 1
     while k * 2 <= width:
@@ -180,19 +184,35 @@ def join(tables: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 def dealt(t: dict[str, np.ndarray], part: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
     """A compressed row for each part that has entries, in the order of documents and places."""
-    if not len(part):
-        return
-    order = np.lexsort((t["start"], t["tag"], t["doc"], part))
-    p = part[order]
-    heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    for a, b in zip(heads, np.append(heads[1:], len(p)), strict=True):
-        yield kind, int(p[a]), dump(pick(t, order[a:b]))
+    part = part.astype(np.int32)
+    for r in range(RANGES):
+        order = np.flatnonzero(part % RANGES == r).astype(np.int32)
+        if not len(order):
+            continue
+        order = order[np.lexsort((*(t[k][order] for k in ("start", "tag", "doc")), part[order]))]
+        p = part[order]
+        heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        for a, b in zip(heads, np.append(heads[1:], len(p)), strict=True):
+            yield kind, int(p[a]), dump(pick(t, order[a:b]))
 
 
 def batch(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(BLOB)], schema=BLOB)
 
 
+def batches_of(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, as they come."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[2])
+        if size >= SEGMENT:
+            yield from batch(held).to_batches()
+            held, size = [], 0
+    if held:
+        yield from batch(held).to_batches()
+
+
 def marks_only(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: t[k] for k in ("doc", "tag", "start", "n")}
 
@@ -206,7 +226,7 @@ def least_of_equal(t: dict[str, np.ndarray], *keys: str) -> tuple[np.ndarray, np
     return order, head, low
 
 
-def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, step: int = 1 << 12) -> np.ndarray:
     """For each i, whether the size[i] bytes from a[i] and from b[i] are equal; each has WIDTH at least."""
     out = np.empty(len(a), bool)
     for i in range(0, len(a), step):
@@ -217,22 +237,51 @@ def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray,
 
 
 def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
-    def flush(held: list[dict[str, np.ndarray]], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t = join(held)
-        text, at = np.concatenate(texts), t.pop("at")
+    def flush(held: list[dict[str, np.ndarray]], texts: bytearray, stretches: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        doc, tag, shift = (np.array(v, kind) for v, kind in zip(zip(*stretches, strict=True), (np.int64, np.uint32, np.int64), strict=True))
+        t = {k: np.concatenate([x.pop(k) for x in held]) for k in list(held[0])}
         held.clear()
-        texts.clear()
+        text = np.frombuffer(texts, np.uint8)
         t["h"] &= _u((1 << 48) - 1)
-        order, head, low = least_of_equal(t, "h", "x")
-        later = t["doc"][order] > low
-        first, which = order[np.flatnonzero(head)][np.cumsum(head) - 1], np.flatnonzero(later)
-        a, b = first[which], order[which]
-        later[which] = t["n"][a] == t["n"][b]
-        which, a, b = (v[later[which]] for v in (which, a, b))
-        later[which] = same_bytes(text, at[a], at[b], t["n"][b].astype(np.int64) + WIDTH - 1)
-        copies, own = marks_only(pick(t, order[later])), pick(t, order[~later])
-        del t, text, at, order, head, low, first, which, a, b, own["x"]
-        rows = list(dealt(copies, copies["doc"] % parts, MARKS))
+        copied, single = [], []
+        # equal pieces have equal anchors: a range of these at a time, in their order
+        part = (t["h"] * _u(RANGES) >> _u(48)).astype(np.uint8)
+        for r in range(RANGES):
+            rows = np.flatnonzero(part == r).astype(np.int32)
+            if not len(rows):
+                continue
+            own = pick(t, rows) | {"doc": doc[t["stretch"][rows]]}
+            order, head, low = least_of_equal(own, "h", "x")
+            later = own["doc"][order] > low
+            first, which = order[np.flatnonzero(head)][np.cumsum(head) - 1], np.flatnonzero(later)
+            a, b = first[which], order[which]
+            later[which] = own["n"][a] == own["n"][b]
+            which, a, b = (v[later[which]] for v in (which, a, b))
+            later[which] = same_bytes(text, own["at"][a], own["at"][b], own["n"][b].astype(np.int64) + WIDTH - 1)
+            copied.append(rows[order[later]])
+            single.append(rows[order[~later]])
+            del rows, own, order, head, low, later, first, which, a, b
+        del text, part, t["x"]
+        texts.clear()
+        give_back()
+
+        def named(at: np.ndarray) -> dict[str, np.ndarray]:
+            of = t["stretch"][at]
+            return {"doc": doc[of], "tag": tag[of], "start": t["at"][at] + shift[of], "n": t["n"][at]}
+
+        copies = named(np.concatenate(copied))
+        yield from batches_of(dealt(copies, copies["doc"] % parts, MARKS))
+        del copies, copied
+        give_back()
+        single = np.concatenate(single)
+        # a column at a time, so that none is held twice
+        own = {"h": t.pop("h")[single], "n": t.pop("n")[single]}
+        of, own["start"] = t.pop("stretch")[single], t.pop("at")[single].astype(np.int64)
+        del t, single
+        own |= {"doc": doc[of], "tag": tag[of]}
+        own["start"] += shift[of]
+        del of
+        give_back()
         # own is in the order of h: of anchors with many pieces of several documents only the outer two go to the anchor
         heads = np.flatnonzero(np.diff(own["h"], prepend=~own["h"][:1]))
         size = np.diff(np.append(heads, len(own["h"])))
@@ -240,32 +289,33 @@ def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
         if many.any():
             low, high = np.minimum.reduceat(own["doc"], heads), np.maximum.reduceat(own["doc"], heads)
             many &= low != high
-            group = np.repeat(np.arange(len(heads)), size)
+            group = np.repeat(np.arange(len(heads), dtype=np.int32), size)
             ask = pick(own, np.flatnonzero(many[group]))
-            rows += dealt(ask, ask["doc"] % parts, REQUESTS)
+            yield from batches_of(dealt(ask, ask["doc"] % parts, REQUESTS))
             rest = ~many[group]
             for d in (low, high):
                 outer = np.flatnonzero(many[group] & (own["doc"] == d[group]))
                 rest[outer[np.unique(group[outer], return_index=True)[1]]] = True
             own["n"] = own["n"] | np.where(many[group], ASKED, 0).astype(np.uint8)
             own = pick(own, np.flatnonzero(rest))
-        rows += dealt(own, _bucket(own["h"], parts), PIECES)
-        yield from batch(rows).to_batches()
+            del group, ask, rest, outer, low, high
+        del heads, size, many
+        yield from batches_of(dealt(own, _bucket(own["h"], parts), PIECES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, waiting, size = [], 0, [], 0
-        texts, kept = [], 0  # the bytes of what is held
+        texts, stretches = bytearray(), []  # the bytes of what is held; document, tag and what to add to a place in the bytes
 
         def hash_waiting() -> dict[str, np.ndarray]:
-            nonlocal kept
             segments = [w[3] for w in waiting]
             seg, start, k, h, x = cut(segments, hot)
             lens = np.array([len(s) for s in segments], np.int64)
-            at = (kept + np.cumsum(lens) - lens)[seg] + start
-            texts.append(np.concatenate(segments))
-            kept += len(texts[-1])
-            meta = np.array([w[:3] for w in waiting], np.int64).reshape(-1, 3)[seg]
-            return {"doc": meta[:, 0], "tag": meta[:, 1].astype(np.uint32), "start": start + meta[:, 2], "n": k.astype(np.uint8), "h": h, "x": x, "at": at}
+            at = len(texts) + np.cumsum(lens) - lens
+            t = {"stretch": (len(stretches) + seg).astype(np.int32), "at": (at[seg] + start).astype(np.uint32), "n": k.astype(np.uint8), "h": h, "x": x}
+            stretches.extend((w[0], w[1], w[2] - a) for w, a in zip(waiting, at.tolist(), strict=True))
+            for s in segments:
+                texts.extend(s.data)
+            return t
 
         for b in batches:
             for doc, body in zip(b.column("_d").to_pylist(), b.column("_b"), strict=True):
@@ -274,17 +324,21 @@ def cut_documents(parts: int, hot: np.ndarray = np.empty(0, np.uint64)):
                 for i, s in segments_of(body):
                     waiting.append((doc, tag, i, s))
                     size += len(s)
-                    if size >= SEGMENT:
+                    if size >= HASHED:
                         held.append(hash_waiting())
-                        n += len(held[-1]["doc"])
+                        n += len(held[-1]["n"])
                         waiting, size = [], 0
                         if n >= HELD:
-                            yield from flush(held, texts)
-                            n = kept = 0
+                            yield from flush(held, texts, stretches)
+                            n, texts = 0, bytearray()
+                            stretches.clear()
+                            give_back()
         if waiting:
             held.append(hash_waiting())
+            waiting.clear()
         if held:
-            yield from flush(held, texts)
+            yield from flush(held, texts, stretches)
+        give_back()
 
     return run
 
@@ -313,7 +367,7 @@ def resolve(parts: int):
                 rows += dealt(ask, ask["doc"] % parts, REQUESTS)
         return batch(rows)
 
-    return run
+    return lambda table: freed(run(table))
 
 
 def group_bodies(docs: pa.Table) -> tuple[dict[tuple[int, int], int], list]:
@@ -353,7 +407,7 @@ def answer(parts: int):
                 rows.append((STRINGS, int(bucket[a]), dump(pick(t, np.arange(a, b)), b"".join(text[a:b]))))
         return batch(rows)
 
-    return run
+    return lambda docs, table: freed(run(docs, table))
 
 
 def transform(parts: int):
@@ -371,7 +425,9 @@ def transform(parts: int):
                 texts.append(np.frombuffer(text, np.uint8))
         if tables:
             t = join(tables)
+            tables.clear()
             text = np.concatenate(texts)
+            texts.clear()
             leads = (t["n"] & 128) == 0
             t["n"] &= np.uint8(127)
             size = np.where(leads, t["n"].astype(np.int64) + WIDTH - 1, 0)
@@ -381,12 +437,13 @@ def transform(parts: int):
             t = pick(t, order)
             lead = np.flatnonzero(t["lead"])
             docs, at = t["doc"][lead].tolist(), t["at"][lead]
-            raw, low = text.tobytes(), {}
-            said = [raw[a:e] for a, e in zip(at.tolist(), (at + t["n"][lead].astype(np.int64) + WIDTH - 1).tolist(), strict=True)]
+            raw, low = text.data, {}
+            said = [bytes(raw[a:e]) for a, e in zip(at.tolist(), (at + t["n"][lead].astype(np.int64) + WIDTH - 1).tolist(), strict=True)]
             for d, b in zip(docs, said, strict=True):
                 low[b] = min(d, low.get(b, d))
             owner_of = np.cumsum(t["lead"]) - 1
             later = np.array([d > low[b] for d, b in zip(docs, said, strict=True)], bool)[owner_of]
+            del said, low, docs, raw
             found = [marks_only(pick(t, later))]
             t = pick(t, ~later)
             heads = np.flatnonzero(np.concatenate([[True], t["h"][1:] != t["h"][:-1]]))
@@ -436,7 +493,7 @@ def transform(parts: int):
                 rows += dealt(m, m["doc"] % parts, MARKS)
         return batch(rows)
 
-    return run
+    return lambda table: freed(run(table))
 
 
 def covered(body_len: int, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -482,7 +539,7 @@ def remove(others: list[str], with_text: bool):
             cols["text"] = pa.array(out["text"], pa.string())
         return pa.table(cols)
 
-    return run
+    return lambda docs, table: freed(run(docs, table))
 
 
 def _prime_from(n: int) -> int:
@@ -507,11 +564,12 @@ def anchors_in_many_contexts(docs: DataFrame) -> np.ndarray:
                     for _, s in segments_of(body.as_buffer()):
                         waiting.append(s)
                         size += len(s)
-                        if size >= SEGMENT:
+                        if size >= HASHED:
                             yield of(waiting)
                             waiting, size = [], 0
             if waiting:
                 yield of(waiting)
+            give_back()
 
         found = some.mapInArrow(pieces, "h long, x long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MANY)
         more = np.array([r["h"] for r in found.select("h").collect()], np.int64).view(_u)

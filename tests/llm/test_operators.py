@@ -1,7 +1,10 @@
 """Corpus operators against brute force, on small tables with nulls, ties, repeats, clashing columns and long texts."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -140,6 +143,29 @@ def test_suffix_dedup_of_long_texts(spark):
     assert got[3]["n_bytes"] == 1_500_000 and got[1]["n_bytes"] == 1_200_000
 
 
+def test_passage_step_holds_little_memory():
+    """A task's own memory over what its pieces and texts take, and what its worker holds after it."""
+    code = r"""
+import os, random, re, sys
+import pyarrow as pa
+from refloom.llm import suffix
+r = random.Random(4)
+body = [bytes(r.randrange(97, 123) for _ in range(40_000)) for _ in range(50)]
+rows = [(i, body[i % 50][k : k + 20_000] + r.randbytes(20_000)) for i, k in enumerate([0, 7_000, 20_000] * 150)]
+table = pa.table({"_d": [i for i, _ in rows], "_b": [b for _, b in rows]})
+suffix.cut_documents(8)(iter(table.slice(0, 1).to_batches())).__next__()
+status = lambda k: int(re.search(k + r":\s+(\d+)", open("/proc/self/status").read()).group(1)) >> 10
+before = status("RssAnon")
+open("/proc/self/clear_refs", "w").write("5")
+low = status("VmRSS")
+for out in suffix.cut_documents(53)(iter(table.to_batches(max_chunksize=100))):
+    del out
+print(status("VmHWM") - low, status("RssAnon") - before)
+"""
+    peak, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout.split())
+    assert peak < 150 and after < 70
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
