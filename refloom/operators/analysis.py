@@ -41,6 +41,7 @@ def cited(paras: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def analyse(paras: DataFrame, overrides: DataFrame | None = None, bare_years: bool = True) -> Reports:
+    paras = cut_lineage(paras)  # seven steps read them
     starts = cut_lineage(segment.section_start(paras))
     parts = segment.split_sections(paras, starts)
     headed = starts.select("doc_id")

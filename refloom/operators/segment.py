@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import HEADINGS, YEAR, any_of, is_page_noise, is_tail_content, is_tail_heading, must_append, starts_item
-from ..functions.text import HAN, norm_core, open_parens
+from ..functions.rules import HEADINGS, YEAR, any_of, is_open_item, is_page_noise, is_tail_content, is_tail_heading, is_undated, starts_item
+from ..functions.text import HAN, bound, norm_core, open_parens
 
 # ---- fixed values: where lines are cut, and how many may be joined ----
 AFTER_PAGES = r"(\d{2,5}[-–]\d{2,5}[.．]?)"
@@ -26,8 +26,10 @@ def section_start(paras: DataFrame) -> DataFrame:
     def kind(t):
         return F.when(t.isin(heads), 1).when(F.replace(t, F.lit(" "), F.lit("")).isin(heads), 2).when((F.char_length(t) <= MAX_HEADING) & any_of(t, heads), 3)
 
-    # the normalised text is bound, so it is made once for the three tests
-    found = paras.select("doc_id", "para_idx", F.transform(F.array(F.lower(norm_core(F.col("text")))), kind)[0].alias("kind")).filter("kind is not null")
+    # the normalised text is bound, so it is made once for the three tests; as its blanks are single, the first two kinds
+    # are no longer than MAX_HEADING either
+    short = lambda t: F.when(F.char_length(t) <= MAX_HEADING, bound(F.lower(t), kind))
+    found = paras.select("doc_id", "para_idx", bound(norm_core(F.col("text")), short).alias("kind")).filter("kind is not null")
     return found.groupBy("doc_id").agg(F.min(F.struct("kind", "para_idx")).alias("m")).select("doc_id", F.col("m.para_idx").alias("start"))
 
 
@@ -43,7 +45,8 @@ def reference_block(paras: DataFrame, starts: DataFrame | None = None) -> DataFr
     """SEG3: lines after the heading without noise, up to the first tail heading or tail content."""
     after = split_sections(paras, starts).filter((F.col("part") == "references") & (F.col("para_idx") > F.col("start")))
     tests = lambda t: F.struct(((t != "") & ~is_page_noise(t, normal=True)).alias("kept"), (is_tail_heading(t, normal=True) | is_tail_content(t, normal=True)).cast("int").alias("stop"))
-    kept = after.withColumn("_x", F.transform(F.array(norm_core(F.col("text"))), tests)[0]).filter("_x.kept")
+    # a generator, so that the filter does not repeat the tests
+    kept = after.select("*", F.explode(F.array(bound(norm_core(F.col("text")), tests))).alias("_x")).filter("_x.kept")
     w = Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, 0)
     return kept.withColumn("_stop", F.max("_x.stop").over(w)).filter("_stop = 0").drop("_stop", "_x", "start", "part")
 
@@ -78,25 +81,29 @@ def split_inline(lines: DataFrame, order: str = "line_idx") -> DataFrame:
 
 def assemble_items(lines: DataFrame, order: list[str], bare_years: bool = True) -> DataFrame:
     """SEG6: doc_id, items (array of raw, page): a fold over a document's lines, as whether a line begins an item depends on
-    the text gathered so far. An item has its first line's page (0 without pages). bare_years as in starts_item."""
+    the text gathered so far. What a line tells by itself is read once, before the fold. An item has its first line's page
+    (0 without pages). bare_years as in starts_item."""
     page = F.coalesce(F.col("page"), F.lit(0)).cast("int") if "page" in lines.columns else F.lit(0)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(F.col("text").alias("raw"), page.alias("page")).alias("line")))), lambda x: x["line"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(F.col("text").alias("raw"), page.alias("page"), F.col("_starts").alias("starts"), F.col("_undated").alias("undated")).alias("line")))), lambda x: x["line"])
     none = F.array().cast("array<struct<raw:string,page:int>>")
     start = F.struct(none.alias("done"), F.struct(F.lit("").alias("raw"), F.lit(0).alias("page")).alias("now"))
 
     def step(acc, x):
         now = acc["now"]
-        new = (now["raw"] != "") & starts_item(x["raw"], bare_years) & ~must_append(now["raw"], x["raw"], bare_years)
+        new = (now["raw"] != "") & x["starts"] & ~(x["undated"] & is_open_item(now["raw"]))
+        line = F.struct(x["raw"].alias("raw"), x["page"].alias("page"))
         more = F.struct(F.concat(now["raw"], F.lit(" "), x["raw"]).alias("raw"), now["page"].alias("page"))
-        return F.struct(
-            F.when(new, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
-            F.when(new | (now["raw"] == ""), x).otherwise(more).alias("now"),
+        moved = lambda n: F.struct(
+            F.when(n, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
+            F.when(n | (now["raw"] == ""), line).otherwise(more).alias("now"),
         )
+        return bound(new, moved)
 
     def finish(acc):
         return F.when(acc["now"]["raw"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
 
-    return lines.groupBy("doc_id").agg(ordered.alias("_l")).select("doc_id", F.aggregate("_l", start, step, finish).alias("items"))
+    told = lines.withColumns({"_starts": starts_item(F.col("text"), bare_years), "_undated": is_undated(F.col("text"), bare_years)})
+    return told.groupBy("doc_id").agg(ordered.alias("_l")).select("doc_id", F.aggregate("_l", start, step, finish).alias("items"))
 
 
 def merge_paragraphs(paras: DataFrame) -> DataFrame:
@@ -116,7 +123,7 @@ def merge_paragraphs(paras: DataFrame) -> DataFrame:
         fresh = F.struct(t.alias("text"), F.coalesce(x["page"], F.lit(1)).cast("int").alias("page"), open_parens(t).alias("depth"), F.lit(1).alias("n"))
         more = F.struct(text.alias("text"), now["page"].alias("page"), (now["depth"] + open_parens(t)).alias("depth"), (now["n"] + 1).alias("n"))
         out = F.concat(acc["done"], F.array(F.struct(now["text"].alias("text"), now["page"].alias("page"))))
-        return F.struct(F.when(join | (now["text"] == ""), acc["done"]).otherwise(out).alias("done"), F.when(join, more).otherwise(fresh).alias("now"))
+        return bound(join, lambda j: F.struct(F.when(j | (now["text"] == ""), acc["done"]).otherwise(out).alias("done"), F.when(j, more).otherwise(fresh).alias("now")))
 
     def finish(acc):
         return F.when(acc["now"]["text"] != "", F.concat(acc["done"], F.array(F.struct(acc["now"]["text"].alias("text"), acc["now"]["page"].alias("page"))))).otherwise(acc["done"])
