@@ -13,6 +13,8 @@ AFTER_PAGES = r"(\d{2,5}[-–]\d{2,5}[.．]?)"
 BEFORE_HAN = rf"([{HAN}]{{2,3}}(?:[、與和][{HAN}]+)*[,，\s]+(?:19|20)\d{{2}}[,，.])"
 BEFORE_NAME = r"(?<=\d\.)\s+(?=[A-Z][a-zA-Z' -]+,)"
 BEFORE_GLUED = rf"\s+(?=[A-Z][a-z]+[A-Z]{{1,3}}\({YEAR}\))"
+#: One of these stands wherever one of the four cuts can be.
+MAY_BE_CUT = rf"\n|\d[-–]\d|[{HAN}]|\d\.\s|[A-Z]\("
 MAX_JOINED = 10
 MAX_HEADING = 40
 CONNECTOR_END = r"(?i)(?:,|and|&)\s*$"
@@ -75,6 +77,7 @@ def split_inline(lines: DataFrame, order: str = "line_idx") -> DataFrame:
     t = F.regexp_replace(t, BEFORE_HAN, "\n$1")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n[ \t]*", "\n"), BEFORE_NAME, "\n")
     t = F.regexp_replace(t, BEFORE_GLUED, "\n")
+    t = F.when(F.col("text").rlike(MAY_BE_CUT), t).otherwise(F.col("text"))
     parts = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return lines.select("doc_id", order, *["page"] * ("page" in lines.columns), F.posexplode(parts).alias("part_idx", "text"))
 
@@ -84,13 +87,13 @@ def assemble_items(lines: DataFrame, order: list[str], bare_years: bool = True)
     the text gathered so far. What a line tells by itself is read once, before the fold. An item has its first line's page
     (0 without pages). bare_years as in starts_item."""
     page = F.coalesce(F.col("page"), F.lit(0)).cast("int") if "page" in lines.columns else F.lit(0)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(F.col("text").alias("raw"), page.alias("page"), F.col("_starts").alias("starts"), F.col("_undated").alias("undated")).alias("line")))), lambda x: x["line"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(F.col("text").alias("raw"), page.alias("page"), F.col("_kind").alias("kind")).alias("line")))), lambda x: x["line"])
     none = F.array().cast("array<struct<raw:string,page:int>>")
     start = F.struct(none.alias("done"), F.struct(F.lit("").alias("raw"), F.lit(0).alias("page")).alias("now"))
 
     def step(acc, x):
         now = acc["now"]
-        new = (now["raw"] != "") & x["starts"] & ~(x["undated"] & is_open_item(now["raw"]))
+        new = (now["raw"] != "") & (x["kind"] > 0) & ~((x["kind"] == 2) & is_open_item(now["raw"]))
         line = F.struct(x["raw"].alias("raw"), x["page"].alias("page"))
         more = F.struct(F.concat(now["raw"], F.lit(" "), x["raw"]).alias("raw"), now["page"].alias("page"))
         moved = lambda n: F.struct(
@@ -102,8 +105,9 @@ def assemble_items(lines: DataFrame, order: list[str], bare_years: bool = True)
     def finish(acc):
         return F.when(acc["now"]["raw"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
 
-    told = lines.withColumns({"_starts": starts_item(F.col("text"), bare_years), "_undated": is_undated(F.col("text"), bare_years)})
-    return told.groupBy("doc_id").agg(ordered.alias("_l")).select("doc_id", F.aggregate("_l", start, step, finish).alias("items"))
+    # 1: it begins an item, 2: unless the one before is open
+    kind = F.when(starts_item(F.col("text"), bare_years), F.when(is_undated(F.col("text"), bare_years), 2).otherwise(1)).otherwise(0)
+    return lines.withColumn("_kind", kind).groupBy("doc_id").agg(ordered.alias("_l")).select("doc_id", F.aggregate("_l", start, step, finish).alias("items"))
 
 
 def merge_paragraphs(paras: DataFrame) -> DataFrame:

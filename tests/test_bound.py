@@ -62,3 +62,15 @@ def test_appending_needs_an_open_item_and_an_undated_line(spark):
     assert [r["x"] for r in items] == ["Vega, A. (1999). Notes more of it （2019）。Lee", "Lee, K. (2001)", "Roll and notes (see 2003)", "Zhu, B. (n.d.). Rest."]
     pair = lambda a, b: [r["x"] for r in df.limit(1).select(rules.must_append(F.lit(a), F.lit(b)).alias("x")).collect()][0]
     assert pair("Vega, A. (1999). Notes", "more") and not pair("Vega, A. (1999). Notes.", "more") and not pair("Vega, A. (1999). Notes", "Lee, K. (2001)")
+
+
+def test_lines_without_a_place_to_cut_stay_whole(spark):
+    lines = ["pp. 12-34. Lee, K. (2001).", "Notes 5. Roll, A. (1999).", "see LeeAB(2001) and VegaC(1999)", "甲。王明, 2019, 題", "a \n b", " ", "Vega, A. (1999). Notes.", "12–34."]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id int, line_idx int, text string")
+    got = [[r["text"] for r in segment.split_inline(df).filter(F.col("line_idx") == i).orderBy("part_idx").collect()] for i in range(len(lines))]
+    assert got == [["pp. 12-34.", "Lee, K. (2001)."], ["Notes 5.", "Roll, A. (1999)."], ["see", "LeeAB(2001) and", "VegaC(1999)"], ["甲。", "王明, 2019, 題"], ["a", "b"], [], ["Vega, A. (1999). Notes."], ["12–34."]]
+
+
+def test_year_keys(spark):
+    years = ["2019", "2019A", " 2019 a", "N.D.", "n.d.-a", "No date b", "In Press", "in press-b", "1066", "99", "", None, "印刷中", "n.d.a"]
+    assert [k for k, in column(spark, years, text.year_key(F.col("t")))] == ["2019", "2019a", "2019a", "n.d.", "n.d.a", "n.d.b", "in press", "in pressb", "1066", "99", "", None, "in press", "n.d."]
